@@ -5,7 +5,7 @@ bytes map to printable characters, and each token's merge is the last step of me
 ranks. The model's text form (fixed by the vocabulary, a few MB) is broadcast and loaded once a worker.
 Every match of the split pattern is encoded by itself and special tokens do not exist. Where no offsets are
 asked for, a worker keeps the ids of short matches it has seen (`MEMO` at most, then it starts anew), and the
-library encodes only new ones, many at once. Decoding looks up each
+library encodes only new ones. Decoding looks up each
 id's characters and reverses the byte table; a character split over tokens comes out whole, as bytes are
 joined before they are read as UTF-8.
 
@@ -19,6 +19,7 @@ import base64
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 from pathlib import Path
@@ -89,12 +90,12 @@ class Codec:
 
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
-        self.by_match = Tokenizer.from_str(model)  # gets matches of the pattern, already split
-        self.by_match.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
-        self.matches = regex.compile(json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.tokenizer, parts = Tokenizer.from_str(model), json.loads(model)
+        self.matches = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.tokenize = self.tokenizer.model.tokenize  # gets one match, spelt in byte characters
+        self.spelling = dict(enumerate(byte_characters()))
         self.memo: dict[str, bytes] = {}
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab()
@@ -113,14 +114,11 @@ class Codec:
             split = [self.matches(t) for t in held]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            new = list({m for ms in split for m in ms if m not in self.memo})
+            new = {m for ms in split for m in ms if m not in self.memo}
             own = {}
-            if new:
-                found = self.by_match.encode(new, is_pretokenized=True, add_special_tokens=False)
-                raw = np.array(found.ids, "<u4").tobytes()
-                ends = 4 * np.searchsorted(np.array(found.word_ids), np.arange(len(new)), side="right")
-                for m, a, b in zip(new, [0, *ends.tolist()], ends.tolist(), strict=False):
-                    (self.memo if len(m) <= MEMO_WORD else own)[m] = raw[a:b]
+            for m in new:
+                spelt = m.encode().decode("latin-1").translate(self.spelling)
+                (self.memo if len(m) <= MEMO_WORD else own)[m] = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
             of = self.memo.__getitem__ if not own else lambda m: own[m] if m in own else self.memo[m]  # noqa: B023
             for ms in split:
                 yield b"".join(map(of, ms))
