@@ -28,10 +28,9 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.session import ship
+from lexweave.llm.textmap import map_texts
 
 CHARS_AT_ONCE = 1 << 19
 MEMO, MEMO_WORD = 600_000, 48
@@ -135,57 +134,45 @@ def codec(model: str) -> Codec:
     return Codec(model)
 
 
-def _model(docs: DataFrame, path: str | None, pattern: str | None):
-    ship(docs.sparkSession)
-    text = tokenizer_json(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    return docs.sparkSession.sparkContext.broadcast(text)
+def _model(spark: SparkSession, path: str | None, pattern: str | None):
+    return spark.sparkContext.broadcast(tokenizer_json(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, offsets: bool = True) -> DataFrame:
     """doc_id, ids array<int> and, if asked for, offsets array<struct<start, end>> in code points."""
-    model = _model(docs, path, pattern)
+    model = _model(docs.sparkSession, path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model.value)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            if offsets:
-                rows = [(e.ids, [{"start": a, "end": b} for a, b in e.offsets]) for e in c.encode(texts)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [r[0] for r in rows], "offsets": [r[1] for r in rows]})
-            else:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.frombuffer(i, np.int32) for i in c.encode_bytes(texts)]})
+    def run(batch: pd.Series) -> pd.DataFrame:
+        c, texts = codec(model.value), [t or "" for t in batch]
+        if offsets:
+            rows = [(e.ids, [{"start": a, "end": b} for a, b in e.offsets]) for e in c.encode(texts)]
+            return pd.DataFrame({"ids": pd.Series([r[0] for r in rows], dtype=object), "offsets": pd.Series([r[1] for r in rows], dtype=object)})
+        return pd.DataFrame({"ids": pd.Series([np.frombuffer(i, np.int32) for i in c.encode_bytes(texts)], dtype=object)})
 
-    schema = "doc_id long, ids array<int>" + ", offsets array<struct<start:int,end:int>>" * offsets
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return map_texts(docs, id_col, text, run, "ids array<int>" + ", offsets array<struct<start:int,end:int>>" * offsets)
 
 
 def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and text of `tokens` (doc_id, ids)."""
-    model = _model(tokens, path, pattern)
+    """doc_id and text of `tokens` (doc_id, ids); null ids give an empty text."""
+    model = _model(tokens.sparkSession, path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batch: pd.Series) -> pd.DataFrame:
         c = codec(model.value)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [c.decode(i if i is not None else ()) for i in batch["ids"]]})
+        return pd.DataFrame({"text": [c.decode(i if i is not None else ()) for i in batch]})
 
-    return tokens.select("doc_id", F.col(ids).alias("ids")).mapInPandas(run, "doc_id long, text string")
+    return map_texts(tokens, "doc_id", ids, run, "text string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 a document, and the ids if asked for."""
-    model = _model(docs, path, pattern)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, sha = codec(model.value), hashlib.sha256
-        for batch in batches:
-            rows = []
-            for raw in c.encode_bytes([t or "" for t in batch["text"]]):
-                ids = np.frombuffer(raw, "<u4")
-                row = (len(ids), sha(raw).hexdigest(), sha(c.decode_bytes(ids.tolist())).hexdigest())
-                rows.append((*row, ids.astype(np.int32)) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    model = _model(docs.sparkSession, path, pattern)
+
+    def run(batch: pd.Series) -> pd.DataFrame:
+        c, sha, rows = codec(model.value), hashlib.sha256, []
+        for raw in c.encode_bytes([t or "" for t in batch]):
+            ids = np.frombuffer(raw, "<u4")
+            row = (len(ids), sha(raw).hexdigest(), sha(c.decode_bytes(ids.tolist())).hexdigest())
+            rows.append((*row, ids.astype(np.int32)) if with_ids else row)
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+    return map_texts(docs, id_col, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

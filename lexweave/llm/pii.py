@@ -14,7 +14,6 @@ table gives an empty table. Extra columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.spans import Span
-from lexweave.session import ship
+from lexweave.llm.textmap import map_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "ssn", "url_user")
@@ -108,14 +107,12 @@ def find_spans(text: str) -> list[Span]:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: doc_id, spans array<struct<kind, start, end>>."""
-    ship(docs.sparkSession)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t or "")] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t or "")] for t in texts]
+        return pd.DataFrame({"spans": pd.Series(spans, dtype=object)})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return map_texts(docs, id_col, text, scan, "spans array<struct<kind:string,start:long,end:long>>")
 
 
 def pii_digest(found: DataFrame) -> DataFrame:

@@ -1,15 +1,5 @@
-"""Spans found in a text and their digest, shared by the scanners."""
+"""Spans found in a text, shared by the scanners."""
 
 from __future__ import annotations
 
-import hashlib
-
 Span = tuple[str, int, int]  # kind, start, end in code points, end exclusive
-
-
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
-def digest(spans: list[Span]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()
