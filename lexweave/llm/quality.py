@@ -87,4 +87,7 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = 0.5
 def apply_verdicts(judged: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
     """`judged` with host_rate and kept: neither failed itself nor on a bad host."""
     joined = judged.drop("host_rate", "kept").join(verdicts.select(host, "host_rate", "host_bad"), host, "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_bad", F.lit(False))).drop("host_bad")
+    # one sum over both sides, null-tolerant: a filter on it, or one inferred from it, stays above the join
+    # and never copies the rules' expressions
+    faults = F.coalesce(F.col("base_failed").cast("int"), F.lit(1)) + F.coalesce(F.col("host_bad").cast("int"), F.lit(0))
+    return joined.withColumn("kept", faults == 0).drop("host_bad")

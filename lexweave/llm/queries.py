@@ -66,11 +66,13 @@ WITH d AS (
   SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM d
+), word AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w
 ), win AS (
-  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM w)
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER v || ' ' || lead(word, 2) OVER v || ' ' || lead(word, 3) OVER v || ' ' || lead(word, 4) OVER v AS g
+  FROM word WINDOW v AS (PARTITION BY doc_id ORDER BY i)
 ), twice AS (
-  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+  SELECT doc_id, i FROM win WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS r(k) GROUP BY doc_id
 ), f AS (
