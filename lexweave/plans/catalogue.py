@@ -2,12 +2,275 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "surface_qid_lists"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from lexweave.functions import text as T
+from lexweave.operators import graph, matching, mentions, policy, store, surfaces
+from lexweave.plans import adapters as A
+from lexweave.session import table
+from lexweave.sources import dumps
+
+FLAGSHIP = "dict_match_counts"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+@query(f"WITH {A.SOURCES_SQL} SELECT DISTINCT * FROM sources")
+def surface_sources(spark, d):
+    return A.sources(spark, d)
+
+
+@query(f"WITH {A.SOURCES_SQL} SELECT surface_key, array_to_string(qids, '|') AS qids, len(qids)::INT AS qid_count FROM lists")
+def surface_qid_lists(spark, d):
+    return surfaces.surface_qids(A.sources(spark, d)).withColumn("qids", F.array_join("qids", "|"))
+
+
+@query(f"WITH {A.SOURCES_SQL} SELECT surface_key, (row_number() OVER (ORDER BY surface_key) - 1)::BIGINT AS surface_id FROM lists")
+def surface_ids(spark, d):
+    return surfaces.dense_ids(A.sources(spark, d).select("surface_key").distinct(), "surface_key", "surface_id")
+
+
+@query(f"WITH {A.SOURCES_SQL} SELECT qid, (row_number() OVER (ORDER BY qid) - 1)::BIGINT AS eid_id FROM (SELECT DISTINCT substring(qid, 2)::BIGINT AS qid FROM sources)")
+def eid_ids(spark, d):
+    return surfaces.dense_ids(A.sources(spark, d).select(T.qid_number(F.col("qid")).alias("qid")).distinct(), "qid", "eid_id")
+
+
+@query(f"""WITH {A.SOURCES_SQL}, n AS (SELECT row_number() OVER (ORDER BY surface_key) - 1 AS surface_id, len(qids) AS length FROM lists)
+SELECT surface_id::BIGINT AS surface_id, coalesce(sum(length) OVER (ORDER BY surface_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", length::BIGINT AS length FROM n""")
+def surface_eid_index(spark, d):
+    lists = surfaces.dense_ids(surfaces.surface_qids(A.sources(spark, d)), "surface_key", "surface_id")
+    return surfaces.list_offsets(lists, "surface_id", F.col("qid_count"))
+
+
+@query(f"""WITH {A.SOURCES_SQL}
+SELECT wiki, count(*) AS "rows", count(*) FILTER (source = 'redirect') AS redirects, count(DISTINCT surface_key) AS surfaces, 0::BIGINT AS ambiguous FROM sources GROUP BY wiki
+UNION ALL SELECT '*', (SELECT count(*) FROM sources), (SELECT count(*) FROM sources WHERE source = 'redirect'), count(*), count(*) FILTER (len(qids) > 1) FROM lists""")
+def ambiguous_surface_summary(spark, d):
+    return surfaces.ambiguity_summary(A.sources(spark, d))
+
+
+@query("""WITH t AS (
+  SELECT p_partkey AS qid, list_sort(list_distinct(list_filter([p_partkey % 13 + 1, p_size + 1000, CASE WHEN p_partkey % 50 = 0 THEN 4167410 END], lambda x: x IS NOT NULL))) AS targets FROM part
+), m AS (
+  SELECT coalesce(t.qid, n.n_nationkey * 1000) AS qid, targets FROM t FULL JOIN nation n ON n.n_nationkey * 1000 = t.qid
+) SELECT qid::BIGINT AS qid, (CASE WHEN list_contains(targets, 4167410) THEN 1 ELSE 0 END)::INT AS flags, coalesce(array_to_string(targets, '|'), '') AS targets FROM m""")
+def entity_type_edges(spark, d):
+    candidates = table(spark, d, "nation").select((F.col("n_nationkey") * 1000).cast("bigint").alias("qid"))
+    return surfaces.type_edges(A.claims(spark, d), candidates).withColumn("targets", F.array_join(F.col("targets").cast("array<string>"), "|"))
+
+
+@query(f"WITH RECURSIVE {A.EDGES_SQL} SELECT DISTINCT target, source FROM edges")
+def reverse_adjacency(spark, d):
+    return graph.reverse_adjacency(A.graph_edges(spark, d))
+
+
+def _distances(spark, d):
+    anchors = spark.range(3).select(F.col("id").cast("int").alias("anchor_id"), (F.col("id") + 1).alias("qid"))
+    return graph.anchor_distances(A.graph_edges(spark, d), anchors)
+
+
+@query(f"WITH RECURSIVE {A.EDGES_SQL} SELECT anchor_id::INT AS anchor_id, node, distance::INT AS distance FROM best")
+def entity_color_distance(spark, d):
+    return _distances(spark, d)
+
+
+@query(f"""WITH RECURSIVE {A.EDGES_SQL}
+SELECT node, string_agg(anchor_id || ':' || distance, ' ' ORDER BY anchor_id, distance) AS colors FROM best WHERE node % 3 <> 0 GROUP BY node""")
+def entity_color_cards(spark, d):
+    nodes = A.graph_edges(spark, d).select(F.explode(F.array("source", "target")).alias("node")).filter("node % 3 <> 0")
+    found = graph.cards(_distances(spark, d), nodes)
+    return found.select("node", F.array_join(F.transform("colors", lambda c: F.concat_ws(":", c["anchor_id"].cast("string"), c["distance"].cast("string"))), " ").alias("colors"))
+
+
+@query(f"WITH {A.POLICY_SQL} SELECT qid, report FROM report")
+def entity_policy_report(spark, d):
+    return A.policy_cards(spark, d).select("qid", policy.should_report(F.col("flags"), F.col("colors")).alias("report"))
+
+
+@query(f"""WITH {A.SOURCES_SQL}, {A.POLICY_SQL}
+SELECT surface_key, string_agg(q, '|' ORDER BY q) AS qids FROM (SELECT surface_key, unnest(qids) AS q FROM lists) JOIN report ON report.qid = q AND report GROUP BY surface_key""")
+def policy_filtered_candidates(spark, d):
+    found = policy.filter_candidates(surfaces.surface_qids(A.sources(spark, d)), entity_policy_report(spark, d))
+    return found.withColumn("qids", F.array_join("qids", "|"))
+
+
+def _matches(spark, d, kind):
+    return matching.match_dictionary(table(spark, d, "documents"), A.dictionary_words(spark, d), "doc_id", "text", kind)
+
+
+@query(f"WITH {A.MATCHES_SQL} SELECT * FROM matches")
+def dict_matches_overlapping(spark, d):
+    return _matches(spark, d, "overlapping")
+
+
+@query(f"WITH {A.MATCHES_SQL} SELECT surface, count(*) AS n, count(DISTINCT note_id) AS notes FROM matches GROUP BY surface")
+def dict_match_counts(spark, d):
+    return _matches(spark, d, "overlapping").groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("note_id").alias("notes"))
+
+
+@query(f"""WITH {A.MATCHES_SQL} SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY note_id, "end" ORDER BY "end" - start DESC, surface_id) = 1""")
+def dict_matches_longest_per_end(spark, d):
+    return _matches(spark, d, "longest_per_end")
+
+
+@query()
+def dict_matches_nonoverlap(spark, d):
+    return _matches(spark, d, "nonoverlap")
+
+
+@query()
+def dict_matches_leftmost_longest(spark, d):
+    return _matches(spark, d, "leftmost_longest")
+
+
+@query()
+def dict_matches_leftmost_first(spark, d):
+    return _matches(spark, d, "leftmost_first")
+
+
+@query("""SELECT (count(DISTINCT p) + 1)::BIGINT AS num_states FROM (SELECT unnest(list_transform(range(1, length(p_name) + 1), lambda k: p_name[1:k])) AS p FROM part)""")
+def automaton_num_states(spark, d):
+    return matching.num_states(table(spark, d, "part"), "p_name")
+
+
+@query("""WITH c AS (SELECT unnest(string_split(p_name, '')) AS ch FROM part), n AS (SELECT ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch)
+SELECT ch, n, (row_number() OVER (ORDER BY n DESC, ch) - 1)::INT AS code FROM n""")
+def char_code_map(spark, d):
+    from pyspark.sql import Window as W
+
+    counts = table(spark, d, "part").select(F.explode(F.split("p_name", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("code", F.row_number().over(W.orderBy(F.desc("n"), "ch")) - 1)  # one row a character of the alphabet
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS code_points, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS utf16 FROM documents")
+def offset_units(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("code_points"), F.octet_length("text").cast("bigint").alias("bytes"), T.utf16_length(F.col("text")).alias("utf16"))
+
+
+@query(f"WITH {A.INTERVALS_SQL} SELECT * FROM clustered")
+def match_clusters(spark, d):
+    return mentions.clusters(A.intervals(spark, d))
+
+
+@query(f"""WITH {A.INTERVALS_SQL} SELECT note_id, cluster_no, min(start) AS start, max("end") AS "end", count(*) AS n_matches, max(n_qids) AS n_qids,
+CASE WHEN count(*) = 1 AND max(n_qids) = 1 THEN 'mention' ELSE 'conflict' END AS kind FROM clustered GROUP BY note_id, cluster_no""")
+def mention_classification(spark, d):
+    return mentions.classify(mentions.clusters(A.intervals(spark, d)))
+
+
+@query("""SELECT l_orderkey AS note_id, (l_linenumber % 2)::INT AS section, l_suppkey % 5 AS eid, l_partkey * 10 + l_linenumber AS start FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2, l_suppkey % 5 ORDER BY l_partkey * 10 + l_linenumber) = 1""")
+def section_first_link(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), (F.col("l_linenumber") % 2).cast("int").alias("section"), (F.col("l_suppkey") % 5).alias("eid"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("start"))
+    return mentions.first_links(li)
+
+
+@query("""SELECT 'Q' || s_suppkey AS eid, ((SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND (l_returnflag <> 'R' OR l_linestatus = 'F'))
++ (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey % 120 = s_suppkey))::BIGINT AS ref_count FROM supplier""")
+def entity_ref_counts(spark, d):
+    return store.reference_counts(*A.store(spark, d))
+
+
+@query("""WITH s AS (SELECT l_partkey % 50 AS k, arg_max('Q' || (l_suppkey % 9), l_orderkey * 10 + l_linenumber) AS e FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+SELECT l_orderkey AS note_id, l_linenumber AS line, CASE WHEN l_linenumber = 1 THEN 'Q1' WHEN e IN ('Q' || (l_suppkey % 9), 'Q' || (l_partkey % 9)) THEN e END AS resolved_eid FROM lineitem LEFT JOIN s ON s.k = l_partkey % 50""")
+def decision_inheritance(spark, d):
+    li = table(spark, d, "lineitem")
+    key = {"hash": (F.col("l_partkey") % 50).cast("string"), "surface": F.lit("s"), "surface_id": F.lit(1), "start": F.lit(0), "end": F.lit(2)}
+    q = lambda c: F.concat(F.lit("Q"), (F.col(c) % 9).cast("string"))
+    matches = li.select(F.col("l_orderkey").alias("note_id"), F.col("l_linenumber").alias("line"), *[c.alias(n) for n, c in key.items()], F.array(q("l_suppkey"), q("l_partkey")).alias("eids"), F.when(F.col("l_linenumber") == 1, "Q1").alias("resolved_eid"))
+    stored = li.filter("l_linenumber <= 2").select(*[c.alias(n) for n, c in key.items()], q("l_suppkey").alias("resolved_eid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return store.inherit_decisions(matches, stored).select("note_id", "line", "resolved_eid")
+
+
+@query("""SELECT DISTINCT 'Q' || k AS eid, k < 20 AS old FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey < 20 UNION SELECT c_custkey % 150 FROM customer)
+WHERE k >= 20 OR k IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 20) OR k NOT IN (SELECT s_suppkey FROM supplier)""")
+def entity_upsert(spark, d):
+    eid = lambda c: F.concat(F.lit("Q"), c.cast("string")).alias("eid")
+    old = table(spark, d, "supplier").filter("s_suppkey < 20").select(eid(F.col("s_suppkey")), F.lit(True).alias("old"))
+    new = table(spark, d, "customer").select(eid(F.col("c_custkey") % 150), (F.col("c_custkey") % 150 < 20).alias("old"))
+    return store.merge_new(old, new, "eid")
+
+
+@query("SELECT c_custkey AS note_id, CASE WHEN o.k IS NOT NULL THEN 'synced' ELSE 'modified' END AS status, coalesce(o.m, 1)::BIGINT AS mtime, coalesce(o.s, 2)::BIGINT AS size, coalesce(o.h, 'h') AS hash FROM customer LEFT JOIN (SELECT o_custkey AS k, max(o_orderkey) AS m, count(*) AS s, 'h' || count(*) AS h FROM orders GROUP BY 1) o ON o.k = c_custkey")
+def note_mark_synced(spark, d):
+    notes = table(spark, d, "customer").select(F.col("c_custkey").alias("note_id"), F.lit("modified").alias("status"), F.lit(1).cast("bigint").alias("mtime"), F.lit(2).cast("bigint").alias("size"), F.lit("h").alias("hash"))
+    n = F.count(F.lit(1))
+    seen = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("note_id")).agg(F.max("o_orderkey").alias("mtime"), n.alias("size"), F.concat(F.lit("h"), n).alias("hash"))
+    return store.mark_synced(notes, seen)
+
+
+@query("SELECT l_orderkey AS note_id, l_linenumber AS line FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+def cascade_delete(spark, d):
+    notes = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("note_id"))
+    return store.cascade_delete(notes, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.col("l_linenumber").alias("line")), "note_id")
+
+
+@query("""SELECT 'mention_range' AS rule, count(*) AS n FROM lineitem WHERE NOT (l_partkey % 10 - 1 >= 0 AND l_linenumber > l_partkey % 10 - 1)
+UNION ALL SELECT 'mention_note', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)""")
+def constraint_violations(spark, d):
+    _, found, _ = A.store(spark, d)
+    return store.violations(found, table(spark, d, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("note_id")))
+
+
+@query("""WITH n AS (SELECT c_custkey AS path, c_custkey % 5 AS mtime, c_nationkey AS hash FROM customer WHERE c_custkey % 7 <> 0), s AS (SELECT c_custkey AS path, c_custkey % 4 AS mtime, c_custkey % 25 AS hash FROM customer WHERE c_custkey % 6 <> 0)
+SELECT coalesce(n.path, s.path) AS path, CASE WHEN n.hash IS NULL THEN 'new' WHEN s.hash IS NULL THEN 'missing' WHEN n.mtime = s.mtime OR n.hash = s.hash THEN 'unchanged' ELSE 'modified' END AS status FROM n FULL JOIN s ON s.path = n.path""")
+def note_status_transition(spark, d):
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    notes = c.filter("c_custkey % 7 <> 0").select(k.alias("path"), (k % 5).alias("mtime"), F.col("c_nationkey").alias("hash"))
+    scan = c.filter("c_custkey % 6 <> 0").select(k.alias("path"), (k % 4).alias("mtime"), (k % 25).alias("hash"))
+    return store.status_changes(notes, scan)
+
+
+@query("SELECT eid FROM (SELECT 'Q' || l_suppkey AS eid FROM lineitem WHERE l_returnflag <> 'R' OR l_linestatus = 'F' UNION SELECT 'Q' || (o_custkey % 120) FROM orders WHERE o_orderkey % 4 = 0)")
+def collected_mention_eids(spark, d):
+    _, found, won = A.store(spark, d)
+    return found.filter(store.effective(F.col("suspect"), F.col("resolved"))).select("eid").union(won.filter("resolved_eid IS NOT NULL")).distinct()
+
+
+@query(r"SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') AS escaped, true AS same FROM documents")
+def tsv_escape(spark, d):
+    coded = table(spark, d, "documents").withColumn("escaped", T.escape_tsv(F.col("text")))
+    return coded.select("doc_id", "escaped", (T.unescape_tsv(F.col("escaped")) == F.col("text")).alias("same"))
+
+
+@query("SELECT p_partkey, 'wiki/Q' || p_partkey AS target, CASE WHEN p_partkey > 0 THEN 'Q' || p_partkey END AS eid FROM part")
+def link_target_paths(spark, d):
+    raw = table(spark, d, "part").select("p_partkey", T.link_target(F.concat(F.lit(" /wiki\\Q"), F.col("p_partkey").cast("string"), F.lit("#part"))).alias("target"))
+    return raw.withColumn("target", F.regexp_replace("target", "^/", "")).withColumn("eid", T.entity_id_of_path(F.concat("target", F.lit(".md"))))
+
+
+@query("SELECT 'Q' || p_partkey AS qid, 'Q' || p_size || '|Q' || (p_partkey % 13) AS targets FROM part")
+def json_claims(spark, d):
+    one = lambda n: F.concat(F.lit('[{"mainsnak":{"datavalue":{"value":{"id":"Q'), n.cast("string"), F.lit('"}}}}]'))
+    line = F.concat(F.lit('{"id":"Q'), F.col("p_partkey").cast("string"), F.lit('","claims":{"P31":'), one(F.col("p_size")), F.lit(',"P2":[],"P279":'), one(F.col("p_partkey") % 13), F.lit("}},"))
+    lines = table(spark, d, "part").select(F.explode(F.array(F.lit("["), line, F.lit(""), F.lit("]"))).alias("value"))
+    return dumps.entity_claims(lines).withColumn("targets", F.array_join("targets", "|"))
+
+
+@query("SELECT p_partkey AS page_id, 0::INT AS namespace, p_name || '''s' AS title FROM part WHERE p_partkey % 5 <> 0")
+def dump_tuples(spark, d):
+    p = F.col("p_partkey")
+    row = F.concat(F.lit("("), p.cast("string"), F.lit(","), F.when(p % 5 == 0, "4").otherwise("0"), F.lit(",'"), F.col("p_name"), F.lit("\\'s',NULL)"))
+    lines = table(spark, d, "part").select(F.concat(F.lit("INSERT INTO `page` VALUES "), row, F.lit(";")).alias("value"))
+    return dumps.pages(dumps.insert_rows(lines, "page"))
