@@ -50,10 +50,12 @@ def longest_per_end(patterns: tuple[str, ...], text: str) -> list[Hit]:
 
 
 def nonoverlap(patterns: tuple[str, ...], text: str) -> list[Hit]:
-    """At the first end reached the longest hit since the last one; then on from there."""
+    """At the first end reached the longest hit since the last one, then on from there; an empty pattern wins everywhere."""
+    if "" in patterns:
+        return [(k, k, patterns.index("")) for k in range(len(text) + 1)]
     out, at = [], 0
     for h in overlapping(patterns, text):
-        if h[0] >= at and (h[0] < h[1] or not out or h[1] > out[-1][1]) and (not out or h[1] > out[-1][1]):
+        if h[0] >= at:
             out.append(h)
             at = h[1]
     return out
@@ -62,16 +64,12 @@ def nonoverlap(patterns: tuple[str, ...], text: str) -> list[Hit]:
 def leftmost(patterns: tuple[str, ...], text: str, first: bool) -> list[Hit]:
     """At the leftmost start the longest pattern, or the one registered first; then on after it."""
     ranked = sorted(overlapping(patterns, text), key=lambda h: (h[0], h[2]) if first else (h[0], h[0] - h[1], h[2]))
-    out, at, empty_at = [], 0, -1
+    out, at = [], 0
     for h in ranked:
-        if h[0] < at or (h[0] == h[1] and h[0] == empty_at):
-            continue
-        if h[0] == h[1] and out and out[-1][1] == h[0] and out[-1][0] < out[-1][1]:
-            continue
-        if out and out[-1][0] == h[0]:
+        if h[0] < at or (h[0] == h[1] == at and out):  # an empty hit right after a hit is skipped
             continue
         out.append(h)
-        at, empty_at = h[1], h[1]
+        at = h[1]
     return out
 
 
