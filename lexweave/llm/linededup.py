@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sit
     spread = boilerplate(lines, min_sites)
     doomed = lines.join(spread, "_lw_h").filter((F.col("_lw_doc") != F.col("first_doc")) | (F.col("_lw_pos") != F.col("first_pos")))
     doomed = stage(doomed.groupBy("_lw_doc").agg(F.collect_set("_lw_pos").alias("_lw_gone")), "doomed-lines")
-    out = docs.drop("n_lines", "n_removed_lines").withColumn("_lw_doc", F.xxhash64(id_col, text)).join(doomed, "_lw_doc", "left")
+    # the doomed lines grow with the documents: they are never broadcast, whatever their size now
+    out = docs.drop("n_lines", "n_removed_lines").withColumn("_lw_doc", F.xxhash64(id_col, text)).join(doomed.hint("merge"), "_lw_doc", "left")
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_lw_gone", i))
     return out.withColumns(
         {
