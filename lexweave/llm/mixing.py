@@ -133,7 +133,7 @@ def deal_slots(plans: list[SourcePlan], slots_per_shard: int, seed: int) -> list
 class Mix:
     """A mix of `docs`: `sized` documents with stream offsets, `pieces` in blocks, and `slots` to fill."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, slots_per_shard: int = 1 << 16, rows_per_bucket: int = 20_000, max_sources: int = 100_000, seed: int = 5) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, slots_per_shard: int = 1 << 16, rows_per_bucket: int = 2_000, max_sources: int = 100_000, seed: int = 5) -> None:
         spark = docs.sparkSession
         ship(spark)
         base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("_lw_doc"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("bigint").alias("size"))
@@ -208,6 +208,7 @@ class Mix:
         """
         stretch = F.sort_array(F.collect_list(F.struct("doc_from", "n")))
         parts = self.draws().groupBy("_lw_doc", "offset", "epoch").agg(stretch.alias("_lw_parts"), F.sum("n").alias("_lw_n"))
+        parts = parts.hint("merge")  # they grow with the documents and are never broadcast
         whole = self.docs.withColumn("_lw_doc", F.xxhash64(self.id_col, self.text))
         once = whole.join(parts.drop("offset"), "_lw_doc") if self._no_repeats() else whole.dropDuplicates(["_lw_doc"]).join(parts.drop("offset"), "_lw_doc")
         words = F.array_join(F.flatten(F.transform("_lw_parts", lambda p: F.slice("_lw_w", (p["doc_from"] + 1).cast("int"), p["n"].cast("int")))), " ")

@@ -189,7 +189,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     found = near_duplicates(docs, id_col, text, shingle, budget)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_lw_rows"))
     stays = stage(stays, "stays").withColumnRenamed("doc_id", "_lw_id")
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["_lw_id"]))
+    # the ids that stay grow with the documents: they are never broadcast, whatever their size now
+    kept = docs.join(stays.hint("merge"), docs[id_col].eqNullSafe(stays["_lw_id"]))
     single = kept.filter("_lw_rows = 1").drop("_lw_id", "_lw_rows")
     several = kept.filter("_lw_rows > 1")
     several = several.withColumn("_lw_text", F.when(F.col(id_col).isNull(), F.xxhash64(text))).dropDuplicates([id_col, "_lw_text"])
