@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexweave.llm.textmap import map_texts
 
 CHARS_AT_ONCE = 1 << 19
-MEMO, MEMO_WORD = 600_000, 48
+MEMO, MEMO_WORD = 250_000, 48
 
 
 @cache

@@ -168,7 +168,7 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text:
             for (i, _), p in zip(pending, total, strict=True):
                 langs[i], scores[i] = net.langs[int(p.argmax())], float(min(1.0, p.max()))
 
-        for i, t in enumerate(batch):
+        for i, t in enumerate(batch.array):
             if net is None or not t or not LETTER.search(t):
                 continue
             pending.append((i, cut_windows(t)))
