@@ -4,8 +4,9 @@ A record's sort key is (hash of its text, hash of its id). Size-weighted samplin
 quantiles become the splitters of many small ranges, and exact sizes per range are then summed. Ranges that
 came out overfull (one text holds them) are subdivided by the second part of the key. Runs of neighbouring
 ranges make up the shards, so shard sizes differ by about one small range, and equal texts stay together
-unless they alone overfill a range. The number of ranges follows the number of rows, which bounds what one
-task numbers.
+unless they alone overfill a range. The number of ranges follows the number of rows up to `most_ranges`, which
+bounds the splitters in the plan and the sample that one task sorts; beyond it ranges grow, and numbering
+them sorts on disk.
 
 Defined results: a null text has size 1 and checksum 0; rows with a null id are placed by their text alone.
 Repeated rows each get a slot of their own. An empty table gives an empty table. Other columns pass
@@ -48,13 +49,13 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
 
 
-def shard_records(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", rows_per_range: int = 20_000, least_ranges: int = 512, oversample: int = 16) -> DataFrame:
+def shard_records(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", rows_per_range: int = 20_000, least_ranges: int = 512, most_ranges: int = 65_536, oversample: int = 16) -> DataFrame:
     """`docs` with size, text_crc32, law ('bytes'), shard, slot (gapless in the shard) and grown_shard (null)."""
     filled = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.drop(*OWN).withColumns({"size": record_size(F.col(text)), "text_crc32": F.crc32(filled), "_lw_k1": F.xxhash64(filled), "_lw_k2": F.xxhash64(F.col(id_col), F.lit(7))})
     whole = keyed.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).first()
     total = whole["bytes"] or 0
-    ranges = max(least_ranges, -(-whole["rows"] // rows_per_range))
+    ranges = min(most_ranges, max(least_ranges, -(-whole["rows"] // rows_per_range)))
     cuts = splitters(keyed, ranges, total, oversample)
     ranged = range_of(keyed, "_lw_k1", cuts, "_lw_r")
 
