@@ -81,10 +81,15 @@ def find(patterns: tuple[str, ...], text: str, kind: str) -> list[Hit]:
     return {"overlapping": overlapping, "longest_per_end": longest_per_end, "nonoverlap": nonoverlap}[kind](patterns, text)
 
 
+def check_size(patterns: list[str], most: int = 50_000_000) -> None:
+    """The bound of what is broadcast, in characters."""
+    if sum(map(len, patterns)) > most:
+        raise ValueError("the dictionary is too large to broadcast")
+
+
 def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: str, kind: str = "overlapping", max_dictionary: int = 50_000_000) -> DataFrame:
     """(note_id, start, end, surface_id, surface) for every match; surface_id is the pattern's position."""
-    if sum(map(len, patterns)) > max_dictionary:
-        raise ValueError("the dictionary is too large to broadcast")
+    check_size(patterns, max_dictionary)
     ship(notes.sparkSession)
     shared = notes.sparkSession.sparkContext.broadcast(tuple(patterns))
 

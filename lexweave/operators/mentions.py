@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def clusters(matches: DataFrame, note: str = "note_id") -> DataFrame:
+def clusters(matches: DataFrame, note: str | list[str] = "note_id") -> DataFrame:
     """`matches` with cluster_no: a new cluster starts where a match begins at or after all ends before it."""
     order = W.partitionBy(note).orderBy("start", "end", "surface_id")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
