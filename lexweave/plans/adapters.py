@@ -151,3 +151,21 @@ def store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     mentions = li.select(F.col("l_orderkey").alias("note_id"), F.concat(F.lit("Q"), "l_suppkey").alias("eid"), (F.col("l_returnflag") == "R").alias("suspect"), (F.col("l_linestatus") == "F").alias("resolved"), (F.col("l_partkey") % 10 - 1).cast("int").alias("start"), F.col("l_linenumber").cast("int").alias("end"))
     won = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("Q"), F.col("o_custkey") % 120)).alias("resolved_eid"))
     return entities, mentions, won
+
+
+NOTE_WORDS = ["Ask", "Tor", "Velm Tor"]
+
+
+def part_notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Notes with an old link, and the candidates of NOTE_WORDS."""
+    old = F.concat(F.lit("[[wiki/Q"), (F.col("p_partkey") % 5 + 1).cast("string"), F.lit("|Velm Tor]] met "))
+    notes = table(spark, d, "part").select(F.col("p_partkey").alias("note_id"), F.concat(old, "p_name", F.lit(" and Ask *x*\n")).alias("text"))
+    return notes, spark.createDataFrame([(0, ["Q5"]), (1, ["Q4"]), (2, ["Q2", "Q3"])], "surface_id int, eids array<string>")
+
+
+NOTES_SQL = """
+notes AS (
+  SELECT p_partkey AS note_id, p_partkey % 5 + 1 AS e, p_name AS name, length(p_name) AS n, ' met ' || p_name || ' and Ask ' AS seen FROM part
+), around AS (
+  SELECT *, CASE WHEN substring(seen, 30, 1) = ' ' THEN seen[:31] ELSE seen[:30] END AS right_context FROM notes
+)"""

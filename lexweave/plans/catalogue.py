@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import graph, matching, mentions, policy, store, surfaces
+from lexweave.operators import graph, matching, mentions, notes, policy, store, surfaces
 from lexweave.plans import adapters as A
 from lexweave.session import table
 from lexweave.sources import dumps
@@ -274,3 +274,38 @@ def dump_tuples(spark, d):
     row = F.concat(F.lit("("), p.cast("string"), F.lit(","), F.when(p % 5 == 0, "4").otherwise("0"), F.lit(",'"), F.col("p_name"), F.lit("\\'s',NULL)"))
     lines = table(spark, d, "part").select(F.concat(F.lit("INSERT INTO `page` VALUES "), row, F.lit(";")).alias("value"))
     return dumps.pages(dumps.insert_rows(lines, "page"))
+
+
+@query(f"""WITH {A.NOTES_SQL}, p AS (SELECT note_id, unnest([
+  (0, 'link', 'Velm Tor', 0, 20, 'Q' || e, 'wiki/Q' || e || '.md'), (1, 'text', seen, 20, 34 + n, NULL, NULL),
+  (2, 'markdown_emphasis', '*', 34 + n, 35 + n, NULL, NULL), (3, 'text', 'x', 35 + n, 36 + n, NULL, NULL),
+  (4, 'markdown_emphasis', '*', 36 + n, 37 + n, NULL, NULL), (5, 'text', chr(10), 37 + n, 38 + n, NULL, NULL)]) AS p FROM notes)
+SELECT note_id, p[1]::INT AS piece_no, p[2] AS syntax, p[3] AS text, p[4]::INT AS start, p[5]::INT AS "end", p[6] AS eid, p[7] AS path FROM p""")
+def note_pieces(spark, d):
+    return notes.note_pieces(A.part_notes(spark, d)[0])
+
+
+def _note_groups(spark, d):
+    rows, candidates = A.part_notes(spark, d)
+    return rows, notes.mention_groups(notes.with_candidates(notes.note_matches(rows, A.NOTE_WORDS), candidates))
+
+
+@query(f"""WITH {A.NOTES_SQL} SELECT note_id, 0::INT AS segment_no, 2::INT AS cluster_no, 'Ask' AS text, 'Q5' AS eid, 0::INT AS surface_id,
+(30 + n)::INT AS source_start, (33 + n)::INT AS source_end, false AS suspect, false AS resolved FROM notes""")
+def note_mentions(spark, d):
+    return notes.mentions_of(_note_groups(spark, d)[1])
+
+
+@query(f"""WITH {A.NOTES_SQL} SELECT note_id, 'Velm Tor' AS text, 0::INT AS source_start, 20::INT AS source_end, '' AS left_context, right_context,
+sha256('{{"version":"mention-conflict-v1","leftContext":"","text":"Velm Tor","rightContext":"' || right_context
+|| '","matches":[{{"text":"Velm Tor","surfaceId":2,"eids":["Q2","Q3"]}},{{"text":"Tor","surfaceId":1,"eids":["Q4"]}}]}}') AS hash FROM around""")
+def note_conflicts(spark, d):
+    return notes.conflicts_of(_note_groups(spark, d)[1]).select("note_id", "text", "source_start", "source_end", "left_context", "right_context", "hash")
+
+
+@query(f"""WITH {A.NOTES_SQL} SELECT note_id, CASE WHEN e IN (2, 3) THEN '[[wiki/Q' || e || '|Velm Tor]]' WHEN e = 4 THEN '[[wiki/Q4|Tor]]' ELSE 'Velm Tor' END
+|| ' met ' || name || ' and [[wiki/Q5|Ask]] *x*' || chr(10) AS text, true AS changed FROM notes""")
+def note_rewriting(spark, d):
+    rows, groups = _note_groups(spark, d)
+    wanted = notes.replacements(notes.mentions_of(groups), notes.conflict_matches_of(notes.conflicts_of(groups)))
+    return notes.render_notes(rows, wanted)
