@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, linededup, mixing, quality, simhash
+from lexweave.llm import bpe, linededup, mixing, neardup, quality
 from lexweave.staging import stage
 
 
@@ -29,8 +29,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return neardup.keep_one(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,7 +186,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     Of repeated rows of that id one stays. Rows with a null id stay if no row of their component has an id,
     one for each text.
     """
-    found = near_duplicates(docs, id_col, text, shingle, budget)
+    return keep_named(docs, near_duplicates(docs, id_col, text, shingle, budget), id_col, text)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of `docs` that name their component in `found` (doc_id, component_id), as keep_one() defines."""
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_lw_rows"))
     stays = stage(stays, "stays").withColumnRenamed("doc_id", "_lw_id")
     # the ids that stay grow with the documents: they are never broadcast, whatever their size now
