@@ -8,7 +8,7 @@ sample queries need for the aimed recall. Parts are searched in blocks, so none
 candidates are reranked by exact Euclidean distance in double precision.
 
 Parts come from the sample: their number grows with it up to `parts`. A query goes on to further parts until
-they hold k candidates at least.
+they hold k candidates with ids of their own at least, or no part is left.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do rows without an id or with another length than most vectors have. Equal distances rank by smaller id.
@@ -163,9 +163,14 @@ def _exact(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarr
         screen = norms[None] - 2 * q @ rows.T + (q * q).sum(axis=1)[:, None]
         for i, s in enumerate(screen):
             s = np.where(ids == own[at + i], np.inf, s)
-            edge = np.partition(s, min(k, len(s)) - 1)[min(k, len(s)) - 1]
-            # everything that rounding could bring among the k nearest is measured exactly
-            near = np.nonzero(s <= edge + 1e-9 * (abs(edge) + norms.max()))[0] if np.isfinite(edge) else np.nonzero(np.isfinite(s))[0]
+            take = k
+            while True:  # repeated ids may fill the nearest rows: go on until k ids or all rows are in
+                edge = np.partition(s, min(take, len(s)) - 1)[min(take, len(s)) - 1]
+                # everything that rounding could bring among the nearest is measured exactly
+                near = np.nonzero(s <= edge + 1e-9 * (abs(edge) + norms.max()))[0] if np.isfinite(edge) else np.nonzero(np.isfinite(s))[0]
+                if take >= len(s) or not np.isfinite(edge) or len(np.unique(ids[near])) >= k:
+                    break
+                take *= 2
             d = np.sqrt(((rows[near] - q[i]) ** 2).sum(axis=1))
             order = np.lexsort((ids[near], d))
             seen, pick = set(), []
@@ -192,11 +197,14 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         for batch in batches:
             yield batch.assign(part=shared.value(np.stack(batch["v"].to_numpy())).argmax(axis=1).astype("int32") if shared.value.parts > 1 and len(batch) else 0)
 
-    index = stage(rows.mapInPandas(home, "vec_id long, v array<double>, part int"), "ann-index")
+    index = stage(rows.dropDuplicates(["vec_id", "v"]).mapInPandas(home, "vec_id long, v array<double>, part int"), "ann-index")
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one row a part
+    # ids that only one part has: as many as these, a query is sure to find
+    sole = index.groupBy("vec_id").agg(F.min("part").alias("part"), F.max("part").alias("last")).filter("part = last")
+    sole = {r["part"]: r["count"] for r in sole.groupBy("part").count().collect()}
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.array([sizes.get(p, 0) for p in range(shared.value.parts)])
+        held = np.array([sole.get(p, 0) for p in range(shared.value.parts)])
         for batch in batches:
             if not len(batch):
                 continue
