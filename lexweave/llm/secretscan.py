@@ -1,7 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
-A small lexer reads source and configuration syntax (name = literal, "name": literal, name := literal, with
-+ between parts) into name-literal pairs and resolves names assigned earlier in the same text, so a literal
+A small lexer reads source and configuration syntax (name = literal, "name": literal, name := literal,
+name: type = literal, with + between parts) into name-literal pairs and resolves names assigned earlier in the same text, so a literal
 reaches every name it is passed on to. Each literal is scored by the sensitive words in the names it reaches
 and by its own form. Base spans (assign, access, hex) are fixed patterns over the same text.
 
@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from lexweave.llm.spans import Span
 from lexweave.llm.textmap import map_texts
 
+#: More than the longest placeholder.
+EDGE = 16
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,9 +35,13 @@ LONG_HEX = re.compile(r"[0-9a-f]{32}")
 # Weights of words in target names.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pw": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "key": 0.5, "private": 0.4, "access": 0.4, "api": 0.4, "signing": 0.4, "encryption": 0.4, "client": 0.1}
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]?|xxxx|dummy|<|\$\{|\{\{|^(?:none|null|true|false|undefined)$", re.IGNORECASE)
-TARGET = re.compile(r"(?<![A-Za-z0-9_.\-])([\"'`]?)([A-Za-z_][A-Za-z0-9_.\-]*+)\1[\x20\t]{0,4}(?::=|=>|=(?!=)|:(?!:))[\x20\t]{0,4}")
+# A type between a name and its "=": a word without digits or a short one, with type arguments and alternatives.
+_ONE_TYPE = r"(?:&[\x20\t]*+(?:'[a-z]++[\x20\t]++)?)?(?:[A-Za-z_.]++(?:::[A-Za-z_]++)*+|[A-Za-z0-9_.]{1,7}+)(?![A-Za-z0-9_.])(?:<[^<>\n=:]*+>|\[(?:[^\[\]\n=:]++|\[[^\[\]\n=:]*+\])*+\])*+[?!]?"
+TYPE = rf"(?::[\x20\t]*+{_ONE_TYPE}(?:[\x20\t]*+\|[\x20\t]*+{_ONE_TYPE})*+|[\x20\t]string)(?:[\x20\t]++(?==(?!=))|(?==[\x20\t]*+[\"'`]))"
+TARGET = re.compile(rf"(?<![A-Za-z0-9_.\-])([\"'`]?)([A-Za-z_][A-Za-z0-9_.\-]*+)\1(?:{TYPE})?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+")
 TERM = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.\-]*+)(?![A-Za-z0-9+/=])|([A-Za-z0-9+/_.=\-]+)")
-PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
+_BREAKS = r"[\x20\t]*+(?:\\?\r?\n[\x20\t]*+)*+"
+PLUS = re.compile(rf"{_BREAKS}\+{_BREAKS}")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -50,29 +57,68 @@ def base_spans(text: str) -> list[Span]:
     return [s for _, _, s in sorted(found)]
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, literal spans): constants propagate from names assigned earlier in the text."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+@dataclass
+class Value:
+    """A literal or a sum of earlier values; what its score needs is summed up, its text is not kept."""
+
+    terms: list[Value]
+    span: tuple[int, int] | None = None
+    length: int = 0
+    counts: Counter = field(default_factory=Counter)
+    placeholder: bool = False
+    head: str = ""
+    tail: str = ""
+    best: float = 0.0
+
+    @classmethod
+    def literal(cls, text: str, a: int, b: int) -> Value:
+        s = text[a:b]
+        return cls([], (a, b), len(s), Counter(s), bool(PLACEHOLDER.search(s)), s[:EDGE], s[-EDGE:])
+
+    @classmethod
+    def joined(cls, terms: list[Value]) -> Value:
+        if len(terms) == 1:
+            return cls(terms, None, terms[0].length, terms[0].counts, terms[0].placeholder, terms[0].head, terms[0].tail)
+        out = cls(terms)
+        for t in terms:
+            # a placeholder may lie across the seam
+            out.placeholder = out.placeholder or t.placeholder or bool(PLACEHOLDER.search(f"\n{out.tail}{t.head}\n"))
+            out.length += t.length
+            out.counts.update(t.counts)
+            out.head = (out.head + t.head)[:EDGE]
+            out.tail = (out.tail + t.tail)[-EDGE:]
+        if out.length > 1 << 60:  # a name doubled again and again: the shares of the characters are enough
+            out.counts = Counter({c: max(1, (n << 50) // out.length) for c, n in out.counts.items()})
+            out.length = sum(out.counts.values())
+        return out
+
+    def score(self) -> float:
+        if self.length < 8 or self.placeholder:
+            return 0.0
+        spread = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values()) / math.log2(min(self.length, 64))
+        classes = sum(bool(re.search(c, "".join(self.counts))) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return max(0.0, min(1.0, spread * (0.4 + 0.3 * classes)))
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) by place: constants propagate from names assigned earlier in the text."""
+    known: dict[str, Value] = {}
     at = 0
     while m := TARGET.search(text, at):
         at = m.end()
-        value, spans = [], []
+        terms: list[Value] = []
         while t := TERM.match(text, at):
             group = t.lastindex or 1
-            if group == 3 and t[3] in known:
-                value.append(known[t[3]][0])
-                spans += known[t[3]][1]
-            else:
-                value.append(t[group] or "")
-                spans.append(t.span(group))
+            terms.append(known[t[3]] if group == 3 and t[3] in known else Value.literal(text, *t.span(group)))
             at = t.end()
             plus = PLUS.match(text, at)
-            if not plus or len(spans) > 16:
+            # a plus sign at a line's start may also mark an added line with an assignment of its own
+            if not plus or ("\n" in plus[0] and TARGET.match(text, plus.end())):
                 break
             at = plus.end()
-        if spans:
-            known[m[2]] = ("".join(value), tuple(spans[:16]))
-            yield m[2], "".join(value), spans[:16]
+        if terms:
+            known[m[2]] = Value.joined(terms)
+            yield m[2], known[m[2]]
 
 
 def name_score(name: str) -> float:
@@ -82,24 +128,26 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 to 1 by length, spread of characters and classes; placeholders score 0."""
-    if len(value) < 8 or PLACEHOLDER.search(value):
-        return 0.0
-    counts = Counter(value)
-    spread = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values()) / math.log2(min(len(value), 64))
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return max(0.0, min(1.0, spread * (0.4 + 0.3 * classes)))
+    return Value.literal(value, 0, len(value)).score()
 
 
 def literal_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, float]]:
     """Literals that reach a sensitive name: (start, end, best score), by start."""
     if "=" not in text and ":" not in text:
         return []
+    values = []
+    for name, value in assignments(text):
+        values.append(value)
+        weight = name_score(name)
+        if weight >= threshold and (score := weight * value.score()) >= threshold:
+            value.best = max(value.best, score)
     best: dict[tuple[int, int], float] = {}
-    for name, value, spans in assignments(text):
-        score = name_score(name) * literal_score(value)
-        if score >= threshold:
-            for span in spans:
-                best[span] = max(best.get(span, 0.0), score)
+    for value in reversed(values):  # terms are older than their sums
+        if value.best:
+            for term in value.terms:
+                term.best = max(term.best, value.best)
+                if term.span:
+                    best[term.span] = term.best
     return [(a, b, s) for (a, b), s in sorted(best.items()) if b > a]
 
 

@@ -15,3 +15,20 @@ def test_ann_repeated_rows_do_not_take_places(spark):
     d = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
     d[0] = np.inf
     assert list(got["rank"]) == list(range(1, 11)) and list(got.vec_id) == np.argsort(d)[:10].tolist()
+
+
+def test_secret_lexer_takes_wide_blanks_types_and_long_sums():
+    found = lambda code: [code[a:b] for a, b, _ in secretscan.literal_spans(code)]
+    key = "hV7/kQ2x9Lm4Zp1s"
+    for code in (f'aws_secret_access_key{" " * 9}= "{key}"', f"client_secret:{' ' * 12}{key}", f'const apiKey: string = "{key}";', f'password: str = "{key}"', f'password: str="{key}"', f'api_key: Optional[Dict[str, str]] = "{key}"', f'let token: string | null = "{key}"', f"const SECRET: &'static str = \"{key}\";", f'var apiKey string = "{key}"'):
+        assert found(code) == [key], code
+    assert found("token: QWxhZGRpbjpvcGVuU2Vz=\n") == ["QWxhZGRpbjpvcGVuU2Vz="]
+    assert found(f"password: {key.replace('/', '')} = x") == [key.replace("/", "")]
+    parts = [f"p{i}Xq" for i in range(40)]
+    assert found("secret = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    assert found('key = ""\n' + "".join(f'key = key + "{p}"\n' for p in parts) + "secret_token = key\n") == parts
+    assert found("secret = " + " +\n  ".join(f'"{p}"' for p in parts)) == parts
+    assert found("secret = " + "\n  + ".join(f'"{p}"' for p in parts)) == parts
+    assert found(f'label = "x"\n+password = "{key}"\n') == [key]
+    assert found('password = "hV7/kQ2x" + "9Lm exam" + "ple4Zp1s"') == []  # a placeholder across a seam
+    assert len(found('a = "hV7/kQ2x9Lm4Zp1s"\n' + "a = a + a\n" * 20000 + "password = a\n")) == 1
