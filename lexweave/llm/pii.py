@@ -36,9 +36,18 @@ IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 RUN = re.compile(r"[0-9]+")
-IBAN = re.compile(r"[^A-Za-z0-9]{0,20}?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-SSN = re.compile(r"[^0-9\n]{0,20}?([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-URL_USER = re.compile(r"://([^\s/@:]{1,64}:[^\s/@]{1,64})@")
+ALNUM = re.compile(r"[A-Za-z0-9]")
+#: How far a number may stand behind its cue: eight words on the cue's line, or signs and line ends.
+NEAR = 120
+SIGNS = re.compile(r"[^A-Za-z0-9]{0,20}")
+WORDS = re.compile(r"(?:[^\S\n]*+\S++){0,8}+[^\S\n]*+")
+NUMBER = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+IBAN = re.compile(rf"(?<![A-Za-z0-9]){NUMBER.pattern}")
+SSN = re.compile(r"[^0-9\n]{0,120}?([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+URL_USER = re.compile(r"://([^\s/@:]++:[^\s/@]++)@")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+# Characters of an IBAN by country.
+IBAN_SIZE = {w[:2]: int(w[2:]) for w in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 
 
 def luhn(digits: str) -> bool:
@@ -54,12 +63,32 @@ def iban_ok(number: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def iban_after(text: str, at: int) -> tuple[int, int] | None:
+    """The first account number within reach behind a cue that ends at `at`.
+
+    A candidate ends where its country's numbers do; with an unknown country, at the last end at which it is valid.
+    """
+    reach = max(SIGNS.match(text, at).end(), WORDS.match(text, at, at + NEAR).end())
+    after = at
+    # a number may touch its cue, but no other word
+    while (m := (after == at and NUMBER.match(text, at, at + NEAR + 64)) or IBAN.search(text, after, at + NEAR + 64)) and m.start() <= reach:
+        start = m.start()
+        after = start + 1
+        # ends within the candidate at which no letter or digit follows
+        ends = [e for e in range(m.end(), start + 14, -1) if text[e - 1] != " " and not ALNUM.match(text, e)]
+        if size := IBAN_SIZE.get(text[start : start + 2]):
+            ends = [e for e in ends if e - start - text.count(" ", start, e) == size] or ends[:1]
+        for e in ends:
+            if e - start - text.count(" ", start, e) >= 15 and iban_ok(text[start:e]):
+                return start, e
+    return None
+
+
 @cache
 def _anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word in ("@", "+", *DIGITS, *CUES):
-        for form in {word, word.title(), word.upper()}:
-            found.add_word(form, word)
+        found.add_word(word, word)
     found.make_automaton()
     return found
 
@@ -68,7 +97,10 @@ def find_spans(text: str) -> list[Span]:
     """All spans, by kind as listed, then start."""
     out: dict[str, list[Span]] = {k: [] for k in (*BASE_KINDS, *MORE_KINDS)}
     done = dict.fromkeys(out, 0)  # up to where each kind has read
-    for end, word in _anchors().iter(text):
+    folded = text.lower()
+    if len(folded) != len(text):  # a letter that is two in lower case would move what follows
+        folded = text.translate(LOWER)
+    for end, word in _anchors().iter(folded):
         at = end - len(word) + 1
         if word == "@":
             start = at
@@ -98,10 +130,14 @@ def find_spans(text: str) -> list[Span]:
                     if 16 <= len(digits) <= 19 and luhn(digits):
                         out["card"].append(("card", *m.span()))
         elif at >= done[kind := CUES[word]]:
-            m = {"iban": IBAN, "ssn": SSN, "url_user": URL_USER}[kind].match(text, at if kind == "url_user" else end + 1)
-            if m and (kind != "iban" or iban_ok(m[1])):
-                out[kind].append((kind, *m.span(1)))
-                done[kind] = m.end(1)
+            if kind == "iban":
+                span = iban_after(text, end + 1)
+            else:
+                m = SSN.match(text, end + 1) if kind == "ssn" else URL_USER.match(text, at)
+                span = m and m.span(1)
+            if span:
+                out[kind].append((kind, *span))
+                done[kind] = span[1]
     return [s for spans in out.values() for s in spans]
 
 

@@ -32,3 +32,19 @@ def test_secret_lexer_takes_wide_blanks_types_and_long_sums():
     assert found(f'label = "x"\n+password = "{key}"\n') == [key]
     assert found('password = "hV7/kQ2x" + "9Lm exam" + "ple4Zp1s"') == []  # a placeholder across a seam
     assert len(found('a = "hV7/kQ2x9Lm4Zp1s"\n' + "a = a + a\n" * 20000 + "password = a\n")) == 1
+
+
+def test_pii_cues_in_ordinary_wording():
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.find_spans(text) if k in pii.MORE_KINDS]
+    plain, wide = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for text, want in (
+        (f"IBAN number: {plain}", plain), (f"account no. {plain}", plain), (f"The account of the firm is {wide}.", wide), (f"Iban:\n{plain}", plain), (f"IBAN{plain}", plain),
+        (f"IBAN: {wide} BIC: COBADEFF", wide), (f"IBAN {plain} EUR 500", plain), (f"iBaN {wide} Eur", wide), (f"İ IBAN {plain}", plain),
+        (f"IBAN of AB12 {wide}", wide), (f"IBAN check DE00370400440532013000, then {plain}", plain),
+    ):
+        assert found(text) == [("iban", want)], text
+    assert found(f"IBAN: {plain}1") == found("account DE88370400440532013000") == found(f"my account\nand {plain} on the next line") == []
+    for text in ("Social security number: 078-05-1120", "sOcial Security number of the insured person: 078-05-1120"):
+        assert found(text) == [("ssn", "078-05-1120")]
+    token = "x" * 300
+    assert found(f"see https://user:{token}@host/ and ftp://{token}:p@h") == [("url_user", f"user:{token}"), ("url_user", f"{token}:p")]
