@@ -2,18 +2,20 @@
 
 A bounded, hash-chosen sample of distinct vectors (`sample` rows) is linked to its near neighbours; that
 graph is cut into balanced parts by recursive bisection (spectral start, then swaps that lower the cut). A
-small network learns from the sample to name a vector's part. It then routes every vector to its most
-probable part, which makes the index, and every query to as many of its most probable parts as held-out
-sample queries need for the aimed recall. Parts are searched in blocks, so none is gathered in one task, and
-candidates are reranked by exact Euclidean distance in double precision.
+small softmax classifier, started at the parts' mean directions, learns from the sample to name the parts of a
+vector's neighbours. It then routes every vector to its most probable part, which makes the index, and every
+query to its most probable parts until their probabilities add up to `reach`, the sum that held-out sample
+queries need for the aimed recall. Candidates are reranked by exact Euclidean distance in double precision.
 
-Parts come from the sample: their number grows with it up to `parts`. A query goes on to further parts until
-they hold k candidates with ids of their own at least, or no part is left.
+The number of parts grows with the sample up to `parts`. Neighbouring parts share a shelf, whose rows and
+queries meet in blocks of `block_bytes`, so none is gathered in one task; in a block a query is compared with
+the rows of its own parts only. A query goes on to further parts until they hold k candidates with ids of their
+own at least, or no part is left.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do rows without an id or with another length than most vectors have. Equal distances rank by smaller id.
-Rows of one id count once, by their nearest vector. An empty table gives an empty table. Extra columns are
-not read.
+Rows of one id count once, by their nearest vector. A distance too large for a double is infinite. An empty
+table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -75,66 +77,77 @@ def balanced_parts(graph: np.ndarray, parts: int, sweeps: int = 12, seed: int =
 
 @dataclass
 class Router:
-    """A network of one hidden layer from a vector to part probabilities."""
+    """Softmax classifier from a vector to part probabilities, and the probability that a query's parts add up to."""
 
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-    probes: int = 1
+    w: np.ndarray
+    b: np.ndarray
+    reach: float = 1.0
 
     @property
     def parts(self) -> int:
-        return len(self.b2)
+        return len(self.b)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        scores = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = x @ self.w + self.b
+        scores = np.nan_to_num(scores, posinf=1e300, neginf=-1e300)
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
         return scores / scores.sum(axis=1, keepdims=True)
 
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts by falling probability, and the probability of those before each."""
+        p = self(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p, order, 1)
+        return order, np.cumsum(p, axis=1) - p
 
-def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 25, batch: int = 256, rate: float = 0.002, seed: int = 2) -> Router:
+
+def _whole() -> Router:
+    return Router(np.zeros((1, 1)), np.zeros(1))
+
+
+def train_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, heat: float = 10.0, epochs: int = 10, batch: int = 256, rate: float = 0.002, seed: int = 2) -> Router:
     """Adam on cross-entropy against each vector's distribution of neighbours over parts."""
     rng = np.random.default_rng(seed)
-    r = Router(rng.standard_normal((x.shape[1], hidden)) * np.sqrt(2 / x.shape[1]), np.zeros(hidden), rng.standard_normal((hidden, target.shape[1])) * np.sqrt(1 / hidden), np.zeros(target.shape[1]))
-    params = [r.w1, r.b1, r.w2, r.b2]
+    means = np.zeros((parts, x.shape[1]))
+    np.add.at(means, part, x)
+    r = Router(heat * (means / (np.linalg.norm(means, axis=1, keepdims=True) + 1e-12)).T, np.zeros(parts))
+    params = [r.w, r.b]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    wanted = np.concatenate([part[graph], part[:, None]], axis=1)  # a vector's own part counts like a neighbour's
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-            h = np.maximum(x[at] @ r.w1 + r.b1, 0)
-            scores = h @ r.w2 + r.b2
-            p = np.exp(scores - scores.max(axis=1, keepdims=True))
-            p = (p / p.sum(axis=1, keepdims=True) - target[at]) / len(at)
-            back = (p @ r.w2.T) * (h > 0)
+            p = r(x[at])
+            np.add.at(p, (np.arange(len(at))[:, None], wanted[at]), -1 / wanted.shape[1])
+            p /= len(at)
             step += 1
-            for param, grad, m, v in zip(params, (x[at].T @ back, back.sum(0), h.T @ p, p.sum(0)), first, second, strict=True):
+            for param, grad, m, v in zip(params, (x[at].T @ p, p.sum(0)), first, second, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return r
 
 
-def fit(x: np.ndarray, parts: int, k: int = 10, recall: float = 0.96) -> Router:
-    """A router from a bounded sample of vectors; a tenth of it is held out to set the number of probes."""
-    parts = 1 << max(0, min(parts, len(x) // 64).bit_length() - 1)
-    if parts == 1:
-        return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    scale = 1 / (np.sqrt((x * x).sum(axis=1).mean()) + 1e-12)
+def fit(x: np.ndarray, parts: int, k: int = 10, recall: float = 0.93) -> Router:
+    """A router from a bounded sample of vectors; a tenth of it is held out to set `reach`."""
     tests, rest = x[::10], x[np.arange(len(x)) % 10 != 0]
+    parts = 1 << max(0, min(parts, len(rest) // 16).bit_length() - 1)
+    if parts == 1 or not len(tests):
+        return _whole()
+    middle = rest.mean(axis=0)
+    scale = 1 / (np.sqrt(((rest - middle) ** 2).sum(axis=1).mean()) + 1e-12)
     graph = knn_graph(rest, min(k, len(rest) - 1))
     part = balanced_parts(graph, parts)
-    target = np.zeros((len(rest), parts))
-    np.add.at(target, (np.repeat(np.arange(len(rest)), graph.shape[1]), part[graph.ravel()]), 1.0)
-    target[np.arange(len(rest)), part] += 1
-    router = train_router(rest * scale, target / target.sum(axis=1, keepdims=True))
-    router.w1 *= scale
+    router = train_router((rest - middle) * scale, graph, part, parts)
+    router.w = router.w * scale  # from here on it takes vectors as they are
+    router.b = router.b - middle @ router.w
     home = router(rest).argmax(axis=1)
     norms = (rest * rest).sum(axis=1)
-    near = np.argpartition(norms[None] - 2 * tests @ rest.T, min(k, len(rest) - 1), axis=1)[:, :k]
-    order = np.argsort(-router(tests), axis=1)
+    near = np.argpartition(norms[None] - 2 * tests @ rest.T, min(k, len(rest)) - 1, axis=1)[:, :k]
+    order, before = router.ranked(tests)
     place = np.argsort(order, axis=1)  # rank of each part for each test
-    ranks = np.take_along_axis(place, home[near], 1)
-    router.probes = next(m for m in range(1, parts + 1) if (ranks < m).mean() >= recall or m == parts)
+    needed = np.take_along_axis(before, np.take_along_axis(place, home[near], 1), 1)
+    router.reach = float(np.quantile(needed, recall)) + 1e-9
     return router
 
 
@@ -155,81 +168,141 @@ def sample_vectors(rows: DataFrame, count: int, sample: int, seed: int = 4) -> n
     return np.array([r["v"] for r in found], float)
 
 
-def _exact(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the ids and distances of its k nearest rows, ties to smaller ids, its own id left out."""
-    norms, out = (rows * rows).sum(axis=1), []
-    for at in range(0, len(queries), 128):
-        q = queries[at : at + 128]
-        screen = norms[None] - 2 * q @ rows.T + (q * q).sum(axis=1)[:, None]
-        for i, s in enumerate(screen):
-            s = np.where(ids == own[at + i], np.inf, s)
-            take = k
-            while True:  # repeated ids may fill the nearest rows: go on until k ids or all rows are in
-                edge = np.partition(s, min(take, len(s)) - 1)[min(take, len(s)) - 1]
-                # everything that rounding could bring among the nearest is measured exactly
-                near = np.nonzero(s <= edge + 1e-9 * (abs(edge) + norms.max()))[0] if np.isfinite(edge) else np.nonzero(np.isfinite(s))[0]
-                if take >= len(s) or not np.isfinite(edge) or len(np.unique(ids[near])) >= k:
-                    break
-                take *= 2
-            d = np.sqrt(((rows[near] - q[i]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[near], d))
-            seen, pick = set(), []
-            for j in order:
-                if ids[near[j]] not in seen:
-                    seen.add(ids[near[j]])
-                    pick.append(j)
-                    if len(pick) == k:
-                        break
-            out.append((ids[near[pick]], d[pick]))
-    return out
-
-
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8192, parts: int = 32, block_rows: int = 8192, recall: float = 0.96) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest rows found for each row where `is_query` holds (on vec_id)."""
-    ship(vectors.sparkSession)
+def _few_copies(rows: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` smallest ids of each distinct vector: no query needs more of them."""
+    order = np.argsort(ids, kind="stable")
+    key = pd.Series([r.tobytes() for r in rows[order]])
+    return np.sort(order[(key.groupby(key).cumcount() < most).to_numpy()])
+
+
+def _near_rows(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """(query, vec_id, score): for each query, by its place, what can be among its k nearest of `rows`."""
+    if not len(rows):
+        return
+    norms = (rows * rows).sum(axis=1)
+    take = min(len(rows), k * int(np.unique(ids, return_counts=True)[1].max()))  # k ids, however often one repeats
+    for at in range(0, len(queries), max(1, (1 << 21) // len(rows))):
+        q = queries[at : at + max(1, (1 << 21) // len(rows))]
+        screen = norms[None] - 2 * q @ rows.T
+        screen[ids[None] == own[at : at + len(q), None]] = np.inf
+        edge = np.partition(screen, take - 1, axis=1)[:, take - 1]
+        # everything that rounding could bring among the nearest is measured exactly
+        slack = 1e-9 * (np.where(np.isfinite(edge), np.abs(edge), 0) + norms.max() + (q * q).sum(axis=1))
+        i, j = np.nonzero((screen <= (edge + slack)[:, None]) & np.isfinite(screen))
+        yield pd.DataFrame({"query": i + at, "vec_id": ids[j], "score": np.sqrt(((rows[j] - q[i]) ** 2).sum(axis=1))})
+
+
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["query", "score", "vec_id"]).drop_duplicates(["query", "vec_id"])
+    return found[found.groupby("query").cumcount() < k]
+
+
+def search_block(asks: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score): of a block's rows the k nearest to each of its queries, from the query's parts."""
+    q, v, ids, part = np.stack(asks["q"].to_numpy()), np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy(), rows["part"].to_numpy()
+    scale = max(np.abs(q).max(), np.abs(v).max())
+    scale = scale if scale > 1e100 else 1.0  # squares must not overflow before they are compared
+    q, v, own = q / scale, v / scale, asks["query_id"].to_numpy()
+    kept = _few_copies(v, ids, k + 1)
+    v, ids, part = v[kept], ids[kept], part[kept]
+    wants = pd.Series(np.repeat(np.arange(len(asks)), asks["parts"].str.len())).groupby(np.concatenate(asks["parts"].to_numpy())).indices
+    who = np.repeat(np.arange(len(asks)), asks["parts"].str.len())
+    best, pending, size = [], [], 0
+    for p, places in wants.items():
+        mine, here = who[places], part == p
+        for found in _near_rows(q[mine], own[mine], v[here], ids[here], k):
+            pending.append(found.assign(query=mine[found["query"].to_numpy()]))
+            size += len(found)
+            if size > 1 << 20:  # what is held stays bounded
+                pending, size = [_best(pd.concat(pending), k)], 0
+    best = _best(pd.concat(pending), k) if pending else pd.DataFrame({"query": np.zeros(0, int), "vec_id": np.zeros(0, int), "score": np.zeros(0)})
+    return pd.DataFrame({"query_id": own[best["query"].to_numpy()], "vec_id": best["vec_id"].to_numpy(), "score": best["score"].to_numpy() * scale})
+
+
+@dataclass
+class Index:
+    """Every usable vector with its part and shelf, as a staged table (vec_id, v, part, shelf)."""
+
+    router: Router
+    rows: DataFrame
+    sizes: dict[int, int]  # rows by part
+    sole: dict[int, int]  # by part, ids that no other part has
+    per_shelf: int  # parts
+
+    def asks(self, is_query: Column, k: int) -> DataFrame:
+        """(query_id, q, shelf, parts): the parts that each query reads, by shelf."""
+        shared = self.rows.sparkSession.sparkContext.broadcast(self.router)
+        held, per_shelf = np.array([self.sole.get(p, 0) for p in range(self.router.parts)]), self.per_shelf
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            router = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 512):
+                    some = batch.iloc[at : at + 512]
+                    order, before = router.ranked(np.stack(some["v"].to_numpy())) if router.parts > 1 else (np.zeros((len(some), 1), int), np.zeros((len(some), 1)))
+                    read = (before < router.reach) | (np.cumsum(held[order], axis=1) - held[order] < k + 1)
+                    i, j = np.nonzero(read)
+                    parts = pd.DataFrame({"i": i, "part": order[i, j].astype("int32"), "shelf": order[i, j] // per_shelf})
+                    lists = parts.groupby(["i", "shelf"])["part"].agg(list).reset_index()
+                    chosen = some.iloc[lists["i"].to_numpy()]
+                    yield pd.DataFrame({"query_id": chosen["vec_id"].to_numpy(), "q": chosen["v"].to_numpy(), "shelf": lists["shelf"].astype("int32"), "parts": lists["part"]})
+
+        return self.rows.filter(is_query).select("vec_id", "v").mapInPandas(route, "query_id long, q array<double>, shelf int, parts array<int>")
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 18_432, parts: int = 1_024, rows_per_shelf: int = 4_096, recall: float = 0.93) -> Index:
+    """Fit the router on a sample and give every vector its part."""
+    spark = vectors.sparkSession
+    ship(spark)
     rows = usable(vectors, id_col, vector)
     count = rows.count()
     x = sample_vectors(rows, count, sample)
-    router = fit(x, parts, k, recall) if len(x) else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    shared = vectors.sparkSession.sparkContext.broadcast(router)
+    router = fit(x, parts, k, recall) if len(x) else _whole()
+    shared = spark.sparkContext.broadcast(router)
+    shelves = min(router.parts, 1 << max(3, (count // rows_per_shelf).bit_length()))
+    per_shelf = router.parts // shelves
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(part=shared.value(np.stack(batch["v"].to_numpy())).argmax(axis=1).astype("int32") if shared.value.parts > 1 and len(batch) else 0)
+            part = np.zeros(len(batch), "int32")
+            if shared.value.parts > 1:
+                for at in range(0, len(batch), 512):
+                    part[at : at + 512] = shared.value(np.stack(batch["v"].iloc[at : at + 512].to_numpy())).argmax(axis=1)
+            yield batch.assign(part=part, shelf=part // per_shelf)
 
-    index = stage(rows.dropDuplicates(["vec_id", "v"]).mapInPandas(home, "vec_id long, v array<double>, part int"), "ann-index")
+    index = stage(rows.dropDuplicates(["vec_id", "v"]).mapInPandas(home, "vec_id long, v array<double>, part int, shelf int"), "ann-index")
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one row a part
     # ids that only one part has: as many as these, a query is sure to find
     sole = index.groupBy("vec_id").agg(F.min("part").alias("part"), F.max("part").alias("last")).filter("part = last")
-    sole = {r["part"]: r["count"] for r in sole.groupBy("part").count().collect()}
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.array([sole.get(p, 0) for p in range(shared.value.parts)])
-        for batch in batches:
-            if not len(batch):
-                continue
-            order = np.argsort(-shared.value(np.stack(batch["v"].to_numpy())), axis=1, kind="stable") if shared.value.parts > 1 else np.zeros((len(batch), 1), int)
-            enough = (np.cumsum(held[order], axis=1) - held[order] < k + 1).sum(axis=1)
-            probes = np.maximum(enough, shared.value.probes)
-            yield pd.DataFrame({"query_id": batch["vec_id"], "q": batch["v"], "parts": [o[:p].astype("int32") for o, p in zip(order, probes, strict=True)]})
-
-    queries = index.filter(is_query).mapInPandas(route, "query_id long, q array<double>, parts array<int>").select("query_id", "q", F.explode("parts").alias("part"))
-    queries = stage(queries, "ann-queries")
-    asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
-    blocks = lambda of, least: F.element_at(F.create_map(*[F.lit(n) for p in range(router.parts) for n in (p, -(-max(of.get(p, 0), 1) // least))]), F.col("part"))
-    # each block of a part's rows meets each block of its queries in a task of its own
-    rows_in = index.withColumn("rb", F.pmod(F.xxhash64("vec_id"), blocks(sizes, block_rows)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), blocks(asked, 2048) - 1)))
-    asks = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), blocks(asked, 2048)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), blocks(sizes, block_rows) - 1)))
+    return Index(router, index, sizes, {r["part"]: r["count"] for r in sole.groupBy("part").count().collect()}, per_shelf)
+
+
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, block_bytes: int = 32 << 20, **options) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest rows found for each row where `is_query` holds (on vec_id).
+
+    `options` are those of build_index().
+    """
+    spark, index = vectors.sparkSession, build_index(vectors, id_col, vector, k, **options)
+    first = index.rows.select(F.size("v").alias("d")).first()
+    block = max(256, block_bytes // (8 * (first["d"] if first else 1)))
+    queries = stage(index.asks(is_query, k), "ann-queries")
+    asked = {r["shelf"]: r["count"] for r in queries.groupBy("shelf").count().collect()}
+    held: dict[int, int] = {}
+    for part, n in index.sizes.items():
+        held[part // index.per_shelf] = held.get(part // index.per_shelf, 0) + n
+    # a row a shelf, and so no more of them than parts: how many blocks of rows and of queries it has
+    blocks = spark.createDataFrame([(s, -(-n // block), -(-asked.get(s, 0) // block)) for s, n in held.items() if asked.get(s)], "shelf int, rbs int, qbs int")
+    # each block of a shelf's rows meets each block of its queries in a task of its own
+    rows_in = index.rows.join(F.broadcast(blocks), "shelf").withColumn("rb", F.pmod(F.xxhash64("vec_id"), "rbs").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
+    asks = queries.join(F.broadcast(blocks), "shelf").withColumn("qb", F.pmod(F.xxhash64("query_id"), "qbs").cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.zeros(0, int), "vec_id": np.zeros(0, int), "score": np.zeros(0)})
-        found = _exact(np.stack(left["q"].to_numpy()), np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy(), left["query_id"].to_numpy(), k)
-        ids = np.repeat(left["query_id"].to_numpy(), [len(f[0]) for f in found])
-        return pd.DataFrame({"query_id": ids, "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
+        return search_block(left, right, k)
 
-    keys = ["part", "rb", "qb"]
-    near = asks.groupBy(*keys).cogroup(rows_in.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    keys = ["shelf", "rb", "qb"]
+    near = asks.select("query_id", "q", "parts", *keys).groupBy(*keys).cogroup(rows_in.select("vec_id", "v", "part", *keys).groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
