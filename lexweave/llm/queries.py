@@ -43,7 +43,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_records(table(spark, sf_dir, "documents")).select("doc_id", *sharding.OWN)
+    return sharding.shard_records(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
