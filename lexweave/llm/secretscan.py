@@ -1,21 +1,25 @@
 """Secret scans by assignment-aware lexing.
 
-A small lexer reads source and configuration syntax (name = literal, "name": literal, name := literal,
-name: type = literal, with + between parts) into name-literal pairs and resolves names assigned earlier in the same text, so a literal
-reaches every name it is passed on to. Each literal is scored by the sensitive words in the names it reaches
-and by its own form. Base spans (assign, access, hex) are fixed patterns over the same text.
+A small lexer reads source and configuration syntax into name-literal pairs: name = literal, "name": literal,
+name := literal, name: type = literal, with + between parts; quotes with escapes, triple quotes and back quotes;
+block scalars below a name; XML elements, name and value attributes; command flags. Names assigned earlier in
+the same text are resolved, so a literal reaches every name it is passed on to. Each literal is scored by the
+sensitive words in the names it reaches and by its own form. Base spans (assign, access, hex) are fixed
+patterns over the same text.
+
+A value keeps references to its terms and a summary of fixed size (length, the set of its characters, its ends),
+never a joined text, so time and memory are linear in the text however often names are added up.
 
 Defined results: a null text counts as empty and has no spans. Repeated rows repeat their result. An empty
-table gives an empty table. Extra columns are not read. Time is linear in the text.
+table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,9 +43,16 @@ PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]?|xxxx|dummy|<|\
 _ONE_TYPE = r"(?:&[\x20\t]*+(?:'[a-z]++[\x20\t]++)?)?(?:[A-Za-z_.]++(?:::[A-Za-z_]++)*+|[A-Za-z0-9_.]{1,7}+)(?![A-Za-z0-9_.])(?:<[^<>\n=:]*+>|\[(?:[^\[\]\n=:]++|\[[^\[\]\n=:]*+\])*+\])*+[?!]?"
 TYPE = rf"(?::[\x20\t]*+{_ONE_TYPE}(?:[\x20\t]*+\|[\x20\t]*+{_ONE_TYPE})*+|[\x20\t]string)(?:[\x20\t]++(?==(?!=))|(?==[\x20\t]*+[\"'`]))"
 TARGET = re.compile(rf"(?<![A-Za-z0-9_.\-])([\"'`]?)([A-Za-z_][A-Za-z0-9_.\-]*+)\1(?:{TYPE})?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+")
-TERM = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.\-]*+)(?![A-Za-z0-9+/=])|([A-Za-z0-9+/_.=\-]+)")
+TERM = re.compile(r"\"\"\"((?s:.*?))\"\"\"|'''((?s:.*?))'''|`([^`]*)`|\"((?:[^\"\\\n]|\\[^\n])*+)\"|'((?:[^'\\\n]|\\[^\n])*+)'|\"([^\"\n]*)\"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.\-]*+)(?![A-Za-z0-9+/=])|([A-Za-z0-9+/_.=\-]+)")
 _BREAKS = r"[\x20\t]*+(?:\\?\r?\n[\x20\t]*+)*+"
 PLUS = re.compile(rf"{_BREAKS}\+{_BREAKS}")
+NAME_TERM = 8  # the group of TERM that may be a name
+# A block scalar's mark after a name; its lines are indented deeper than the name's.
+BLOCK = re.compile(r"[|>][+-]?[0-9]?[\x20\t]*+\r?\n")
+INDENT = re.compile(r"[\x20\t]*+")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*+)>[\x20\t\r\n]*+([^<>]+)</\1>")
+ATTRIBUTES = re.compile(r"(?:name|key|id)[\x20\t]*+=[\x20\t]*+([\"'])([A-Za-z_][A-Za-z0-9_.:\-]*+)\1\s++value[\x20\t]*+=[\x20\t]*+([\"'])([^\"'\n]*+)\3")
+FLAG = re.compile(r"(?<![A-Za-z0-9_\-])--?([A-Za-z][A-Za-z0-9_\-]*+)(?:=|[\x20\t]++)(?:\"([^\"\n]*+)\"|'([^'\n]*+)'|(?![\-\"'])([^\s\"']++))")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -64,7 +75,7 @@ class Value:
     terms: list[Value]
     span: tuple[int, int] | None = None
     length: int = 0
-    counts: Counter = field(default_factory=Counter)
+    kinds: int = 0  # a bit a character; beyond ASCII, 128 bits stand for all others
     placeholder: bool = False
     head: str = ""
     tail: str = ""
@@ -73,43 +84,76 @@ class Value:
     @classmethod
     def literal(cls, text: str, a: int, b: int) -> Value:
         s = text[a:b]
-        return cls([], (a, b), len(s), Counter(s), bool(PLACEHOLDER.search(s)), s[:EDGE], s[-EDGE:])
+        kinds = 0
+        for c in set(s):
+            kinds |= 1 << (ord(c) if ord(c) < 128 else 128 + ord(c) % 128)
+        return cls([], (a, b), min(len(s), LONG_ENOUGH), kinds, bool(PLACEHOLDER.search(s)), s[:EDGE], s[-EDGE:])
 
     @classmethod
     def joined(cls, terms: list[Value]) -> Value:
-        if len(terms) == 1:
-            return cls(terms, None, terms[0].length, terms[0].counts, terms[0].placeholder, terms[0].head, terms[0].tail)
         out = cls(terms)
         for t in terms:
             # a placeholder may lie across the seam
-            out.placeholder = out.placeholder or t.placeholder or bool(PLACEHOLDER.search(f"\n{out.tail}{t.head}\n"))
-            out.length += t.length
-            out.counts.update(t.counts)
+            out.placeholder = out.placeholder or t.placeholder or (bool(out.tail) and bool(PLACEHOLDER.search(f"\n{out.tail}{t.head}\n")))
+            out.length = min(out.length + t.length, LONG_ENOUGH)
+            out.kinds |= t.kinds
             out.head = (out.head + t.head)[:EDGE]
             out.tail = (out.tail + t.tail)[-EDGE:]
-        if out.length > 1 << 60:  # a name doubled again and again: the shares of the characters are enough
-            out.counts = Counter({c: max(1, (n << 50) // out.length) for c, n in out.counts.items()})
-            out.length = sum(out.counts.values())
         return out
 
     def score(self) -> float:
+        """0 to 1 by length, number of different characters and their classes; placeholders score 0."""
         if self.length < 8 or self.placeholder:
             return 0.0
-        spread = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values()) / math.log2(min(self.length, 64))
-        classes = sum(bool(re.search(c, "".join(self.counts))) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        spread = math.log2(self.kinds.bit_count()) / math.log2(min(self.length, 64))
+        classes = sum(bool(self.kinds & c) for c in CLASSES)
         return max(0.0, min(1.0, spread * (0.4 + 0.3 * classes)))
 
 
+def _bits(characters: str) -> int:
+    return sum(1 << ord(c) for c in characters)
+
+
+#: Beyond this length a value's score no longer changes.
+LONG_ENOUGH = 64
+_LOWER, _UPPER, _DIGITS = _bits("abcdefghijklmnopqrstuvwxyz"), _bits("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _bits("0123456789")
+CLASSES = (_LOWER, _UPPER, _DIGITS, ~(_LOWER | _UPPER | _DIGITS))
+
+
+def block_scalar(text: str, name_at: int, at: int) -> tuple[int, int]:
+    """Start and end of the indented lines from `at` on, below the line of `name_at`; equal if there are none."""
+    depth = INDENT.match(text, text.rfind("\n", 0, name_at) + 1)
+    least = len(depth[0]) + 1
+    start = end = at
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        first = INDENT.match(text, at, stop).end()
+        if first < stop and text[first:stop] != "\r":
+            if first - at < least:
+                break
+            start, end = first if start == end else start, stop
+        at = stop + 1
+    return start, end
+
+
 def assignments(text: str) -> Iterator[tuple[str, Value]]:
     """(name, value) by place: constants propagate from names assigned earlier in the text."""
     known: dict[str, Value] = {}
-    at = 0
+    at = blocked = 0
     while m := TARGET.search(text, at):
         at = m.end()
         terms: list[Value] = []
+        # the lines of a block may hold assignments of their own, but no further block
+        if m.start() >= blocked and (mark := BLOCK.match(text, at)):
+            a, blocked = block_scalar(text, m.start(), mark.end())
+            if a < (b := blocked):
+                known[m[2]] = Value.joined([Value.literal(text, a, b)])
+                yield m[2], known[m[2]]
+                continue
         while t := TERM.match(text, at):
             group = t.lastindex or 1
-            terms.append(known[t[3]] if group == 3 and t[3] in known else Value.literal(text, *t.span(group)))
+            terms.append(known[t[group]] if group == NAME_TERM and t[group] in known else Value.literal(text, *t.span(group)))
             at = t.end()
             plus = PLUS.match(text, at)
             # a plus sign at a line's start may also mark an added line with an assignment of its own
@@ -121,6 +165,16 @@ def assignments(text: str) -> Iterator[tuple[str, Value]]:
             yield m[2], known[m[2]]
 
 
+def marked_up(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, literal) of XML elements, of name and value attributes, and of command flags."""
+    if "</" in text:
+        yield from ((m[1], Value.joined([Value.literal(text, *m.span(2))])) for m in ELEMENT.finditer(text))
+    if "value" in text:
+        yield from ((m[2], Value.joined([Value.literal(text, *m.span(4))])) for m in ATTRIBUTES.finditer(text))
+    if "-" in text:
+        yield from ((m[1], Value.joined([Value.literal(text, *m.span(m.lastindex))])) for m in FLAG.finditer(text) if m.lastindex > 1)
+
+
 def name_score(name: str) -> float:
     parts = [p.lower() for p in PART.findall(name)]
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in parts))
@@ -133,21 +187,20 @@ def literal_score(value: str) -> float:
 
 def literal_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, float]]:
     """Literals that reach a sensitive name: (start, end, best score), by start."""
-    if "=" not in text and ":" not in text:
-        return []
     values = []
-    for name, value in assignments(text):
-        values.append(value)
-        weight = name_score(name)
-        if weight >= threshold and (score := weight * value.score()) >= threshold:
-            value.best = max(value.best, score)
+    for found in (assignments(text) if "=" in text or ":" in text else (), marked_up(text)):
+        for name, value in found:
+            values.append(value)
+            weight = name_score(name)
+            if weight >= threshold and (score := weight * value.score()) >= threshold:
+                value.best = max(value.best, score)
     best: dict[tuple[int, int], float] = {}
     for value in reversed(values):  # terms are older than their sums
         if value.best:
             for term in value.terms:
                 term.best = max(term.best, value.best)
                 if term.span:
-                    best[term.span] = term.best
+                    best[term.span] = max(best.get(term.span, 0.0), term.best)
     return [(a, b, s) for (a, b), s in sorted(best.items()) if b > a]
 
 
