@@ -2,19 +2,18 @@
 
 Fixed-length byte windows go through filters of several widths, max pooling and a softmax layer. Training is
 plain numpy on windows of a bounded sample of labelled documents (`docs_per_lang` documents a language,
-`windows_per_doc` windows each, at most `max_langs` languages), chosen by hash. With one-hot bytes a filter
+fewer where the languages would take more than `most_docs`, and `windows_per_doc` windows each), chosen by hash. With one-hot bytes a filter
 of width w is a sum of w table rows, so prediction gathers rows of small tables. Every window of every text
 is scored, in bounded batches; a document's probabilities are the mean over its windows, weighted by their
 letters.
 
-Defined results: a null text, or one without a letter, is `und` with score 0. Without any labelled document
+Defined results: a null text, or one without a letter (Unicode category L), is `und` with score 0. Without any labelled document
 every text is `und`. Repeated rows repeat their result. An empty table gives an empty table. Extra columns
 are not read; language, source and id are no inputs of a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +24,11 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.textmap import map_texts
 from lexweave.session import ship
+from lexweave.staging import stage
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-LETTER = re.compile(r"[^\W\d_]")
 #: Case is folded, digits and control characters become blanks.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b < 33 or 48 <= b <= 57 else b for b in range(256)], np.uint8)
 IS_LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -121,18 +120,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 400, windows_per_doc: int = 8, max_langs: int = 256, seed: int = 9) -> ByteNet | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 400, windows_per_doc: int = 8, most_docs: int = 50_000, seed: int = 9) -> ByteNet | None:
     """A net trained on a bounded, hash-chosen sample of the labelled documents that aren't held out."""
     ship(docs.sparkSession)
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False))).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not counts:
+    counts = stage(usable.groupBy("lang").count(), "languages")
+    langs = [r["lang"] for r in counts.orderBy("lang").select("lang").collect()]  # the classes of the net, one row each
+    if not langs:
         return None
-    langs = sorted(counts)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, docs_per_lang / counts[k])]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    per_lang = max(1, min(docs_per_lang, most_docs // len(langs)))
+    draw = F.pmod(F.xxhash64("id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.join(F.broadcast(counts), "lang").filter(draw < per_lang / F.col("count")).select("text", "lang")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,11 +140,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
                 cut = cut[:: -(-len(cut) // windows_per_doc)] if len(cut) else cut
                 yield pd.DataFrame({"w": [bytes(w) for w in cut], "lang": name})
 
-    rows = usable.filter(draw < share).mapInPandas(windows, "w binary, lang string").orderBy("lang", "w").collect()  # langs * docs_per_lang * windows_per_doc on average
+    # repeated rows fall together, so a language has per_lang * windows_per_doc windows on average, and twice that at most in all
+    rows = drawn.mapInPandas(windows, "w binary, lang string").distinct().orderBy(F.xxhash64("w"), "lang", "w").limit(2 * per_lang * windows_per_doc * len(langs))
+    rows = sorted((r["lang"], bytes(r["w"])) for r in rows.collect())
     if not rows:
         return None
-    x = np.stack([np.frombuffer(r["w"], np.uint8) for r in rows])
-    return train(langs, x, np.array([langs.index(r["lang"]) for r in rows]))
+    number = {name: i for i, name in enumerate(langs)}
+    return train(langs, np.stack([np.frombuffer(w, np.uint8) for _, w in rows]), np.array([number[name] for name, _ in rows]))
 
 
 def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text: str = "text", windows_at_once: int = 1024) -> DataFrame:
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text:
                 langs[i], scores[i] = net.langs[int(p.argmax())], float(min(1.0, p.max()))
 
         for i, t in enumerate(batch.array):
-            if net is None or not t or not LETTER.search(t):
+            if net is None or not t or not any(map(str.isalpha, t)):
                 continue
             pending.append((i, cut_windows(t)))
             size += len(pending[-1][1])
