@@ -3,9 +3,12 @@
 The vocabulary is a file of ranks (base64 token, rank). The driver turns it once into a tokenizers model:
 bytes map to printable characters, and each token's merge is the last step of merging its bytes by lower
 ranks. The model's text form (fixed by the vocabulary, a few MB) is broadcast and loaded once a worker.
-Every match of the split pattern is encoded by itself and special tokens do not exist. Where no offsets are
-asked for, a worker keeps the ids of short matches it has seen (`MEMO` at most, then it starts anew), and the
-library encodes only new ones. Decoding looks up each
+Special tokens do not exist. Ids and offsets come from the library's batch encoding. As every match of the
+split pattern is encoded by itself, a worker asks the library once for each different match of a slice of
+texts, keeps the ids and offsets of short ones (`MEMO` at most, then it starts anew) and shifts the offsets to
+where the match stands. Matches are found by `regex` in texts of characters on whose classes it agrees with
+the library (`PLAIN`); any other text goes to the library whole. Long texts are cut where a match must end, so
+that a worker holds a bounded number of matches, unless a single match is longer. Decoding looks up each
 id's characters and reverses the byte table; a character split over tokens comes out whole, as bytes are
 joined before they are read as UTF-8.
 
@@ -19,9 +22,11 @@ import base64
 import hashlib
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,8 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.textmap import map_texts
 
-CHARS_AT_ONCE = 1 << 19
+CHARS_AT_ONCE, TEXTS_AT_ONCE = 1 << 19, 4_096
 MEMO, MEMO_WORD = 250_000, 48
+#: Blocks of Unicode whose letters, numbers and blanks all versions of the classes agree on.
+PLAIN = re.compile("[\x00-\u02af\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u2190-\u22ff\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01\uff0c\uff1a\uff1b\uff1f\U0001f300-\U0001f320\U0001f400-\U0001f4fc\U0001f600-\U0001f640]*+")
+MATCH_END = re.compile(r"[!-~](?=[ \n])")
 
 
 @cache
@@ -72,16 +80,13 @@ def tokenizer_json(path: str, pattern: str) -> str:
     return model.to_str()
 
 
-def _held(texts: Sequence[str]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= CHARS_AT_ONCE:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def cut(text: str) -> Iterator[str]:
+    """The text in pieces of bounded length where it allows: between a visible ASCII character and a blank or line feed."""
+    at = 0
+    while len(text) - at > CHARS_AT_ONCE and (m := MATCH_END.search(text, at + CHARS_AT_ONCE // 2)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
 
 
 class Codec:
@@ -93,34 +98,44 @@ class Codec:
 
         self.tokenizer, parts = Tokenizer.from_str(model), json.loads(model)
         self.matches = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.tokenize = self.tokenizer.model.tokenize  # gets one match, spelt in byte characters
-        self.spelling = dict(enumerate(byte_characters()))
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = [b""] * (max(vocab.values(), default=-1) + 1)
         for word, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in word)
 
-    def encode(self, texts: Sequence[str]) -> Iterator:
-        """Encodings with offsets, in order; a bounded number of characters is held at once."""
-        for held in _held(texts):
-            yield from self.tokenizer.encode_batch(held, add_special_tokens=False)
-
-    def encode_bytes(self, texts: Sequence[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        for held in _held(texts):
-            split = [self.matches(t) for t in held]
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            new = {m for ms in split for m in ms if m not in self.memo}
-            own = {}
-            for m in new:
-                spelt = m.encode().decode("latin-1").translate(self.spelling)
-                (self.memo if len(m) <= MEMO_WORD else own)[m] = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
-            of = self.memo.__getitem__ if not own else lambda m: own[m] if m in own else self.memo[m]  # noqa: B023
-            for ms in split:
-                yield b"".join(map(of, ms))
+    def _batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids and offsets of each text by the library, as unsigned and signed 32-bit integers."""
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            for e in self.tokenizer.encode_batch(texts[at : at + TEXTS_AT_ONCE], add_special_tokens=False):
+                yield array("I", e.ids).tobytes(), array("i", chain.from_iterable(e.offsets)).tobytes()
+
+    def _piece(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
+        if not PLAIN.fullmatch(piece):
+            ids, offsets = next(self._batch([piece]))
+            return np.frombuffer(ids, "<u4"), np.frombuffer(offsets, "<i4").reshape(-1, 2)
+        found = self.matches(piece)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = list({m for m in found if m not in self.memo})
+        fresh = dict(zip(new, self._batch(new), strict=True))
+        self.memo.update((m, coded) for m, coded in fresh.items() if len(m) <= MEMO_WORD)
+        parts = [self.memo.get(m) or fresh[m] for m in found]
+        ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
+        offsets = np.frombuffer(b"".join([p[1] for p in parts]), "<i4").reshape(-1, 2)
+        starts = np.cumsum([0, *map(len, found[:-1])], dtype=np.int32)[: len(found)]
+        return ids, offsets + np.repeat(starts, [len(p[0]) // 4 for p in parts])[:, None]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and the start and end of each in code points."""
+        ids, offsets, at = [], [], 0
+        for piece in cut(text):
+            some, places = self._piece(piece)
+            ids.append(some)
+            offsets.append(places + np.int32(at))
+            at += len(piece)
+        return (ids[0], offsets[0]) if len(ids) == 1 else (np.concatenate(ids), np.concatenate(offsets))
 
     def decode_bytes(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -138,18 +153,16 @@ def _model(spark: SparkSession, path: str | None, pattern: str | None):
     return spark.sparkContext.broadcast(tokenizer_json(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, offsets: bool = True) -> DataFrame:
-    """doc_id, ids array<int> and, if asked for, offsets array<struct<start, end>> in code points."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids array<int>, and starts and ends array<int> in code points."""
     model = _model(docs.sparkSession, path, pattern)
 
     def run(batch: pd.Series) -> pd.DataFrame:
-        c, texts = codec(model.value), [t or "" for t in batch]
-        if offsets:
-            rows = [(e.ids, [{"start": a, "end": b} for a, b in e.offsets]) for e in c.encode(texts)]
-            return pd.DataFrame({"ids": pd.Series([r[0] for r in rows], dtype=object), "offsets": pd.Series([r[1] for r in rows], dtype=object)})
-        return pd.DataFrame({"ids": pd.Series([np.frombuffer(i, np.int32) for i in c.encode_bytes(texts)], dtype=object)})
+        rows = [codec(model.value).encode(t or "") for t in batch]
+        columns = {"ids": [i.view(np.int32) for i, _ in rows], "starts": [o[:, 0] for _, o in rows], "ends": [o[:, 1] for _, o in rows]}
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
 
-    return map_texts(docs, id_col, text, run, "ids array<int>" + ", offsets array<struct<start:int,end:int>>" * offsets)
+    return map_texts(docs, id_col, text, run, "ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -164,15 +177,16 @@ def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None, pattern
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 a document, and the ids if asked for."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_split (tokens that begin within a character) a document, and the ids if asked for."""
     model = _model(docs.sparkSession, path, pattern)
 
     def run(batch: pd.Series) -> pd.DataFrame:
         c, sha, rows = codec(model.value), hashlib.sha256, []
-        for raw in c.encode_bytes([t or "" for t in batch]):
-            ids = np.frombuffer(raw, "<u4")
-            row = (len(ids), sha(raw).hexdigest(), sha(c.decode_bytes(ids.tolist())).hexdigest())
-            rows.append((*row, ids.astype(np.int32)) if with_ids else row)
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-
-    return map_texts(docs, id_col, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+        for t in batch:
+            ids, offsets = c.encode(t or "")
+            split = int((offsets[1:, 0] < offsets[:-1, 1]).sum())
+            row = (len(ids), sha(ids.tobytes()).hexdigest(), sha(c.decode_bytes(ids.tolist())).hexdigest(), split)
+            rows.append((*row, ids.view(np.int32)) if with_ids else row)
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_split", *["ids"] * with_ids])
+
+    return map_texts(docs, id_col, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long" + ", ids array<int>" * with_ids)
