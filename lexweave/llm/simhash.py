@@ -1,12 +1,13 @@
 """SimHash near-dedup by a binary trie self-join.
 
 Fingerprints are made batch-wise in Arrow tasks. Documents with the same fingerprint form one class, and
-only distinct fingerprints are joined. For the join the 64 bits are cut into four blocks; two fingerprints
-within two differing bits agree on two blocks at least, so under one of six bit orders both lie below the
-same 32-bit trie node. Each such subtree joins with itself: node pairs are walked together, differing bits
-accumulate, and a pair whose sum exceeds the budget is pruned. Subtrees above `most_leaves` are first
-opened by Spark into pairs of child nodes, eight bits a level, as long as they stay large, so no task gets
-an unbounded node. Links between distinct fingerprints then form components.
+only distinct fingerprints are joined: the trie of their 64 bits is joined with itself by a walk over pairs of
+nodes that starts at the pair of the root with itself. Differing bits accumulate on the way down, and a pair
+whose sum exceeds the budget is pruned, as is one with an empty node. While a pair holds more than
+`most_leaves` fingerprints, Spark opens it from a table of prefix counts (the root by as many bits at once as
+even fingerprints need, later pairs by four), so only node pairs are handled, not their rows. Then each
+remaining pair of subtrees meets in a task of its own, which walks on in the same way bit by bit. Every link
+is found in exactly one place. Links between distinct fingerprints then form components.
 
 Defined results: a null or empty text (or one without words) has fingerprint zero and links like any other;
 a text of one or two words hashes its whole word sequence. Null ids belong to components but never name
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lexweave.llm.components import connected_components
+from lexweave.llm.hotjoin import join_hot
 from lexweave.session import ship
 from lexweave.staging import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SEED = 42
-BLOCKS, BLOCK_BITS = 4, 16
-ORDERS = [(a, b) for a in range(BLOCKS) for b in range(a + 1, BLOCKS)]
+BITS, STEP = 64, 4
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -65,41 +67,35 @@ def fingerprint_column(text: str, shingle: int = 3) -> Column:
     return simhash(F.col(text))
 
 
-def _rotated(value: Column, order: tuple[int, int]) -> tuple[Column, Column]:
-    """The 32 bits of the two chosen blocks, and the 32 bits of the others."""
-
-    def gather(blocks: list[int]) -> Column:
-        return sum((F.shiftleft(F.shiftrightunsigned(value, 16 * b).bitwiseAND(0xFFFF), 16 * k) for k, b in enumerate(blocks)), F.lit(0).cast("bigint"))
-
-    return gather(list(order)), gather([b for b in range(BLOCKS) if b not in order])
-
-
-def _pairs_within(left: np.ndarray, right: np.ndarray, same: bool, budget: int, brute: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_within(left: np.ndarray, right: np.ndarray, same: bool, budget: int, few: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of sorted 64-bit arrays with at most `budget` differing bits, by a joint walk of two tries.
 
     A trie node is a range of the sorted array; a frontier holds node pairs with the bits they differ in so
-    far. Pairs of small nodes are compared outright.
+    far. A pair of nodes with `few` pairs of leaves is not opened further.
     """
     if not len(left) or not len(right):
         return
-    stack = [(np.array([[0, len(left), 0, len(right), 0]]), 63)]
+    stack = [(np.array([[0, len(left), 0, len(right), 0]]), BITS - 1)]
     while stack:
         front, bit = stack.pop()
-        small = ((front[:, 1] - front[:, 0]) * (front[:, 3] - front[:, 2]) <= brute) | (bit < 0)
-        for a0, a1, b0, b1, _ in front[small].tolist():
-            i, j = np.nonzero(np.bitwise_count(left[a0:a1, None] ^ right[None, b0:b1]) <= budget)
-            i, j = i + a0, j + b0
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                yield i, j
+        pairs = (front[:, 1] - front[:, 0]) * (front[:, 3] - front[:, 2])
+        small = (pairs <= few) | (bit < 0)
+        if small.any():
+            ends, count = front[small], pairs[small]
+            which = np.repeat(np.arange(len(ends)), count)
+            k, wide = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count), (ends[:, 3] - ends[:, 2])[which]
+            i, j = ends[which, 0] + k // wide, ends[which, 2] + k % wide
+            near = np.bitwise_count(left[i] ^ right[j]) <= budget
+            near &= (i < j) if same else True
+            if near.any():
+                yield i[near], j[near]
         front = front[~small]
         if not len(front):
             continue
         one = np.uint64(1) << np.uint64(bit)
         cut = []
         for values, lo, hi in ((left, 0, 1), (right, 2, 3)):  # where this bit turns to 1 within the node
-            first = values[front[:, lo]] >> np.uint64(bit + 1) << np.uint64(bit + 1) if bit < 63 else np.zeros(len(front), np.uint64)
+            first = values[front[:, lo]] >> np.uint64(bit + 1) << np.uint64(bit + 1) if bit < BITS - 1 else np.zeros(len(front), np.uint64)
             cut.append(np.clip(np.searchsorted(values, first | one), front[:, lo], front[:, hi]))
         p, q = cut
         a0, a1, b0, b1, d = front.T
@@ -108,68 +104,86 @@ def _pairs_within(left: np.ndarray, right: np.ndarray, same: bool, budget: int,
         nxt = nxt[(nxt[:, 4] <= budget) & (nxt[:, 1] > nxt[:, 0]) & (nxt[:, 3] > nxt[:, 2])]
         if same:  # of two mirrored node pairs one is enough
             nxt = nxt[nxt[:, 0] <= nxt[:, 2]]
-        for at in range(0, len(nxt), 4096):
-            stack.append((nxt[at : at + 4096], bit - 1))
-
-
-def links_within(fps: DataFrame, budget: int = 2, most_leaves: int = 20_000) -> DataFrame:
-    """Links (u, v) between distinct fingerprints `fp` (signed long) that differ in at most `budget` bits.
-
-    Six bit orders suffice for budgets up to two.
+        for at in range(0, len(nxt), 65_536):
+            stack.append((nxt[at : at + 65_536], bit - 1))
+
+
+def _masks(bits: int, budget: int) -> Column:
+    """Every way to differ in `bits` bits within the budget: (m, the differing bits; c, how many)."""
+    found = [sum(1 << k for k in chosen) for n in range(budget + 1) for chosen in combinations(range(bits), n)]
+    return F.array(*[F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(m.bit_count()).alias("c")) for m in found])
+
+
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("fp", BITS - bits) if bits else F.lit(0).cast("bigint")
+
+
+def node_pairs(fps: DataFrame, budget: int, most_leaves: int) -> list[tuple[int, DataFrame]]:
+    """(depth, pairs) of the walk's last node pairs: a <= b, the nodes' prefixes of `depth` bits."""
+    spark, whole = fps.sparkSession, fps.count()
+    depth, step = 0, max(0, min(20, (2 * whole // most_leaves).bit_length()))
+    open_ = spark.range(1).select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("differ"))
+    if not step:
+        return [(0, open_.select("a", "b"))] if whole else []
+    out = []
+    while True:
+        child = depth + step
+        # of the open nodes, how many fingerprints each child holds
+        nodes = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        counts = fps.groupBy(_prefix(child).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.shiftrightunsigned("prefix", step) if depth else F.lit(0).cast("bigint"))
+        counts = stage(counts.join(nodes, "node", "left_semi"), "trie-counts")
+        left = counts.select(F.col("node").alias("a"), F.col("prefix").alias("p"), F.col("n").alias("np"))
+        right = counts.select(F.col("prefix").alias("q"), F.col("n").alias("nq"))
+        low = F.col("p").bitwiseAND((1 << step) - 1)
+        pairs = open_.join(left, "a").withColumn("x", F.explode(_masks(step, budget))).withColumn("q", F.shiftleft("b", step).bitwiseOR(low.bitwiseXOR(F.col("x.m"))))
+        pairs = pairs.withColumn("differ", F.col("differ") + F.col("x.c")).filter((F.col("differ") <= budget) & ((F.col("a") != F.col("b")) | (F.col("p") <= F.col("q"))))
+        pairs = pairs.join(right, "q").filter((F.col("p") != F.col("q")) | (F.col("np") > 1))
+        size = F.col("np") + F.when(F.col("p") == F.col("q"), 0).otherwise(F.col("nq"))
+        pairs = stage(pairs.select(F.col("p").alias("a"), F.col("q").alias("b"), "differ", size.alias("size")), "node-pairs")
+        depth, step = child, min(STEP, BITS - child)
+        done = (F.col("size") <= most_leaves) | F.lit(step == 0)
+        out.append((depth, pairs.filter(done).select("a", "b")))
+        open_ = pairs.filter(~done).select("a", "b", "differ")
+        if open_.isEmpty():
+            return out
+
+
+def links_within(fps: DataFrame, budget: int = 2, most_leaves: int | None = None) -> DataFrame:
+    """Links (u, v) between distinct fingerprints `fp` (signed long, no repeats) that differ in at most `budget` bits.
+
+    `most_leaves` bounds what a task holds; unset it follows the number of fingerprints, from 30,000 to 1,000,000.
     """
-    if budget > BLOCKS - 2:
-        raise ValueError("budget must be 2 or less")
     ship(fps.sparkSession)
-    under = []
-    for k, order in enumerate(ORDERS):
-        top, rest = _rotated(F.col("fp"), order)
-        under.append(F.struct(F.xxhash64(F.lit(k), top).alias("node"), rest.alias("rest")))
-    rows = fps.select("fp", F.explode(F.array(*under)).alias("x")).select("fp", F.col("x.node").alias("node"), F.col("x.rest").alias("rest"), F.lit(0).alias("side"), F.lit(0).alias("differ"))
-    rows = stage(rows, "trie-nodes")
-    masks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(m.bit_count()).alias("c")) for m in range(256) if m.bit_count() <= budget])
-    parts = []
-    for level in (3, 2, 1, 0, None):  # the byte of `rest` that opens a node pair next
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        light = sizes.filter(F.col("n").between(2, most_leaves) if level is not None else F.col("n") >= 2)
-        parts.append(rows.join(light.select("node"), "node", "left_semi"))
-        heavy = stage(sizes.filter(F.col("n") > most_leaves).select("node"), "heavy-nodes") if level is not None else None
-        if heavy is None or heavy.isEmpty():
-            break
-        # side 0: the node pairs with itself; 1 and 2: the two nodes of a pair
-        byte = F.shiftrightunsigned(F.col("rest"), 8 * level).bitwiseAND(0xFF)
-        opened = rows.join(heavy, "node", "left_semi").withColumn("x", F.explode(masks)).withColumn("b", byte).withColumn("o", F.col("b").bitwiseXOR(F.col("x.m")))
-        opened = opened.withColumn("differ", F.col("differ") + F.col("x.c")).filter(F.col("differ") <= budget)
-        first = F.when(F.col("side") == 0, F.col("b") <= F.col("o")).otherwise(F.col("side") == 1)
-        side = F.when((F.col("side") == 0) & (F.col("b") == F.col("o")), 0).when(first, 1).otherwise(2)
-        node = F.xxhash64("node", F.when(first, F.col("b")).otherwise(F.col("o")), F.when(first, F.col("o")).otherwise(F.col("b")))
-        rows = stage(opened.select("fp", node.alias("node"), "rest", side.alias("side"), "differ"), "trie-nodes")
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            us, vs = [], []
-            for fp, side in zip(batch["fp"], batch["side"], strict=True):
-                values, side = np.asarray(fp).view(np.uint64), np.asarray(side)
-                a, b = (np.unique(values[side != 2]), np.unique(values[side != 1]))
-                same = not side.any()
-                for i, j in _pairs_within(a, b, same, budget):
-                    us.append(a[i].view(np.int64))
-                    vs.append(b[j].view(np.int64))
-            yield pd.DataFrame({"u": np.concatenate([*us, np.zeros(0, np.int64)]), "v": np.concatenate([*vs, np.zeros(0, np.int64)])})
-
-    leaves = parts[0]
-    for part in parts[1:]:
-        leaves = leaves.union(part)
-    nodes = leaves.groupBy("node").agg(F.collect_list("fp").alias("fp"), F.collect_list("side").alias("side"))
-    return nodes.select("fp", "side").mapInPandas(joined, "u long, v long").distinct()
+    if most_leaves is None:
+        most_leaves = max(30_000, min(1_000_000, fps.count() // 64))
+    met = []
+    for depth, pairs in node_pairs(fps, budget, most_leaves):
+        one, two = F.struct(F.col("a").alias("prefix"), F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side")), F.struct(F.col("b").alias("prefix"), F.lit(2).alias("side"))
+        sides = pairs.withColumn("s", F.explode(F.array(one, two))).select("a", "b", "s.*").filter("side < 2 or a <> b")
+        met.append(fps.withColumn("prefix", _prefix(depth)).join(sides, "prefix").select(F.lit(depth).alias("depth"), "a", "b", "side", "fp"))
+    if not met:
+        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    rows = met[0]
+    for more in met[1:]:
+        rows = rows.unionByName(more)
+
+    def joined(batch: pd.DataFrame) -> pd.DataFrame:
+        values, side = batch["fp"].to_numpy().view(np.uint64), batch["side"].to_numpy()
+        a, b = np.sort(values[side != 2]), np.sort(values[side != 1])
+        found = list(_pairs_within(a, b, not side.any(), budget))
+        u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in (0, 1))
+        return pd.DataFrame({"u": a[u].view(np.int64), "v": b[v].view(np.int64)})
+
+    return rows.groupBy("depth", "a", "b").applyInPandas(joined, "u long, v long")
 
 
 def near_classes(prints: DataFrame, budget: int = 2) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint in `prints` (doc_id, fp)."""
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    """(fp, docs, root, component_id) of each distinct fingerprint in `prints` (doc_id, fp); docs is its number of rows."""
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs")), "classes")
     roots = connected_components(links_within(classes.select("fp"), budget))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "docs", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.select("fp", "root").join(named, "root")
+    return rooted.select("fp", "docs", "root").join(named, "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
@@ -177,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ship(docs.sparkSession)
     prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(text, shingle).alias("fp")), "fingerprints")
     classes = stage(near_classes(prints, budget), "near-classes")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = join_hot(prints, classes, "fp", "docs", prints.count())
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
@@ -194,8 +209,12 @@ def keep_named(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> Dat
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_lw_rows"))
     stays = stage(stays, "stays").withColumnRenamed("doc_id", "_lw_id")
     # the ids that stay grow with the documents: they are never broadcast, whatever their size now
-    kept = docs.join(stays.hint("merge"), docs[id_col].eqNullSafe(stays["_lw_id"]))
-    single = kept.filter("_lw_rows = 1").drop("_lw_id", "_lw_rows")
-    several = kept.filter("_lw_rows > 1")
-    several = several.withColumn("_lw_text", F.when(F.col(id_col).isNull(), F.xxhash64(text))).dropDuplicates([id_col, "_lw_text"])
-    return single.unionByName(several.drop("_lw_id", "_lw_rows", "_lw_text"))
+    once, often = stays.filter("_lw_rows = 1"), stays.filter("_lw_rows > 1")
+    single = docs.join(once.hint("merge"), docs[id_col].eqNullSafe(once["_lw_id"]))
+    if often.isEmpty():
+        return single.drop("_lw_id", "_lw_rows")
+    # repeated ids are reduced before the join by partial aggregation: a row for each id and, without an id, each text
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(text))
+    firsts = docs.withColumn("_lw_text", own).dropDuplicates([id_col, "_lw_text"])
+    several = firsts.join(often.hint("merge"), firsts[id_col].eqNullSafe(often["_lw_id"]))
+    return single.drop("_lw_id", "_lw_rows").unionByName(several.drop("_lw_id", "_lw_rows", "_lw_text"))
