@@ -1,15 +1,18 @@
 """Mixing sources to target weights with packed blocks and index permutations.
 
 The words of each source form one stream (documents in hash order), packed into blocks of a fixed number of
-words. Targets fix how many slots each source fills; the slots are dealt to output shards by multinomial
-draws conditioned on those totals, shard after shard. Slot j of a source goes to epoch j div blocks, and a
-pseudorandom permutation of that epoch (a keyed Feistel network, walked until it lands in range) names its
-block. Slots and blocks then join by (source, block). A source's last slot is cut to the word, so its words
-meet the target to the nearest word, and nothing is taken more than once an epoch.
+words. Targets fix how many slots each source fills; a source's slots are dealt to the output shards by
+multinomial draws that keep its total: shards are halved again and again, and a binomial draw keyed by the
+source and the half says how many slots go left, so any stretch of shards knows its counts and first slots by
+itself. Slot j of a source goes to epoch j div blocks, and a pseudorandom permutation of that epoch (a keyed
+Feistel network, walked until it lands in range) names its block. Slots and blocks then join by (source, block).
+A source's last slot is cut to the word, so its words meet the target to the nearest word, and nothing is taken
+more than once an epoch.
 
 Stream positions come from sums per (source, bucket of the id's hash) with a number of buckets that follows
-the source's rows, so a hot source is never ordered in one task. Only the source table (one row a source,
-`max_sources` at most, otherwise an error) and the shard counts reach the driver.
+the source's rows, so a hot source is never ordered in one task. Repeated rows (same id and text) enter the
+stream as one entry with a multiplicity, so they are reduced before any shuffle. The plan (one row a source) is
+a staged table; the driver sees its totals only.
 
 Defined results: a null text has size 0, takes nothing and keeps its row; a null source is a source of its
 own, last in order. Repeated rows each hold a stretch of the stream. Reruns agree whatever the partitioning.
@@ -19,7 +22,6 @@ An empty table gives an empty table. Other columns pass through; clashing ones a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexweave.operators.surfaces import dense_ids
 from lexweave.session import ship
 from lexweave.staging import stage
 
@@ -37,22 +40,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, most: float = 3.0) -> list[float]:
-    """Shares of `total` by weight; none above `most` times its size, the excess reshared by weight."""
-    target, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    rest = float(total)
-    while open_:
-        unit = rest / sum(weights[i] for i in open_)
-        over = [i for i in open_ if weights[i] * unit > most * sizes[i]]
-        if not over:
-            for i in open_:
-                target[i] = weights[i] * unit
-            break
-        for i in over:
-            target[i] = most * sizes[i]
-            rest -= target[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return target
+def water_level(sources: DataFrame, total: float, most: float) -> float:
+    """The words a unit of weight gets, so that targets of least(weight * level, most * size) add up to `total`.
+
+    The excess of sources that are full is reshared by weight until none is above; each round is one aggregate
+    over `sources` (size, weight), and there are as few of them as the level has steps.
+    """
+    full = F.col("size") * most
+    level = -1.0
+    while True:
+        over = F.col("weight") * level > full
+        got = sources.filter("size > 0").agg(F.sum(F.when(over, full)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if not got["open"]:
+            return max(level, 0.0)
+        new = (total - (got["full"] or 0.0)) / got["open"]
+        if new <= level:
+            return level
+        level = new
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -86,101 +90,127 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool
     return out.astype(np.int64)
 
 
-@dataclass
-class SourcePlan:
-    """What the mix takes from one source."""
-
-    order: int
-    size: int
-    target: float
-    blocks: int
-    slots: int
-    words: int
-    key: int
-
-
-def plan_sources(sources: list[tuple[str | None, int]], block: int, weights: tuple[float, ...], share: float, most: float, seed: int) -> list[SourcePlan]:
-    """Targets, block counts and slot counts; `sources` in their order."""
-    sizes = [s for _, s in sources]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
-    plans = []
-    for i, (size, target) in enumerate(zip(sizes, targets, strict=True)):
-        words, blocks = min(round(target), int(most * size)), -(-size // block)
-        key = (seed << 32) + i * 1_000_003
-        epochs, left = divmod(words, size) if size else (0, 0)
-        slots = epochs * blocks
-        if left:
-            short_at = int(permute(np.array([blocks - 1]), np.array([blocks]), np.array([key + epochs]), inverse=True)[0])
-            missing = blocks * block - size
+PLAN = "_lw_s long, source string, source_size long, rows long, target double, blocks long, slots long, words long, key long"
+
+
+def plan_sources(docs_by_source: DataFrame, block: int, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+    """PLAN of each source of (source, size, rows): its number in code point order, null last, its target and its slots."""
+    spark = docs_by_source.sparkSession
+    named = dense_ids(docs_by_source.filter(F.col("source").isNotNull()), "source", "_lw_s")
+    last = named.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    numbered = named.unionByName(docs_by_source.filter(F.col("source").isNull()).withColumn("_lw_s", F.lit(last).cast("bigint")))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_lw_s") % len(weights)).cast("int"))
+    numbered = stage(numbered.withColumn("weight", weight), "sources")
+    total = share * (numbered.agg(F.sum("size").alias("n")).first()["n"] or 0)
+    level = water_level(numbered, total, most)
+    target = F.when(F.col("size") > 0, F.least(F.col("weight") * level, F.col("size") * most)).otherwise(0.0)
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = batch["size"].to_numpy()
+            words = np.minimum(np.round(batch["target"]), np.floor(most * size)).astype(np.int64)
+            blocks, key = -(-size // block), (seed << 32) + batch["_lw_s"].to_numpy() * 1_000_003
+            epochs, left = np.divmod(words, np.maximum(size, 1))
+            epochs = np.where(size > 0, epochs, 0)
+            short_at = permute(np.maximum(blocks - 1, 0), np.maximum(blocks, 1), key + epochs, inverse=True)
             n = -(-left // block)
-            n = n if n <= short_at else -(-(left + missing) // block)  # the short last block came before the end
-            slots += max(n, 1)
-        plans.append(SourcePlan(i, size, target, blocks, slots, words, key))
-    return plans
+            n = np.where(n <= short_at, n, -(-(left + blocks * block - size) // block))  # the short last block came before the end
+            count = np.where(size > 0, epochs * blocks + np.where(left > 0, np.maximum(n, 1), 0), 0)
+            yield pd.DataFrame({"_lw_s": batch["_lw_s"], "source": batch["source"], "source_size": size, "rows": batch["rows"], "target": batch["target"], "blocks": blocks, "slots": count, "words": words, "key": key})
+
+    planned = numbered.withColumn("target", target).select("_lw_s", "source", "size", "rows", "target").mapInPandas(slots, PLAN)
+    return stage(planned, "source-plan")
+
+
+def left_share(n: int, low: int, middle: int, high: int, key: int) -> int:
+    """Of `n` slots for the shards low to high, how many go to those below `middle`: a binomial draw keyed by its arguments."""
+    return int(np.random.default_rng([key, low, high]).binomial(n, (middle - low) / (high - low))) if n else 0
+
+
+def dealt(n: int, shards: int, low: int, high: int, key: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, slots, first slot) of the shards from `low` to below `high` that get some of `n` slots."""
+    todo = [(0, shards, n, 0)]
+    while todo:
+        a, b, count, first = todo.pop()
+        if not count or b <= low or a >= high:
+            continue
+        if b - a == 1:
+            yield a, count, first
+            continue
+        middle = (a + b) // 2
+        left = left_share(count, a, middle, b, key)
+        todo += [(middle, b, count - left, first + left), (a, middle, left, first)]
+
 
+CARRIED = ("_lw_s", "blocks", "source_size", "slots", "words", "key")
+COPIES_AT_ONCE = 10_000
 
-def deal_slots(plans: list[SourcePlan], slots_per_shard: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source order, slots, first slot of the source): multinomial counts a shard, given the totals."""
-    left = np.array([p.slots for p in plans], np.int64)
-    first, rows, rng = np.zeros(len(plans), np.int64), [], np.random.default_rng(seed)
-    for shard in range(int(-(-left.sum() // slots_per_shard))):
-        counts = rng.multivariate_hypergeometric(left, int(min(slots_per_shard, left.sum())), method="marginals")
-        rows += [(shard, i, int(c), int(first[i])) for i, c in enumerate(counts) if c]
-        left, first = left - counts, first + counts
-    return rows
+
+def _each_copy(placed: DataFrame) -> DataFrame:
+    """A row for each copy, its offset behind those of the copies before it."""
+    one = placed.filter("copies = 1").drop("copies")
+    several = placed.filter("copies > 1").withColumn("_lw_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES_AT_ONCE).cast("bigint"))))
+    # a row with very many copies is spread before they are made
+    several = several.repartition("_lw_doc", "_lw_c").withColumn("_lw_c", F.explode(F.sequence(F.col("_lw_c"), F.least(F.col("copies"), F.col("_lw_c") + COPIES_AT_ONCE) - 1)))
+    return one.unionByName(several.withColumn("offset", F.col("offset") + F.col("size") * F.col("_lw_c")).drop("_lw_c", "copies"))
+
+
+def _namer(block: int):
+    """Epoch, block and words of each slot."""
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            j, blocks, size, key = (batch[c].to_numpy() for c in ("j", "blocks", "source_size", "key"))
+            epoch = j // blocks
+            at = permute(j % blocks, blocks, key + epoch)
+            full = np.minimum(block, size - at * block)
+            # the last slot takes what is left of the target
+            last, left = j == batch["slots"].to_numpy() - 1, batch["words"].to_numpy() - epoch * size
+            short_at = permute(blocks[last] - 1, blocks[last], (key + epoch)[last], inverse=True)
+            n = (j % blocks)[last]
+            taken = n * block - np.where(short_at < n, blocks[last] * block - size[last], 0)
+            full[last] = np.minimum(full[last], left[last] - taken)
+            yield pd.DataFrame({"shard": batch["shard"], "_lw_s": batch["_lw_s"], "j": j, "epoch": epoch.astype("int32"), "block": at, "words": full.astype("int32")})
+
+    return named
 
 
 class Mix:
     """A mix of `docs`: `sized` documents with stream offsets, `pieces` in blocks, and `slots` to fill."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, slots_per_shard: int = 1 << 16, rows_per_bucket: int = 2_000, max_sources: int = 100_000, seed: int = 5) -> None:
-        spark = docs.sparkSession
-        ship(spark)
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, slots_per_shard: int = 1 << 16, rows_per_bucket: int = 2_000, shards_per_task: int = 1_024, seed: int = 5) -> None:
+        ship(docs.sparkSession)
         base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("_lw_doc"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("bigint").alias("size"))
-        base = stage(base, "sizes")
-        by_source = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-        found = by_source.orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
-        if len(found) > max_sources:
-            raise ValueError(f"more than {max_sources} sources")
-        self.plans = plan_sources([(r["source"], r["size"]) for r in found], block, weights, share, most, seed)
+        base = stage(base.groupBy("doc_id", "_lw_doc", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+        by_source = base.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count(F.lit(1)).alias("rows"))
+        self.plan = plan_sources(stage(by_source, "source-sizes"), block, weights, share, most, seed)
         self.block, self.text, self.id_col, self.docs = block, text, id_col, docs
-        known = spark.createDataFrame(
-            [(r["source"], p.order, p.size, p.target, -(-r["rows"] // rows_per_bucket)) for r, p in zip(found, self.plans, strict=True)],
-            "source string, _lw_s int, source_size long, target double, buckets int",
-        )
-        placed = base.join(F.broadcast(known), base["source"].eqNullSafe(known["source"])).drop(known["source"])  # max_sources rows at most
+        known = self.plan.select(F.col("source").alias("_lw_source"), "_lw_s", "source_size", "target", F.ceil(F.col("rows") / rows_per_bucket).cast("int").alias("buckets"))
+        placed = base.join(known, base["source"].eqNullSafe(known["_lw_source"])).drop("_lw_source")
         placed = placed.withColumn("_lw_b", F.pmod(F.xxhash64("_lw_doc", F.lit(seed)), F.col("buckets")).cast("int")).drop("buckets")
-        sums = placed.groupBy("_lw_s", "_lw_b").agg(F.sum("size").alias("n"))
+        held = F.col("size") * F.col("copies")
+        sums = placed.groupBy("_lw_s", "_lw_b").agg(F.sum(held).alias("n"))
         starts = sums.select("_lw_s", "_lw_b", F.coalesce(F.sum("n").over(W.partitionBy("_lw_s").orderBy("_lw_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-        inside = W.partitionBy("_lw_s", "_lw_b").orderBy(F.xxhash64("_lw_doc", F.lit(seed + 1)), "_lw_doc").rowsBetween(W.unboundedPreceding, -1)
-        placed = placed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        inside = W.partitionBy("_lw_s", "_lw_b").orderBy(F.xxhash64("_lw_doc", F.lit(seed + 1)), "_lw_doc", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+        placed = placed.withColumn("before", F.coalesce(F.sum(held).over(inside), F.lit(0)))
         placed = placed.join(starts, ["_lw_s", "_lw_b"]).withColumn("offset", F.col("start") + F.col("before")).drop("start", "before", "_lw_b")
-        self.sized = stage(placed, "stream")
-
-        shards = spark.createDataFrame(deal_slots(self.plans, slots_per_shard, seed), "shard int, _lw_s int, n int, first long")
-        slots = shards.select("shard", "_lw_s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
-        self.slots = slots.repartition(max(1, sum(p.slots for p in self.plans) // 1_000_000), "_lw_s", "j").mapInPandas(self._namer(), "shard int, _lw_s int, j long, epoch int, block long, words int")
+        self.sized = stage(_each_copy(placed), "stream")
 
-    def _namer(self):
-        plans, block = self.plans, self.block
+        total = self.plan.agg(F.sum("slots").alias("n")).first()["n"] or 0
+        shards = max(1, -(-total // slots_per_shard))
+        stretches = self.plan.filter("slots > 0").withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(shards - 1), F.lit(shards_per_task))))
+        if shards > shards_per_task:  # a hot source is dealt by many tasks
+            stretches = stretches.repartition("_lw_s", "low")
 
-        def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            of = {k: np.array([getattr(p, k) for p in plans], np.int64) for k in ("blocks", "size", "slots", "words", "key")}
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                s, j = batch["_lw_s"].to_numpy(), batch["j"].to_numpy()
-                blocks, size = of["blocks"][s], of["size"][s]
-                epoch = j // blocks
-                at = permute(j % blocks, blocks, of["key"][s] + epoch)
-                full = np.minimum(block, size - at * block)
-                # the last slot takes what is left of the target
-                last, left = j == of["slots"][s] - 1, of["words"][s] - epoch * size
-                short_at = permute(blocks[last] - 1, blocks[last], (of["key"][s] + epoch)[last], inverse=True) if last.any() else np.zeros(0, np.int64)
-                n = (j % blocks)[last]
-                taken = n * block - np.where(short_at < n, blocks[last] * block - size[last], 0)
-                full[last] = np.minimum(full[last], left[last] - taken)
-                yield batch.assign(epoch=epoch.astype("int32"), block=at, words=full.astype("int32"))
-
-        return named
+                for row in batch.to_dict("records"):
+                    counts = pd.DataFrame(list(dealt(row["slots"], shards, row["low"], min(shards, row["low"] + shards_per_task), row["key"])), columns=["shard", "n", "first"])
+                    yield counts.assign(**{c: row[c] for c in CARRIED})
+
+        parts = stretches.select("low", *CARRIED).mapInPandas(deal, f"shard long, n long, first long, {', '.join(f'{c} long' for c in CARRIED)}")
+        slots = parts.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).drop("first", "n")
+        self.slots = slots.repartition(max(1, total // 500_000), "_lw_s", "j").mapInPandas(_namer(block), "shard long, _lw_s long, j long, epoch int, block long, words int")
 
     def pieces(self) -> DataFrame:
         """One row a document and block it reaches into: where in the document, where in the block."""
@@ -198,7 +228,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document: doc_id, size, source_size, target, taken."""
         sums = self.draws().groupBy("_lw_s", "offset", "_lw_doc").agg(F.sum("n").alias("taken"))
-        out = self.sized.join(sums.filter("taken > 0"), ["_lw_s", "offset", "_lw_doc"], "left") if sums else self.sized
+        out = self.sized.join(sums, ["_lw_s", "offset", "_lw_doc"], "left")
         return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("bigint").alias("taken"))
 
     def documents(self) -> DataFrame:
