@@ -1,13 +1,14 @@
 """Near-dedup of documents by the Jaccard similarity of their word shingles.
 
 Documents with the same set of shingles form one class, and only classes are compared. Candidates come from
-MinHash bands: `BANDS` bands of `ROWS` minima each, which a pair of similarity 0.8 shares at least once with a
-probability of 0.998 (64-bit SimHashes of such pairs differ in about ten bits, beyond a trie join). A
-candidate only counts once the exact Jaccard similarity of its two sets has been found high enough.
+the SimHash trie join, over fingerprints of the sets, and, as that cannot reach far enough (the fingerprints of
+a pair of similarity 0.8 differ in about ten bits), from MinHash bands: `BANDS` bands of `ROWS` minima each, which
+such a pair shares at least once with a probability of 0.998. A candidate only counts once the exact Jaccard
+similarity of its two sets has been found high enough.
 
-Within a bucket of a band each class is first compared with the least one; what that links forms components.
-Then only the pairs of a bucket that are still in different components are compared, so a large group of near
-copies costs its size and not its square. Nothing is cut off.
+Within a bucket of a band each class is first compared with the least one; what that and the trie join link forms
+components. Then only the pairs of a bucket that are still in different components are compared, so a large group
+of near copies costs its size and not its square. Nothing is cut off.
 
 Defined results: case of A-Z and white space do not count; a null or empty text has the empty set, and all of
 those are alike; a text of fewer words than a shingle has one shingle, its whole word sequence. Null ids
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.components import connected_components
-from lexweave.llm.simhash import LOWER, SEED, WORD, keep_named
+from lexweave.llm.hotjoin import join_hot
+from lexweave.llm.simhash import LOWER, SEED, WORD, keep_named, links_within, majority
 from lexweave.session import ship
 from lexweave.staging import stage
 
@@ -66,11 +68,11 @@ def band_hashes(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(shingle: int):
-    @F.pandas_udf("key long, n int, bands array<long>")
+    @F.pandas_udf("key long, n int, fp long, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame({"key": np.array([set_key(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int32), "bands": [band_hashes(s) for s in sets]})
+            yield pd.DataFrame({"key": np.array([set_key(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int32), "fp": np.array([majority(s) for s in sets], np.uint64).view(np.int64), "bands": [band_hashes(s) for s in sets]})
 
     return sketch
 
@@ -97,6 +99,15 @@ def _size_fits(n: Column, m: Column, least: float) -> Column:
     return F.least(n, m) >= least * F.greatest(n, m)
 
 
+def _trie_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v), u < v: classes of one fingerprint with the least of them, and the least ones of fingerprints the trie join links."""
+    held = stage(classes.filter("n > 0").groupBy("fp").agg(F.min("key").alias("least")), "set-prints")
+    same = classes.filter("n > 0").join(held, "fp").filter("key > least").select(F.col("least").alias("u"), F.col("key").alias("v"))
+    left, right = (held.select(F.col("fp").alias(f), F.col("least").alias(k)) for f, k in (("u", "a"), ("v", "b")))
+    near = links_within(held.select("fp")).join(left, "u").join(right, "v")
+    return same.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) a row of `docs`; a component is linked by pairs of at least `similarity`."""
     ship(docs.sparkSession)
@@ -105,17 +116,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = texts.select("doc_id", held, _sketches(shingle)("text").alias("s")).select("doc_id", "held", "s.*")
     rows = stage(rows, "sketches")
     # of each class the least id, and one row whose text stands for all
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "held")).alias("stands"), F.min("n").alias("n"))
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "held")).alias("stands"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("docs"))
     classes = stage(classes, "set-classes")
     bands = rows.select("key", "n", F.explode("bands").alias("band")).distinct()
     full = bands.groupBy("band").agg(F.min(F.struct("key", "n")).alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     bands = stage(bands.join(full, "band"), "bands")
-    wanted = bands.select("key").distinct().join(classes, "key").select("key", F.col("stands.doc_id").alias("want_id"), F.col("stands.held").alias("want_held"))
+    close = stage(_trie_pairs(classes), "trie-pairs")
+    wanted = bands.select("key").unionByName(close.select(F.explode(F.array("u", "v")).alias("key"))).distinct().join(classes, "key").select("key", F.col("stands.doc_id").alias("want_id"), F.col("stands.held").alias("want_held"))
     sources = texts.select("doc_id", "text", held).join(wanted.hint("merge"), (F.col("held") == F.col("want_held")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
     # repeated rows of the one that stands for its class are read once
     sources = sources.groupBy("key").agg(F.first("text").alias("text"))
     sets = stage(sources.select(F.col("key").alias("of"), _sets(shingle)("text").alias("s")).filter("of = s.key").select("s.*"), "shingle-sets")
-    star = bands.filter((F.col("key") > F.col("least.key")) & _size_fits(F.col("n"), F.col("least.n"), similarity)).select(F.col("least.key").alias("u"), F.col("key").alias("v")).distinct()
+    star = bands.filter((F.col("key") > F.col("least.key")) & _size_fits(F.col("n"), F.col("least.n"), similarity)).select(F.col("least.key").alias("u"), F.col("key").alias("v")).unionByName(close).distinct()
     links = stage(_alike(star, sets, similarity), "links")
     roots = stage(connected_components(links), "roots")
     # pairs of a bucket that the comparison with the least one has left apart
@@ -129,10 +141,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         more = stage(_alike(rest, sets, similarity), "links")
         if not more.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    rooted = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    rooted = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first", "docs", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = stage(rooted.join(named, "root").select("key", "component_id"), "near-classes")
-    return rows.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")
+    found = stage(rooted.join(named, "root").select("key", "docs", "component_id"), "near-classes")
+    return join_hot(rows.select("doc_id", "key"), found, "key", "docs", rows.count()).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -49,7 +49,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     last = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - last + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[last - 1 :].tolist(), strict=True)), "<u8", len(starts))
+    return majority(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[last - 1 :].tolist(), strict=True)), "<u8", len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of some unsigned 64-bit hashes have; zero for none."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
