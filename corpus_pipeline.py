@@ -1,12 +1,13 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing and tokenization.
 
 Each stage takes the documents its predecessor kept and returns the columns of documents; the last returns
-tokens. Null texts, empty tables and repeated rows are treated as the operators define.
+tokens. Null texts, empty tables and repeated rows are treated as the operators define. Extra columns pass
+through up to the last stage; columns whose names clash with added ones are kept as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, linededup, mixing, neardup, quality
@@ -14,8 +15,12 @@ from lexweave.staging import stage
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule themselves and are on no bad host."""
-    judged = quality.quality_features(docs.select(*docs.columns))
+    """Documents that fail no rule themselves and are on no bad host.
+
+    The rules run once: their verdicts are staged with the documents, without the texts that fail anyway.
+    """
+    judged = quality.quality_features(docs).select(*docs.columns, F.col("base_failed").alias("_lw_failed"))
+    judged = stage(judged.withColumn("text", F.when(~F.col("_lw_failed"), F.col("text"))), "judged").withColumnRenamed("_lw_failed", "base_failed")
     hosts = quality.host_verdicts(judged.select("source", "base_failed"))
     return quality.apply_verdicts(judged, hosts).filter("kept").select(*docs.columns)
 
@@ -25,7 +30,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     cleaned = linededup.dedup_lines(docs)
     touched = F.col("n_removed_lines") > 0
     left = cleaned.filter(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.when(touched, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return _counted(left, touched).select(*docs.columns)
+
+
+def _counted(docs: DataFrame, changed: Column) -> DataFrame:
+    """n_chars follows the text where that has changed, if the documents have that column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents, one row for each time a document is drawn from."""
-    return mixing.Mix(docs).documents().withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return _counted(mixing.Mix(docs).documents(), F.lit(True)).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
