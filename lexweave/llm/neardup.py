@@ -6,9 +6,11 @@ a pair of similarity 0.8 differ in about ten bits), from MinHash bands: `BANDS`
 such a pair shares at least once with a probability of 0.998. A candidate only counts once the exact Jaccard
 similarity of its two sets has been found high enough.
 
-Within a bucket of a band each class is first compared with the least one; what that and the trie join link forms
-components. Then only the pairs of a bucket that are still in different components are compared, so a large group
-of near copies costs its size and not its square. Nothing is cut off.
+Within a bucket of a band each class is compared with the least one; what that and the trie join link forms
+components. Classes of buckets that still hold several components (many texts from one template, say) are dealt
+once more, into the finer buckets of `SUBSETS` fixed choices of `CHOSEN` minima, and again each is compared with the
+least one of its bucket. So a large group of texts that resemble each other, near copies or not, costs its size
+and not its square. A pair of similarity 0.8 shares some finer bucket with a probability of 0.99.
 
 Defined results: case of A-Z and white space do not count; a null or empty text has the empty set, and all of
 those are alike; a text of fewer words than a shingle has one shingle, its whole word sequence. Null ids
@@ -24,6 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from lexweave.llm.components import connected_components
 from lexweave.llm.hotjoin import join_hot
@@ -37,6 +40,11 @@ _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 
 
+#: Of the minima, those that make up each finer bucket.
+SUBSETS, CHOSEN = 256, 14
+_SUBSETS = np.stack([np.sort(_RNG.permutation(BANDS * ROWS)[:CHOSEN]) for _ in range(SUBSETS)])
+
+
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """The distinct shingles of a text as sorted unsigned 64-bit hashes."""
     words = [w.encode() for w in WORD.findall((text or "").translate(LOWER))]
@@ -55,18 +63,28 @@ def set_key(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
-def band_hashes(found: np.ndarray) -> np.ndarray:
-    """A hash of each band's minima as signed longs; none for the empty set."""
-    if not len(found):
-        return np.zeros(0, np.int64)
+def minima(found: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     folded = (found ^ (found >> np.uint64(32))).astype(np.uint32)
     for at in range(0, len(folded), 4096):
         least = np.minimum(least, ((folded[None, at : at + 4096] ^ _XOR) * _MUL).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
+    return least
+
+
+def _numbered_hashes(rows: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def band_hashes(found: np.ndarray) -> np.ndarray:
+    """A hash of each band's minima as signed longs; none for the empty set."""
+    return _numbered_hashes(minima(found).reshape(BANDS, ROWS)) if len(found) else np.zeros(0, np.int64)
+
+
+def finer_hashes(found: np.ndarray) -> np.ndarray:
+    """A hash of each choice of minima as signed longs."""
+    return _numbered_hashes(minima(found)[_SUBSETS])
+
+
 def _sketches(shingle: int):
     @F.pandas_udf("key long, n int, fp long, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -77,6 +95,11 @@ def _sketches(shingle: int):
     return sketch
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _finer(items: pd.Series) -> pd.Series:
+    return items.map(lambda found: finer_hashes(np.asarray(found, np.int64).view(np.uint64)))
+
+
 def _sets(shingle: int):
     @F.pandas_udf("key long, items array<long>")
     def items(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -130,15 +153,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     star = bands.filter((F.col("key") > F.col("least.key")) & _size_fits(F.col("n"), F.col("least.n"), similarity)).select(F.col("least.key").alias("u"), F.col("key").alias("v")).unionByName(close).distinct()
     links = stage(_alike(star, sets, similarity), "links")
     roots = stage(connected_components(links), "roots")
-    # pairs of a bucket that the comparison with the least one has left apart
+    # classes of buckets in which the comparison with the least one has left several components
     placed = bands.select("band", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
     split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size")).filter("a <> b and size > 2").select("band")
-    apart = stage(placed.join(split, "band", "left_semi"), "apart")
+    apart = stage(placed.join(split, "band", "left_semi").select("key", "n", "root").distinct(), "apart")
     if not apart.isEmpty():
-        other = apart.select("band", F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-        rest = apart.join(other, "band").filter((F.col("root") != F.col("other")) & (F.col("key") < F.col("v")) & _size_fits(F.col("n"), F.col("m"), similarity))
-        rest = rest.select(F.col("key").alias("u"), "v").distinct().join(star, ["u", "v"], "left_anti")
-        more = stage(_alike(rest, sets, similarity), "links")
+        finer = stage(apart.join(sets, "key").select("key", "n", "root", F.explode(_finer("items")).alias("finer")), "finer-buckets")
+        least = finer.groupBy("finer").agg(F.min(F.struct("key", "n", "root")).alias("least"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+        rest = finer.join(least.select("finer", "least"), "finer").filter((F.col("root") != F.col("least.root")) & _size_fits(F.col("n"), F.col("least.n"), similarity))
+        more = stage(_alike(rest.select(F.col("least.key").alias("u"), F.col("key").alias("v")).distinct(), sets, similarity), "links")
         if not more.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     rooted = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first", "docs", F.coalesce("root", "key").alias("root"))
