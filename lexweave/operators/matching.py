@@ -6,18 +6,24 @@ overlapping scan lists all hits by end, longer ones first, then in order of regi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.operators.policy import filter_candidates
+from lexweave.operators.surfaces import dense_ids
 from lexweave.session import ship
+from lexweave.staging import stage
 
 KINDS = ("overlapping", "longest_per_end", "nonoverlap", "leftmost_longest", "leftmost_first")
 Hit = tuple[int, int, int]
+MOST_CHARACTERS, ROWS_AT_ONCE = 50_000_000, 50_000
 
 
 @lru_cache(maxsize=4)
@@ -34,46 +40,73 @@ def _automaton(patterns: tuple[str, ...]):
     return found, tuple(by_text.get("", ()))
 
 
-def overlapping(patterns: tuple[str, ...], text: str) -> list[Hit]:
+def _scanned(patterns: tuple[str, ...], text: str) -> Iterator[Hit]:
+    """Occurrences of the patterns that aren't empty, by end, longer ones first, then as registered."""
+    scan, _ = _automaton(patterns)
+    if len(scan):
+        for end, (n, ids) in scan.iter(text):
+            for i in ids:
+                yield end + 1 - n, end + 1, i
+
+
+def overlapping(patterns: tuple[str, ...], text: str) -> Iterable[Hit]:
     """Every occurrence; an empty pattern occurs at every boundary."""
-    scan, empty = _automaton(patterns)
-    hits = [(end + 1 - n, end + 1, i) for end, (n, ids) in scan.iter(text) for i in ids] if len(scan) else []
-    hits += [(k, k, i) for k in range(len(text) + 1) for i in empty]
+    _, empty = _automaton(patterns)
+    if not empty:
+        return _scanned(patterns, text)
+    hits = [*_scanned(patterns, text), *((k, k, i) for k in range(len(text) + 1) for i in empty)]
     return sorted(hits, key=lambda h: (h[1], h[0] - h[1], h[2]))
 
 
-def longest_per_end(patterns: tuple[str, ...], text: str) -> list[Hit]:
-    best: dict[int, Hit] = {}
+def longest_per_end(patterns: tuple[str, ...], text: str) -> Iterator[Hit]:
+    last = -1
     for h in overlapping(patterns, text):
-        best.setdefault(h[1], h)
-    return [best[e] for e in sorted(best)]
+        if h[1] != last:
+            last = h[1]
+            yield h
 
 
-def nonoverlap(patterns: tuple[str, ...], text: str) -> list[Hit]:
+def nonoverlap(patterns: tuple[str, ...], text: str) -> Iterator[Hit]:
     """At the first end reached the longest hit since the last one, then on from there; an empty pattern wins everywhere."""
     if "" in patterns:
-        return [(k, k, patterns.index("")) for k in range(len(text) + 1)]
-    out, at = [], 0
-    for h in overlapping(patterns, text):
+        yield from ((k, k, patterns.index("")) for k in range(len(text) + 1))
+        return
+    at = 0
+    for h in _scanned(patterns, text):
         if h[0] >= at:
-            out.append(h)
+            yield h
             at = h[1]
-    return out
 
 
-def leftmost(patterns: tuple[str, ...], text: str, first: bool) -> list[Hit]:
-    """At the leftmost start the longest pattern, or the one registered first; then on after it."""
-    ranked = sorted(overlapping(patterns, text), key=lambda h: (h[0], h[2]) if first else (h[0], h[0] - h[1], h[2]))
-    out, at = [], 0
-    for h in ranked:
-        if h[0] < at or (h[0] == h[1] == at and out):  # an empty hit right after a hit is skipped
-            continue
-        out.append(h)
-        at = h[1]
-    return out
+def leftmost(patterns: tuple[str, ...], text: str, first: bool) -> Iterator[Hit]:
+    """At the leftmost start the longest pattern, or the one registered first; then on after it.
+
+    The best hit of a start is sure once the scan is past the longest pattern, so few starts are held.
+    """
+    widest = max(map(len, patterns), default=0)
+    better = (lambda h: h[2]) if first else (lambda h: (h[0] - h[1], h[2]))
+    best: dict[int, Hit] = {}
+    at, due, any_yet = 0, widest, False
 
+    def settle(upto: int) -> Iterator[Hit]:
+        nonlocal at, any_yet
+        for start in sorted(s for s in best if s < upto):
+            h = best.pop(start)
+            if start < at or (h[0] == h[1] == at and any_yet):  # an empty hit right after a hit is skipped
+                continue
+            yield h
+            at, any_yet = h[1], True
 
-def find(patterns: tuple[str, ...], text: str, kind: str) -> list[Hit]:
+    for h in overlapping(patterns, text):
+        if h[1] >= due:
+            yield from settle(h[1] - widest)
+            due = h[1] + widest
+        if h[0] >= at and (h[0] not in best or better(h) < better(best[h[0]])):
+            best[h[0]] = h
+    yield from settle(len(text) + 1)
+
+
+def find(patterns: tuple[str, ...], text: str, kind: str) -> Iterable[Hit]:
     if kind not in KINDS:
         raise ValueError(f"match kind must be one of {KINDS}")
     if kind.startswith("leftmost"):
@@ -81,13 +114,21 @@ def find(patterns: tuple[str, ...], text: str, kind: str) -> list[Hit]:
     return {"overlapping": overlapping, "longest_per_end": longest_per_end, "nonoverlap": nonoverlap}[kind](patterns, text)
 
 
-def check_size(patterns: list[str], most: int = 50_000_000) -> None:
+def check_size(patterns: list[str], most: int = MOST_CHARACTERS) -> None:
     """The bound of what is broadcast, in characters."""
     if sum(map(len, patterns)) > most:
         raise ValueError("the dictionary is too large to broadcast")
 
 
-def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: str, kind: str = "overlapping", max_dictionary: int = 50_000_000) -> DataFrame:
+def collect_patterns(dictionary: DataFrame, most: int = MOST_CHARACTERS) -> list[str]:
+    """The patterns of (surface_id, pattern) in order of their dense ids; their size is checked before they are fetched."""
+    size = dictionary.agg(F.sum(F.length("pattern")).alias("n")).first()["n"] or 0
+    if size > most:
+        raise ValueError("the dictionary is too large to broadcast")
+    return [r["pattern"] for r in dictionary.orderBy("surface_id").select("pattern").collect()]
+
+
+def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: str, kind: str = "overlapping", max_dictionary: int = MOST_CHARACTERS) -> DataFrame:
     """(note_id, start, end, surface_id, surface) for every match; surface_id is the pattern's position."""
     check_size(patterns, max_dictionary)
     ship(notes.sparkSession)
@@ -96,13 +137,50 @@ def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: s
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
         for batch in batches:
-            rows = [(n, a, b, i, words[i]) for n, t in zip(batch["note_id"], batch["text"], strict=True) for a, b, i in find(words, t or "", kind)]
-            yield pd.DataFrame(rows, columns=["note_id", "start", "end", "surface_id", "surface"])
+            hits = ((n, a, b, i, words[i]) for n, t in zip(batch["note_id"], batch["text"], strict=True) for a, b, i in find(words, t or "", kind))
+            while rows := list(islice(hits, ROWS_AT_ONCE)):
+                yield pd.DataFrame(rows, columns=["note_id", "start", "end", "surface_id", "surface"])
 
     rows = notes.select(F.col(id_col).alias("note_id"), F.col(text).alias("text"))
     return rows.mapInPandas(scan, "note_id long, start int, end int, surface_id int, surface string")
 
 
+def count_matches(notes: DataFrame, dictionary: DataFrame, id_col: str, text: str, kind: str = "overlapping") -> DataFrame:
+    """(surface, n, notes) of each pattern of `dictionary` (surface_id, pattern) that occurs: matches, and notes that hold one.
+
+    Matches are counted by note while it is scanned; texts of the patterns are joined to the sums only.
+    """
+    patterns = collect_patterns(dictionary)
+    ship(notes.sparkSession)
+    shared = notes.sparkSession.sparkContext.broadcast(tuple(patterns))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        for batch in batches:
+            counts = ((note, i, n) for note, t in zip(batch["note_id"], batch["text"], strict=True) for i, n in Counter(h[2] for h in find(words, t or "", kind)).items())
+            while rows := list(islice(counts, ROWS_AT_ONCE)):
+                yield pd.DataFrame(rows, columns=["note_id", "surface_id", "n"])
+
+    found = notes.select(F.col(id_col).alias("note_id"), F.col(text).alias("text")).mapInPandas(scan, "note_id long, surface_id long, n long")
+    sums = found.groupBy("surface_id", "note_id").agg(F.sum("n").alias("n")).groupBy("surface_id").agg(F.sum("n").alias("n"), F.count("note_id").alias("notes"))
+    return sums.join(dictionary, "surface_id").select(F.col("pattern").alias("surface"), "n", "notes")
+
+
+def match_surfaces(notes: DataFrame, lists: DataFrame, report: DataFrame | None, id_col: str, text: str, kind: str = "overlapping", window: int | None = None) -> DataFrame:
+    """(note_id, start, end, surface_id, surface, qids) of matches with candidates left.
+
+    `lists` has surface_key and qids; `report` (qid, report) is the policy, applied before the dictionary is built,
+    or None for all candidates. With `window`, the text of a longer surface is null.
+    """
+    kept = filter_candidates(lists, report) if report is not None else lists.filter(F.size("qids") > 0).select("surface_key", "qids")
+    kept = stage(dense_ids(kept, "surface_key", "surface_id"), "surfaces")
+    found = match_dictionary(notes, collect_patterns(kept.withColumnRenamed("surface_key", "pattern")), id_col, text, kind)
+    found = found.join(kept.select("surface_id", "qids"), "surface_id")
+    if window is not None:
+        found = found.withColumn("surface", F.when(F.col("end") - F.col("start") <= window, F.col("surface")))
+    return found.select("note_id", "start", "end", "surface_id", "surface", "qids")
+
+
 def num_states(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     """States of the trie: distinct prefixes, and the root."""
     n = F.length(pattern)

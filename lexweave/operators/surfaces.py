@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import qid_number, surface_key, surface_text
+from lexweave.operators import graph, policy
 from lexweave.staging import stage
 
 
@@ -33,12 +34,13 @@ def surface_qids(sources: DataFrame) -> DataFrame:
     return lists.withColumn("qid_count", F.size("qids"))
 
 
-def dense_ids(rows: DataFrame, key: str, out: str, ranges: int = 64) -> DataFrame:
+def dense_ids(rows: DataFrame, key: str, out: str, ranges: int | None = None) -> DataFrame:
     """`rows` (distinct keys) with 0-based positions in key order.
 
     Keys are range-partitioned and sorted; a partition's offset is the number of rows before it, so no task
-    orders more than its own range.
+    orders more than its own range. There are as many ranges as shuffle partitions, and 64 at least.
     """
+    ranges = ranges or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = stage(rows.repartitionByRange(ranges, key).withColumn("_lw_p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_lw_p").agg(F.count(F.lit(1)).alias("n"))  # `ranges` rows
     starts = sizes.select("_lw_p", F.coalesce(F.sum("n").over(W.orderBy("_lw_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_lw_start"))
@@ -76,3 +78,28 @@ def type_edges(claims: DataFrame, candidates: DataFrame) -> DataFrame:
     seeds = candidates.select("qid").distinct().withColumn("is_candidate", F.lit(True))
     merged = edges.join(seeds, "qid", "full").select("qid", F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"), F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"))
     return merged.filter(F.col("is_candidate") | (F.col("flags") != 0) | (F.size("targets") > 0)).drop("is_candidate")
+
+
+def eid_lookup(qids: DataFrame, ids: DataFrame) -> DataFrame:
+    """`qids` with their eid_id of `ids` (qid, eid_id); the job fails at one that isn't there."""
+    joined = qids.join(ids, "qid", "left")
+    known = F.when(F.col("eid_id").isNotNull(), F.col("eid_id")).otherwise(F.raise_error(F.concat(F.lit("unknown QID: Q"), "qid")))
+    return joined.withColumn("eid_id", known)
+
+
+def entity_cards(claims: DataFrame, candidates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(qid, flags, colors) of every candidate: flags from its claims, and its distances to the anchors along all edges.
+
+    The search also passes through entities that are no candidates.
+    """
+    edges = stage(type_edges(claims, candidates), "type-edges")
+    steps = edges.select(F.col("qid").alias("source"), F.explode("targets").alias("target"))
+    found = graph.cards(graph.anchor_distances(steps, anchors), candidates.select(F.col("qid").alias("node")))
+    empty = F.array().cast("array<struct<anchor_id:int,distance:int>>")
+    wanted = edges.join(candidates.select("qid").distinct(), "qid", "left_semi").select("qid", "flags")
+    return wanted.join(found.withColumnRenamed("node", "qid"), "qid", "left").select("qid", "flags", F.coalesce("colors", empty).alias("colors"))
+
+
+def entity_reports(claims: DataFrame, candidates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(qid, report) of every candidate by the policy."""
+    return entity_cards(claims, candidates, anchors).select("qid", policy.should_report(F.col("flags"), F.col("colors")).alias("report"))

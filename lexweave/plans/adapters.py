@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.operators import surfaces
+from lexweave.operators import matching, surfaces
 from lexweave.session import table
 
 
@@ -106,7 +106,7 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary_words(spark: SparkSession, d: str) -> list[str]:
-    return [r["pattern"] for r in dictionary(spark, d).orderBy("surface_id").collect()]  # match_dictionary checks the size
+    return matching.collect_patterns(dictionary(spark, d))
 
 
 MATCHES_SQL = """
@@ -121,13 +121,26 @@ words AS (
 ), lengths AS (
   SELECT DISTINCT n FROM dict
 ), cut AS (
-  SELECT doc_id, base + i - 1 AS start, n, substring(w, i, n) AS s
+  SELECT doc_id, base, base + i - 1 AS start, n, substring(w, i, n) AS s
   FROM (SELECT doc_id, w, base, unnest(range(1, length(w) + 1))::INT AS i FROM placed WHERE length(w) >= 4), lengths WHERE i + n - 1 <= length(w)
 ), matches AS (
   SELECT doc_id AS note_id, start::INT AS start, (start + c.n)::INT AS "end", surface_id, pattern AS surface FROM cut c JOIN dict ON dict.pattern = c.s
 )"""
 
 
+def greedy_sql(order: str) -> str:
+    """Of the matches in each blank-separated token (none crosses one) the first in `order`, then the first that begins at its end or later, and so on."""
+    based = MATCHES_SQL.replace("SELECT doc_id AS note_id, start", "SELECT doc_id AS note_id, base, start")
+    return f"""WITH RECURSIVE {based}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY note_id, base ORDER BY {order}) AS r FROM matches
+), step AS (
+  SELECT * FROM ranked WHERE r = 1
+  UNION ALL
+  SELECT * FROM (SELECT ranked.* FROM step JOIN ranked ON ranked.note_id = step.note_id AND ranked.base = step.base AND ranked.start >= step."end" AND ranked.r > step.r
+                 QUALIFY row_number() OVER (PARTITION BY ranked.note_id, ranked.base ORDER BY ranked.r) = 1) AS t
+) SELECT note_id, start, "end", surface_id, surface FROM step"""
+
+
 def intervals(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     start = (F.col("l_partkey") % 40).cast("int")

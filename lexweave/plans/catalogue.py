@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import graph, matching, mentions, notes, policy, store, surfaces
 from lexweave.plans import adapters as A
+from lexweave.plans import dump_queries, store_queries  # noqa: F401 - they register themselves
+from lexweave.plans.registry import oracle_sql, queries, query  # noqa: F401
 from lexweave.session import table
 from lexweave.sources import dumps
 
 FLAGSHIP = "dict_match_counts"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
 
 
 @query(f"WITH {A.SOURCES_SQL} SELECT DISTINCT * FROM sources")
@@ -126,7 +105,7 @@ def dict_matches_overlapping(spark, d):
 
 @query(f"WITH {A.MATCHES_SQL} SELECT surface, count(*) AS n, count(DISTINCT note_id) AS notes FROM matches GROUP BY surface")
 def dict_match_counts(spark, d):
-    return _matches(spark, d, "overlapping").groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("note_id").alias("notes"))
+    return matching.count_matches(table(spark, d, "documents"), A.dictionary(spark, d), "doc_id", "text")
 
 
 @query(f"""WITH {A.MATCHES_SQL} SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY note_id, "end" ORDER BY "end" - start DESC, surface_id) = 1""")
@@ -134,17 +113,17 @@ def dict_matches_longest_per_end(spark, d):
     return _matches(spark, d, "longest_per_end")
 
 
-@query()
+@query(A.greedy_sql('"end", start, surface_id'))
 def dict_matches_nonoverlap(spark, d):
     return _matches(spark, d, "nonoverlap")
 
 
-@query()
+@query(A.greedy_sql('start, "end" DESC, surface_id'))
 def dict_matches_leftmost_longest(spark, d):
     return _matches(spark, d, "leftmost_longest")
 
 
-@query()
+@query(A.greedy_sql('start, surface_id'))
 def dict_matches_leftmost_first(spark, d):
     return _matches(spark, d, "leftmost_first")
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import qid_number
+from lexweave.operators.surfaces import attach_qids
 from lexweave.session import ship
 
 ESCAPES = {"0": "\0", "'": "'", '"': '"', "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a", "\\": "\\"}
@@ -18,8 +20,27 @@ ESCAPE = re.compile(r"\\(.)", re.S)
 BLANKS = " \t\n\r\f"
 
 
+def dump_name(wiki: str, date: str, component: str) -> str:
+    return f"{wiki}-{date}-{component}.sql.gz"
+
+
 def dump_path(root: str, wiki: str, date: str, component: str) -> str:
-    return f"{root}/{wiki}/{date}/{wiki}-{date}-{component}.sql.gz"
+    return f"{root}/{wiki}/{date}/{dump_name(wiki, date, component)}"
+
+
+def entity_dump_name(date: str) -> str:
+    return "latest-all.json.bz2" if date == "latest" else f"wikidata-{date}-all.json.bz2"
+
+
+def entity_dump_path(root: str, date: str) -> str:
+    return f"{root}/wikidatawiki/{date}/{entity_dump_name(date)}"
+
+
+def check_date(date: str) -> str:
+    """`latest` or eight ASCII digits."""
+    if date != "latest" and not re.fullmatch("[0-9]{8}", date, re.ASCII):
+        raise ValueError(f"not a dump date: {date}")
+    return date
 
 
 def parse_tuples(line: str) -> list[list[str]]:
@@ -71,9 +92,37 @@ def pages(rows: DataFrame) -> DataFrame:
     return rows.filter((F.size(f) >= 4) & (f[1] == "0")).select(f[0].cast("bigint").alias("page_id"), f[1].cast("int").alias("namespace"), f[2].alias("title"))
 
 
+def page_props(rows: DataFrame) -> DataFrame:
+    """(page_id, propname, value, seq) of the rows that name a page's entity; seq rises along the file."""
+    f = F.col("fields")
+    found = rows.withColumn("seq", F.monotonically_increasing_id()).filter((F.size(f) >= 3) & (f[1] == "wikibase_item"))
+    return found.select(f[0].cast("bigint").alias("page_id"), f[1].alias("propname"), f[2].alias("value"), "seq")
+
+
+def redirects(rows: DataFrame) -> DataFrame:
+    f = F.col("fields")
+    return rows.filter((F.size(f) >= 3) & (f[1] == "0")).select(f[0].cast("bigint").alias("source_page_id"), f[1].cast("int").alias("namespace"), f[2].alias("target_title"))
+
+
+def wiki_tables(spark: SparkSession, root: str, wikis: list[str], date: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages with their QIDs, and redirects, of all `wikis`; a missing dump is an error."""
+    found = []
+    for wiki in wikis:
+        read = lambda component: read_dump(spark, dump_path(root, wiki, check_date(date), component), component, limit)  # noqa: B023, E731
+        named = pages(read("page")).withColumn("wiki", F.lit(wiki))
+        found.append((attach_qids(named, page_props(read("page_props"))), redirects(read("redirect")).withColumn("wiki", F.lit(wiki))))
+    joined = [reduce(DataFrame.unionByName, side) for side in zip(*found, strict=True)]
+    return joined[0], joined[1]
+
+
 CLAIMS = "struct<id:string,claims:struct<P31:array<struct<mainsnak:struct<datavalue:struct<value:struct<id:string>>>>>,P279:array<struct<mainsnak:struct<datavalue:struct<value:struct<id:string>>>>>>>"
 
 
+def entity_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of a JSON dump, plain or compressed."""
+    return spark.read.text(path).filter(~F.col("value").startswith("--"))
+
+
 def entity_claims(lines: DataFrame) -> DataFrame:
     """(qid, targets) of a JSON dump in array-of-lines form; only classes and kinds are read."""
     text = F.regexp_replace(F.trim("value"), ",$", "")

@@ -32,12 +32,18 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN_ROOT[0]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted like a staged table."""
+    path = f"{shared_root(spark)}/lexweave/{uuid.uuid4().hex}-{name}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/lexweave/{uuid.uuid4().hex}-{name}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
