@@ -51,3 +51,8 @@ def link_target(raw: Column) -> Column:
     """Cut at fragment, title or block mark; trim; forward slashes; no leading slash."""
     cut = F.trim(F.regexp_extract(raw, r'^([^#"^]*)', 1))
     return F.regexp_replace(F.replace(cut, F.lit("\\"), F.lit("/")), "^/+", "")
+
+
+def split_csv(value: str) -> list[str]:
+    """Items between commas, trimmed; empty ones drop out."""
+    return [item for item in map(str.strip, value.split(",")) if item]

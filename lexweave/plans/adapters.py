@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import matching, surfaces
 from lexweave.session import table
+from lexweave.staging import shared_path
 
 
 def part_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -182,3 +183,39 @@ notes AS (
 ), around AS (
   SELECT *, CASE WHEN substring(seen, 30, 1) = ' ' THEN seen[:31] ELSE seen[:30] END AS right_context FROM notes
 )"""
+
+
+# (syntax, text before, the piece, text behind); NAME stands for a part's name.
+SYNTAX_NOTES = [
+    ("frontmatter", "", "---\ntitle: NAME\n---\n", "text"),
+    ("blockquote", "one\n", "> NAME\n> more\n", "two"),
+    ("markdown_table", "", "| a | b |\n| --- | --- |\n| NAME | x |\n", "\nend"),
+    ("thematic_break", "NAME\n\n", "---\n", "x"),
+    ("fenced_code", "NAME\n", "```\nNAME\n```\n", "x"),
+    ("html_comment", "a ", "<!-- NAME -->", " b"),
+    ("html", "a ", "<b>NAME</b>", " b"),
+    ("wikilink", "a ", "[[other/NAME|x]]", " b"),
+    ("markdown_link", "a ", "[NAME](http://x.y)", " b"),
+    ("markdown_image", "a ", "![NAME](pic.png)", " b"),
+    ("footnote_def", "a\n", "[^1]: ", "NAME"),
+    ("footnote_ref", "NAME", "[^n1]", " b"),
+    ("inline_code", "a ", "`NAME`", " b"),
+    ("obsidian_tag", "NAME ", "#tag", " b"),
+    ("markdown_emphasis", "NAME ", "**", " b"),
+]
+
+
+def syntax_notes(spark: SparkSession, d: str) -> DataFrame:
+    """(note_id, text): a note for each part and rule; its id is 100 times the part's and the rule's number."""
+    cases = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a + b + c).alias("text")) for i, (_, a, b, c) in enumerate(SYNTAX_NOTES)])).alias("c")
+    made = table(spark, d, "part").select("p_partkey", "p_name", cases)
+    return made.select((F.col("p_partkey") * 100 + F.col("c.i")).alias("note_id"), F.replace("c.text", F.lit("NAME"), F.col("p_name")).alias("text"))
+
+
+def chunk_files(spark: SparkSession, d: str, size: int = 700) -> str:
+    """A folder of (note_id, chunk_no, text): every document in chunks of `size` characters."""
+    n = F.greatest(F.ceil(F.length("text") / size), F.lit(1))
+    cut = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("chunk_no"))
+    path = shared_path(spark, "chunks")
+    cut.select("note_id", "chunk_no", F.substr("text", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("text")).write.parquet(path)
+    return path

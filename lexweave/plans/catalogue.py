@@ -11,6 +11,8 @@ from lexweave.plans import dump_queries, store_queries  # noqa: F401 - they regi
 from lexweave.plans.registry import oracle_sql, queries, query  # noqa: F401
 from lexweave.session import table
 from lexweave.sources import dumps
+from lexweave.staging import shared_path
+from lexweave.streaming import chunks
 
 FLAGSHIP = "dict_match_counts"
 
@@ -264,6 +266,25 @@ def note_pieces(spark, d):
     return notes.note_pieces(A.part_notes(spark, d)[0])
 
 
+_SYNTAX = ", ".join(f"({i}, '{s}', '{a}', '{b}', '{c}')" for i, (s, a, b, c) in enumerate(A.SYNTAX_NOTES)).replace("\n", "' || chr(10) || '")
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {_SYNTAX}) AS t(case_no, syntax, ahead, body, behind))
+SELECT p_partkey AS note_id, case_no::INT AS case_no, syntax, replace(body, 'NAME', p_name) AS text, length(replace(ahead, 'NAME', p_name))::INT AS start,
+(length(replace(ahead, 'NAME', p_name)) + length(replace(body, 'NAME', p_name)))::INT AS "end" FROM part, t""")
+def note_syntax_pieces(spark, d):
+    """Each rule of Markdown that matches must not cross, in a note of its own: what it takes, and where."""
+    found = notes.note_pieces(A.syntax_notes(spark, d))
+    shown = found.filter(~F.col("syntax").isin("text", "link"))
+    return shown.select(F.floor(F.col("note_id") / 100).alias("note_id"), (F.col("note_id") % 100).cast("int").alias("case_no"), "syntax", "text", "start", "end")
+
+
+@query(f"WITH {A.MATCHES_SQL} SELECT note_id, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", surface_id, surface FROM matches")
+def chunked_scan(spark, d):
+    """Documents that arrive as a stream of chunks, matched across the chunks."""
+    return chunks.scan_files(A.chunk_files(spark, d), A.dictionary_words(spark, d), shared_path(spark, "chunk-matches"))
+
+
 def _note_groups(spark, d):
     rows, candidates = A.part_notes(spark, d)
     return rows, notes.mention_groups(notes.with_candidates(notes.note_matches(rows, A.NOTE_WORDS), candidates))

@@ -18,7 +18,7 @@ def note_files(spark: SparkSession, root: str, entity_dir: str = "wiki", pattern
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     inner = F.regexp_replace("path", "^(?:file:)?/*", "/")
     start = F.length(F.lit("/" + root.removeprefix("file:").strip("/") + "/"))
-    rows = files.select(F.substr(inner, start + 1).alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), (F.unix_micros("modificationTime") / 1000).cast("bigint").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
+    rows = files.select(F.substr(inner, start + 1).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), (F.unix_micros("modificationTime") / 1000).cast("bigint").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
     return rows.filter(~F.col("path").startswith(f"{entity_dir}/")) if entity_dir else rows
 
 

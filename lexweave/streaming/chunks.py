@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,3 +48,12 @@ def chunk_matches(chunks: DataFrame, patterns: list[str]) -> DataFrame:
 
     rows = chunks.select("note_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
     return rows.groupBy("note_id").applyInPandasWithState(scan, MATCH, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def scan_files(path: str, patterns: list[str], out: str) -> DataFrame:
+    """Matches of the chunks in a folder of Parquet files (note_id, chunk_no, text), read as a stream until all are done."""
+    spark = SparkSession.active()
+    stream = spark.readStream.schema("note_id long, chunk_no long, text string").parquet(path)
+    sink = chunk_matches(stream, patterns).writeStream.format("parquet").option("path", f"{out}/matches").option("checkpointLocation", f"{out}/progress")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(MATCH).parquet(f"{out}/matches")

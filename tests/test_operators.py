@@ -8,29 +8,28 @@ from lexweave.operators import matching as M
 from lexweave.operators import policy
 from lexweave.sources import dumps
 
-HAN = ("全世界", "世界", "に")
-EMPTY = ("a", "æ", "あ", "")
-TEXT = "いあabcÆæう"
+WOOD = ("杉木林", "木林", "ね")
+MIXED = ("k", "ø", "ゆ", "")
+TEXT = "らゆkxyØøむ"
 
 
 @pytest.mark.parametrize(
     ("patterns", "text", "kind", "want"),
     [
-        (HAN, "全世界中に", "overlapping", [(0, 3, 0), (1, 3, 1), (4, 5, 2)]),
-        (HAN, "全世界中に", "longest_per_end", [(0, 3, 0), (4, 5, 2)]),
-        (("bcd", "ab", "a"), "abcd", "nonoverlap", [(0, 1, 2), (1, 4, 0)]),
-        (("bcd", "ab", "a"), "abcd", "overlapping", [(0, 1, 2), (0, 2, 1), (1, 4, 0)]),
-        (("ab", "a", "abcd"), "abcd", "leftmost_longest", [(0, 4, 2)]),
-        (("ab", "a", "abcd"), "abcd", "leftmost_first", [(0, 2, 0)]),
-        (EMPTY, TEXT, "overlapping", [(0, 0, 3), (1, 1, 3), (1, 2, 2), (2, 2, 3), (2, 3, 0), (3, 3, 3), (4, 4, 3), (5, 5, 3), (6, 6, 3), (6, 7, 1), (7, 7, 3), (8, 8, 3)]),
-        (EMPTY, TEXT, "nonoverlap", [(k, k, 3) for k in range(9)]),
-        (EMPTY, TEXT, "leftmost_longest", [(0, 0, 3), (1, 2, 2), (2, 3, 0), (4, 4, 3), (5, 5, 3), (6, 7, 1), (8, 8, 3)]),
-        (("a", "ab", ""), "ab", "longest_per_end", [(0, 0, 2), (0, 1, 0), (0, 2, 1)]),
+        (WOOD, "杉木林道ね", "overlapping", [(0, 3, 0), (1, 3, 1), (4, 5, 2)]),
+        (WOOD, "杉木林道ね", "longest_per_end", [(0, 3, 0), (4, 5, 2)]),
+        (("ilt", "qu", "q"), "quilt", "nonoverlap", [(0, 1, 2), (2, 5, 0)]),
+        (("uil", "qui", "qu"), "quilt", "leftmost_longest", [(0, 3, 1)]),
+        (("uil", "qu", "qui"), "quilt", "leftmost_first", [(0, 2, 1)]),
+        (MIXED, TEXT, "overlapping", [(0, 0, 3), (1, 1, 3), (1, 2, 2), (2, 2, 3), (2, 3, 0), (3, 3, 3), (4, 4, 3), (5, 5, 3), (6, 6, 3), (6, 7, 1), (7, 7, 3), (8, 8, 3)]),
+        (MIXED, TEXT, "nonoverlap", [(k, k, 3) for k in range(9)]),
+        (MIXED, TEXT, "leftmost_longest", [(0, 0, 3), (1, 2, 2), (2, 3, 0), (4, 4, 3), (5, 5, 3), (6, 7, 1), (8, 8, 3)]),
+        (("q", "qu", ""), "qu", "longest_per_end", [(0, 0, 2), (0, 1, 0), (0, 2, 1)]),
         ((), "ab", "overlapping", []),
     ],
 )
 def test_match_kinds(patterns, text, kind, want):
-    assert M.find(patterns, text, kind) == want
+    assert list(M.find(patterns, text, kind)) == want
 
 
 def test_overlapping_equals_brute_force():
@@ -39,7 +38,14 @@ def test_overlapping_equals_brute_force():
         patterns = tuple("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 5)))
         text = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12)))
         want = sorted(((s, s + len(p), i) for i, p in enumerate(patterns) for s in range(len(text)) if text.startswith(p, s)), key=lambda h: (h[1], h[0] - h[1], h[2]))
-        assert M.overlapping(patterns, text) == want
+        assert list(M.overlapping(patterns, text)) == want
+        assert list(M.longest_per_end(patterns, text)) == [h for k, h in enumerate(want) if not k or want[k - 1][1] != h[1]]
+        for kind, order in (("nonoverlap", lambda h: (h[1], h[0], h[2])), ("leftmost_longest", lambda h: (h[0], -h[1], h[2])), ("leftmost_first", lambda h: (h[0], h[2]))):
+            left, taken = want, []
+            while left:
+                taken.append(min(left, key=order))
+                left = [h for h in left if h[0] >= taken[-1][1]]
+            assert list(M.find(patterns, text, kind)) == taken, (patterns, text, kind)
 
 
 def test_unknown_kind_is_an_error():
