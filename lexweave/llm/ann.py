@@ -147,7 +147,9 @@ def fit(x: np.ndarray, parts: int, k: int = 10, recall: float = 0.93) -> Router:
     order, before = router.ranked(tests)
     place = np.argsort(order, axis=1)  # rank of each part for each test
     needed = np.take_along_axis(before, np.take_along_axis(place, home[near], 1), 1)
-    router.reach = float(np.quantile(needed, recall)) + 1e-9
+    # few tests: aim higher by one and a half of their standard errors
+    aim = min(1.0, recall + 1.5 * np.sqrt(recall * (1 - recall) / len(tests)))
+    router.reach = float(np.quantile(needed, aim)) + 1e-9
     return router
 
 
@@ -201,7 +203,7 @@ def search_block(asks: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame
     """(query_id, vec_id, score): of a block's rows the k nearest to each of its queries, from the query's parts."""
     q, v, ids, part = np.stack(asks["q"].to_numpy()), np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy(), rows["part"].to_numpy()
     scale = max(np.abs(q).max(), np.abs(v).max())
-    scale = scale if scale > 1e100 else 1.0  # squares must not overflow before they are compared
+    scale = np.exp2(np.floor(np.log2(scale))) if scale > 1e100 else 1.0  # squares must not overflow; a power of two rounds nothing
     q, v, own = q / scale, v / scale, asks["query_id"].to_numpy()
     kept = _few_copies(v, ids, k + 1)
     v, ids, part = v[kept], ids[kept], part[kept]

@@ -240,10 +240,11 @@ class Mix:
         parts = self.draws().groupBy("_lw_doc", "offset", "epoch").agg(stretch.alias("_lw_parts"), F.sum("n").alias("_lw_n"))
         parts = parts.hint("merge")  # they grow with the documents and are never broadcast
         whole = self.docs.withColumn("_lw_doc", F.xxhash64(self.id_col, self.text))
-        once = whole.join(parts.drop("offset"), "_lw_doc") if self._no_repeats() else whole.dropDuplicates(["_lw_doc"]).join(parts.drop("offset"), "_lw_doc")
+        parts = parts.select("_lw_doc", "_lw_parts", "_lw_n")
+        once = whole.join(parts, "_lw_doc") if self._no_repeats() else whole.dropDuplicates(["_lw_doc"]).join(parts, "_lw_doc")
         words = F.array_join(F.flatten(F.transform("_lw_parts", lambda p: F.slice("_lw_w", (p["doc_from"] + 1).cast("int"), p["n"].cast("int")))), " ")
         once = once.withColumn("_lw_w", words_of(F.col(self.text)))
-        return once.withColumn(self.text, F.when(F.col("_lw_n") == F.size("_lw_w"), F.col(self.text)).otherwise(words)).drop("_lw_w", "_lw_parts", "_lw_n", "_lw_doc", "epoch")
+        return once.withColumn(self.text, F.when(F.col("_lw_n") == F.size("_lw_w"), F.col(self.text)).otherwise(words)).drop("_lw_w", "_lw_parts", "_lw_n", "_lw_doc")
 
     def _no_repeats(self) -> bool:
         return self.sized.groupBy("_lw_doc").count().filter("count > 1").isEmpty()
