@@ -14,23 +14,35 @@ from lexweave.llm import bpe, linededup, mixing, neardup, quality
 from lexweave.staging import stage
 
 
+def _packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that a stage reads, and all others in one, so that none clashes with what an operator adds."""
+    rest = [c for c in docs.columns if c not in needed]
+    return docs.select(*[c for c in needed if c in docs.columns], (F.struct(*rest) if rest else F.lit(None)).alias("_lw_rest"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    return packed.select(*[packed[c] if c in packed.columns else F.col(f"_lw_rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule themselves and are on no bad host.
 
     The rules run once: their verdicts are staged with the documents, without the texts that fail anyway.
     """
-    judged = quality.quality_features(docs).select(*docs.columns, F.col("base_failed").alias("_lw_failed"))
-    judged = stage(judged.withColumn("text", F.when(~F.col("_lw_failed"), F.col("text"))), "judged").withColumnRenamed("_lw_failed", "base_failed")
+    packed = _packed(docs, "text", "source")
+    judged = quality.quality_features(packed).select(*packed.columns, "base_failed")
+    judged = stage(judged.withColumn("text", F.when(~F.col("base_failed"), F.col("text"))), "judged")
     hosts = quality.host_verdicts(judged.select("source", "base_failed"))
-    return quality.apply_verdicts(judged, hosts).filter("kept").select(*docs.columns)
+    return _unpacked(quality.apply_verdicts(judged, hosts).filter("kept").select(*packed.columns), docs)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site lines; documents that consisted of nothing else go."""
-    cleaned = linededup.dedup_lines(docs)
+    packed = _packed(docs, "doc_id", "text", "source", "n_chars")
+    cleaned = linededup.dedup_lines(packed)
     touched = F.col("n_removed_lines") > 0
     left = cleaned.filter(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _counted(left, touched).select(*docs.columns)
+    return _unpacked(_counted(left, touched).select(*packed.columns), docs)
 
 
 def _counted(docs: DataFrame, changed: Column) -> DataFrame:
