@@ -33,13 +33,14 @@ from lexweave.session import ship
 from lexweave.staging import stage
 
 
-def knn_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest rows of each row of a bounded matrix, itself left out, in blocks."""
+def near_rows(queries: np.ndarray, x: np.ndarray, k: int, itself: bool = False, block: int = 128) -> np.ndarray:
+    """Places of the k nearest rows of a bounded matrix for each query, in blocks; `itself`: the queries are the rows."""
     norms, out = (x * x).sum(axis=1), []
-    for at in range(0, len(x), 512):
-        d = norms[None] - 2 * x[at : at + 512] @ x.T
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
+    for at in range(0, len(queries), block):
+        d = norms[None] - 2 * queries[at : at + block] @ x.T
+        if itself:
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k].copy())  # a slice would keep all of it
     return np.concatenate(out)
 
 
@@ -136,20 +137,21 @@ def fit(x: np.ndarray, parts: int, k: int = 10, recall: float = 0.93) -> Router:
         return _whole()
     middle = rest.mean(axis=0)
     scale = 1 / (np.sqrt(((rest - middle) ** 2).sum(axis=1).mean()) + 1e-12)
-    graph = knn_graph(rest, min(k, len(rest) - 1))
+    graph = near_rows(rest, rest, min(k, len(rest) - 1), itself=True)
     part = balanced_parts(graph, parts)
     router = train_router((rest - middle) * scale, graph, part, parts)
     router.w = router.w * scale  # from here on it takes vectors as they are
     router.b = router.b - middle @ router.w
-    home = router(rest).argmax(axis=1)
-    norms = (rest * rest).sum(axis=1)
-    near = np.argpartition(norms[None] - 2 * tests @ rest.T, min(k, len(rest)) - 1, axis=1)[:, :k]
-    order, before = router.ranked(tests)
-    place = np.argsort(order, axis=1)  # rank of each part for each test
-    needed = np.take_along_axis(before, np.take_along_axis(place, home[near], 1), 1)
+    home = np.concatenate([router(rest[at : at + 512]).argmax(axis=1) for at in range(0, len(rest), 512)])
+    near = near_rows(tests, rest, min(k, len(rest)))
+    needed = []
+    for at in range(0, len(tests), 512):
+        order, before = router.ranked(tests[at : at + 512])
+        place = np.argsort(order, axis=1)  # rank of each part for each test
+        needed.append(np.take_along_axis(before, np.take_along_axis(place, home[near[at : at + 512]], 1), 1).ravel())
     # few tests: aim higher by one and a half of their standard errors
     aim = min(1.0, recall + 1.5 * np.sqrt(recall * (1 - recall) / len(tests)))
-    router.reach = float(np.quantile(needed, aim)) + 1e-9
+    router.reach = float(np.quantile(np.concatenate(needed), aim)) + 1e-9
     return router
 
 
@@ -166,8 +168,11 @@ def sample_vectors(rows: DataFrame, count: int, sample: int, seed: int = 4) -> n
     """At most `sample` distinct vectors, chosen by hash."""
     h = F.xxhash64("v", F.lit(seed))
     drawn = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < sample / max(count, 1))
-    found = drawn.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(sample).collect()
-    return np.array([r["v"] for r in found], float)
+    found = drawn.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(sample)
+    out: list[np.ndarray] = []
+    for row in found.select("v").toLocalIterator():  # sorted, then one partition; rows become arrays at once
+        out.append(np.array(row["v"], float))
+    return np.array(out)
 
 
 def _few_copies(rows: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
