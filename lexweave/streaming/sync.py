@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lexweave.operators import notes as N
@@ -19,6 +20,12 @@ def sync_batch(notes: DataFrame, patterns: list[str], candidates: DataFrame, out
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
 
 
+def current(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The rows of table `name` as they stand: of each note those of its last batch, so what an older one said is replaced."""
+    last = spark.read.parquet(f"{out}/notes").groupBy("note_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/{name}").join(last, ["note_id", "batch"]).drop("batch")
+
+
 def sync_stream(notes: DataFrame, patterns: list[str], candidates: DataFrame, out: str, folder: str = "wiki") -> DataStreamWriter:
     """A writer for a stream of (note_id, text); the caller sets trigger and checkpoint and starts it."""
     return notes.writeStream.foreachBatch(lambda rows, batch: sync_batch(rows, patterns, candidates, out, batch, folder))

@@ -127,3 +127,7 @@ def test_sync_stream(spark, tmp_path):
     run.awaitTermination(120)
     assert [r["text"] for r in spark.read.parquet(str(tmp_path / "out/notes")).select("text").collect()] == ["[[wiki/Q5|Ask]] me"]
     assert spark.read.parquet(str(tmp_path / "out/mentions")).agg(F.count("eid")).first()[0] == 1
+    # synced again without a mention: the old one no longer counts
+    sync.sync_batch(spark.createDataFrame([(1, "nothing"), (2, "Ask")], "note_id long, text string"), WORDS, candidates, str(tmp_path / "out"), 1)
+    assert [r["note_id"] for r in sync.current(spark, str(tmp_path / "out"), "mentions").collect()] == [2]
+    assert {(r["note_id"], r["text"]) for r in sync.current(spark, str(tmp_path / "out"), "notes").collect()} == {(1, "nothing"), (2, "[[wiki/Q5|Ask]]")}
