@@ -7,8 +7,8 @@ such a pair shares at least once with a probability of 0.998. A candidate only c
 similarity of its two sets has been found high enough.
 
 Within a bucket of a band each class is compared with the least one; what that and the trie join link forms
-components. Classes of buckets that still hold several components (many texts from one template, say) are dealt
-once more, into the finer buckets of `SUBSETS` fixed choices of `CHOSEN` minima, and again each is compared with the
+components. Buckets that still hold several components are compared pair by pair if they have `SMALL` classes at most;
+classes of larger ones (many texts from one template, say) are dealt once more, into the finer buckets of `SUBSETS` fixed choices of `CHOSEN` minima, and again each is compared with the
 least one of its bucket. So a large group of texts that resemble each other, near copies or not, costs its size
 and not its square. A pair of similarity 0.8 shares some finer bucket with a probability of 0.99.
 
@@ -40,6 +40,8 @@ _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 
 
+#: Buckets of so few classes are compared pair by pair.
+SMALL = 32
 #: Of the minima, those that make up each finer bucket.
 SUBSETS, CHOSEN = 256, 14
 _SUBSETS = np.stack([np.sort(_RNG.permutation(BANDS * ROWS)[:CHOSEN]) for _ in range(SUBSETS)])
@@ -155,13 +157,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     roots = stage(connected_components(links), "roots")
     # classes of buckets in which the comparison with the least one has left several components
     placed = bands.select("band", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size")).filter("a <> b and size > 2").select("band")
-    apart = stage(placed.join(split, "band", "left_semi").select("key", "n", "root").distinct(), "apart")
-    if not apart.isEmpty():
+    split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size")).filter("a <> b and size > 2").select("band", "size")
+    split = stage(placed.join(split, "band"), "split-buckets")
+    if not split.isEmpty():
+        apart = split.filter(F.col("size") > SMALL).select("key", "n", "root").distinct()
+        small = split.filter(F.col("size") <= SMALL)
+        other = small.select("band", F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
+        few = small.join(other, "band").filter((F.col("root") != F.col("other")) & (F.col("key") < F.col("v")) & _size_fits(F.col("n"), F.col("m"), similarity)).select(F.col("key").alias("u"), "v")
         finer = stage(apart.join(sets, "key").select("key", "n", "root", F.explode(_finer("items")).alias("finer")), "finer-buckets")
         least = finer.groupBy("finer").agg(F.min(F.struct("key", "n", "root")).alias("least"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
         rest = finer.join(least.select("finer", "least"), "finer").filter((F.col("root") != F.col("least.root")) & _size_fits(F.col("n"), F.col("least.n"), similarity))
-        more = stage(_alike(rest.select(F.col("least.key").alias("u"), F.col("key").alias("v")).distinct(), sets, similarity), "links")
+        rest = rest.select(F.col("least.key").alias("u"), F.col("key").alias("v")).unionByName(few).distinct()
+        more = stage(_alike(rest, sets, similarity), "links")
         if not more.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     rooted = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first", "docs", F.coalesce("root", "key").alias("root"))

@@ -64,11 +64,14 @@ def test_two_bits_are_no_reason_to_drop(spark):
 
 
 def test_pairs_that_the_least_of_a_bucket_leaves_apart(spark, monkeypatch):
-    """With one bucket for all texts every pair is a candidate, whatever the least class is like."""
+    """With one large bucket for all texts the finer buckets find nearly all links, and make none of their own."""
     monkeypatch.setattr(neardup, "band_hashes", lambda found: np.zeros(1, np.int64))
     texts = planted(4)[:168]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in neardup.near_components(docs).collect()} == dict(enumerate(groups(texts)[0]))
+    want = groups(texts)[0]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_components(docs).collect()}
+    assert sum(found[i] != w for i, w in enumerate(want)) <= 0.02 * len(texts)
+    assert all(want[c] == want[i] for i, c in found.items())
 
 
 def test_recall_of_the_bands():
