@@ -4,9 +4,9 @@ The vocabulary is a file of ranks (base64 token, rank). The driver turns it once
 bytes map to printable characters, and each token's merge is the last step of merging its bytes by lower
 ranks. The model's text form (fixed by the vocabulary, a few MB) is broadcast and loaded once a worker.
 Special tokens do not exist. Ids and offsets come from the library's batch encoding. As every match of the
-split pattern is encoded by itself, a worker asks the library once for each different match of a slice of
-texts, keeps the ids and offsets of short ones (`MEMO` at most, then it starts anew) and shifts the offsets to
-where the match stands. Matches are found by `regex` in texts of characters on whose classes it agrees with
+split pattern is encoded by itself, a worker asks the library once for each different match, numbers the matches,
+keeps their ids and offsets in flat arrays (beyond `MEMO` matches or `MEMO_CHARS` characters it starts anew),
+gathers a text's from there and shifts the offsets to where each match stands. Matches are found by `regex` in texts of characters on whose classes it agrees with
 the library (`PLAIN`); any other text goes to the library whole. Long texts are cut where a match must end, so
 that a worker holds a bounded number of matches, unless a single match is longer. Decoding looks up each
 id's characters and reverses the byte table; a character split over tokens comes out whole, as bytes are
@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.textmap import map_texts
 
-CHARS_AT_ONCE, TEXTS_AT_ONCE = 1 << 19, 4_096
-MEMO, MEMO_WORD = 250_000, 48
+CHARS_AT_ONCE, AT_ONCE = 1 << 19, 4_096
+MEMO, MEMO_CHARS = 250_000, 4_000_000
 #: Blocks of Unicode whose letters, numbers and blanks all versions of the classes agree on.
 PLAIN = re.compile("[\x00-\u02af\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u2190-\u22ff\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01\uff0c\uff1a\uff1b\uff1f\U0001f300-\U0001f320\U0001f400-\U0001f4fc\U0001f600-\U0001f640]*+")
 MATCH_END = re.compile(r"[!-~](?=[ \n])")
@@ -89,6 +89,47 @@ def cut(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class Matches(dict):
+    """Numbers matches as they come, and holds the ids and offsets of each."""
+
+    def __init__(self) -> None:
+        self.ids, self.offsets = array("I"), array("i")
+        #: by number: the match's length, its tokens, and where they begin
+        self.lengths, self.counts, self.begins = array("q"), array("q"), array("q")
+        self.new: list[str] = []
+        self.chars = 0
+
+    def __missing__(self, match: str) -> int:
+        self[match] = number = len(self)
+        self.new.append(match)
+        return number
+
+    def learn(self, coded: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Takes the counts, ids and offsets of the new matches, in any number of slices."""
+        self.chars += sum(map(len, self.new))
+        self.lengths.extend(map(len, self.new))
+        for counts, ids, offsets in coded:
+            self.begins.frombytes((len(self.ids) + np.cumsum(counts) - counts).tobytes())
+            self.counts.frombytes(counts.tobytes())
+            self.ids.frombytes(ids.tobytes())
+            self.offsets.frombytes(offsets.tobytes())
+        self.new = []
+
+
+def gather(matches: Matches, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of matches that follow each other, and the start and end of each from the first match on."""
+    lengths, counts, begins = (np.frombuffer(a, np.int64)[numbers] for a in (matches.lengths, matches.counts, matches.begins))
+    before = np.cumsum(counts) - counts
+    at = np.repeat(begins - before, counts) + np.arange(counts.sum())
+    starts = (np.cumsum(lengths) - lengths).astype(np.int32)
+    return np.frombuffer(matches.ids, "<u4")[at], np.frombuffer(matches.offsets, "<i4").reshape(-1, 2)[at] + np.repeat(starts, counts)[:, None]
+
+
+def _numbers(encoding) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array(encoding.ids, np.uint32)
+    return ids, np.fromiter(chain.from_iterable(encoding.offsets), np.int32, 2 * len(ids)).reshape(-1, 2)
+
+
 class Codec:
     """Encodes and decodes in one process."""
 
@@ -96,36 +137,33 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, parts = Tokenizer.from_str(model), json.loads(model)
-        self.matches = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.tokenizer, self.by_match = Tokenizer.from_str(model), Tokenizer.from_str(model)
+        split, bytelevel = self.tokenizer.pre_tokenizer
+        self.by_match.pre_tokenizer = bytelevel
+        self.matches = regex.compile(json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.memo = Matches()
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = [b""] * (max(vocab.values(), default=-1) + 1)
         for word, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in word)
 
-    def _batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and offsets of each text by the library, as unsigned and signed 32-bit integers."""
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            for e in self.tokenizer.encode_batch(texts[at : at + TEXTS_AT_ONCE], add_special_tokens=False):
-                yield array("I", e.ids).tobytes(), array("i", chain.from_iterable(e.offsets)).tobytes()
+    def _batch(self, matches: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The number of tokens a match, the ids, and the offsets within the matches, in slices of `AT_ONCE` matches."""
+        slices = [matches[at : at + AT_ONCE] for at in range(0, len(matches), AT_ONCE)]
+        for words, e in zip(slices, self.by_match.encode_batch(slices, is_pretokenized=True, add_special_tokens=False), strict=True):
+            yield np.bincount(np.array(e.word_ids, np.int64), minlength=len(words)), *_numbers(e)
 
     def _piece(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
         if not PLAIN.fullmatch(piece):
-            ids, offsets = next(self._batch([piece]))
-            return np.frombuffer(ids, "<u4"), np.frombuffer(offsets, "<i4").reshape(-1, 2)
+            return _numbers(self.tokenizer.encode(piece, add_special_tokens=False))
+        if len(self.memo) > MEMO or self.memo.chars > MEMO_CHARS:
+            self.memo = Matches()
+        memo = self.memo
         found = self.matches(piece)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({m for m in found if m not in self.memo})
-        fresh = dict(zip(new, self._batch(new), strict=True))
-        self.memo.update((m, coded) for m, coded in fresh.items() if len(m) <= MEMO_WORD)
-        parts = [self.memo.get(m) or fresh[m] for m in found]
-        ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
-        offsets = np.frombuffer(b"".join([p[1] for p in parts]), "<i4").reshape(-1, 2)
-        starts = np.cumsum([0, *map(len, found[:-1])], dtype=np.int32)[: len(found)]
-        return ids, offsets + np.repeat(starts, [len(p[0]) // 4 for p in parts])[:, None]
+        numbers = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
+        memo.learn(self._batch(memo.new))
+        return gather(memo, numbers)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the start and end of each in code points."""
