@@ -11,7 +11,7 @@ from lexweave.plans import dump_queries, store_queries  # noqa: F401 - they regi
 from lexweave.plans.registry import oracle_sql, queries, query  # noqa: F401
 from lexweave.session import table
 from lexweave.sources import dumps
-from lexweave.staging import shared_path
+from lexweave.staging import shared_path, stage
 from lexweave.streaming import chunks
 
 FLAGSHIP = "dict_match_counts"
@@ -309,3 +309,28 @@ def note_rewriting(spark, d):
     rows, groups = _note_groups(spark, d)
     wanted = notes.replacements(notes.mentions_of(groups), notes.conflict_matches_of(notes.conflicts_of(groups)))
     return notes.render_notes(rows, wanted)
+
+
+def _document_groups(spark, d):
+    rows, candidates = A.document_notes(spark, d)
+    return rows, notes.mention_groups(notes.with_candidates(notes.note_matches(rows, A.dictionary_words(spark, d)), candidates))
+
+
+# Over whole documents as notes; Markdown is beyond SQL, so tests hold these against brute force.
+@query()
+def document_mentions(spark, d):
+    return notes.mentions_of(_document_groups(spark, d)[1])
+
+
+@query()
+def document_conflicts(spark, d):
+    found = notes.conflicts_of(_document_groups(spark, d)[1])
+    return found.select("note_id", "segment_no", "cluster_no", "text", "source_start", "source_end", "left_context", "right_context", "hash", F.array_join("hits.surface", "|").alias("surfaces"))
+
+
+@query()
+def document_rewriting(spark, d):
+    """The groups are staged: mentions and conflicts both read them."""
+    rows, groups = _document_groups(spark, d)
+    groups = stage(groups, "note-groups")
+    return notes.render_notes(rows, notes.replacements(notes.mentions_of(groups), notes.conflict_matches_of(notes.conflicts_of(groups))))
