@@ -10,6 +10,7 @@ import hashlib
 import json
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import groupby
 
 import pandas as pd
@@ -50,20 +51,26 @@ def segments(found: Iterable[Piece]) -> Iterator[list[Piece]]:
     return (list(run) for visible, run in groupby(found, lambda p: p.syntax in ("text", "link")) if visible)
 
 
+@cache
+def weight(c: str) -> int:
+    """0 for white space, 3 for Han, else 1."""
+    return 0 if SPACED.match(c) else 3 if HAN.match(c) else 1
+
+
 def context(outward: Iterable[str]) -> str:
     """Characters away from a match up to a weight (3 for Han, else 1); white space counts as one blank."""
     out, room, gap = [], CONTEXT_WEIGHT, False
     for c in outward:
         if room <= 0:
             break
-        if SPACED.match(c):
+        if not (w := weight(c)):
             gap = True
             continue
         if gap:
             out.append(" ")
             room -= 1
         out.append(c)
-        room -= 3 if HAN.match(c) else 1
+        room -= w
         gap = False
     return "".join(out) + (" " if gap and room > 0 else "")
 
