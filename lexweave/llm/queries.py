@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import ann, bpe, langid, linededup, mixing, pii, quality, secretscan, sharding, simhash
+from lexweave.llm import ann, bpe, divergence, langid, linededup, mixing, pii, quality, secretscan, sharding, simhash
 from lexweave.session import table
 from lexweave.staging import stage
 
@@ -54,8 +54,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_learned_partitions, op2_mixing, op3_secrets, op4_byte_bpe, op5_language_id, op6_host_quality, op7_simhash, op8_sharding, op9_line_dedup, op10_pii)
+    found = (op1_learned_partitions, op2_mixing, op3_secrets, op4_byte_bpe, op5_language_id, op6_host_quality, op7_simhash, op8_sharding, op9_line_dedup, op10_pii, op11_source_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -118,6 +122,37 @@ SELECT doc_id, 0::BIGINT, 0::BIGINT, NULL FROM documents WHERE text IS NULL
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), w AS (
+  SELECT lang, source, doc, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 30
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept ON kept.lang = w.lang AND kept.term = w.term GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = o.lang AND c.source = o.source), 0)::HUGEINT AS size,
+         (SELECT count(*) FROM kept WHERE kept.lang = o.lang)::HUGEINT AS v, coalesce((SELECT sum(n) FROM kept WHERE kept.lang = o.lang), 0)::HUGEINT AS lang_size
+  FROM (SELECT DISTINCT lang, source FROM d) AS o
+), r AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.size + 5 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (kept.n + 5)) // (g.lang_size + 5 * g.v) AS q
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), gap AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM r AS a JOIN r AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(gap.value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gap ON gap.lang = a.lang AND gap.source = a.source AND gap.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM r WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only these two are expressible in SQL; the others are tested against brute force."""
-    return {"op6_host_quality": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    """Only these are expressible in SQL; the others are tested against brute force."""
+    return {"op6_host_quality": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL}
