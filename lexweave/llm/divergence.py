@@ -105,23 +105,23 @@ def _in_order(con, schema: pa.Schema, batches: Iterable[pa.RecordBatch], sql: st
     con.register("rows", rows)
     *first, last = sql.split(";\n")
     for statement in first:
-        con.execute(statement)
+        con.sql(statement)
     yield from con.sql(last).to_arrow_reader(ROWS_OUT)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with _duck() as con:
-        con.execute("CREATE TEMP TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, d BIGINT)")
+        con.sql("CREATE TEMP TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, d BIGINT)")
 
         def sums():
             yield from con.sql("SELECT lang, source, term, sum(n)::BIGINT AS n, sum(d)::BIGINT AS d FROM held GROUP BY ALL").to_arrow_reader(ROWS_OUT)
-            con.execute("TRUNCATE held")
+            con.sql("TRUNCATE held")
 
         for texts in _slices(batches):
             con.register("texts", texts)
-            con.execute(COUNT_SQL.format(term=TERM))
+            con.sql(COUNT_SQL.format(term=TERM))
             con.unregister("texts")
-            if con.execute("SELECT count(*) FROM held").fetchone()[0] >= ROWS_HELD:
+            if con.sql("SELECT count(*) FROM held").fetchall()[0][0] >= ROWS_HELD:
                 yield from sums()
         yield from sums()
 
