@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import ann, bpe, divergence, langid, linededup, mixing, pii, quality, secretscan, sharding, simhash
+from lexweave.llm import ann, bpe, chat, divergence, langid, linededup, mixing, pii, quality, secretscan, sharding, simhash, trie
 from lexweave.session import table
 from lexweave.staging import stage
 
@@ -58,8 +58,19 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)
+    return chat.digests(stage(chat.format_chats(conversations), "formatted"))
+
+
 def queries() -> dict:
-    found = (op1_learned_partitions, op2_mixing, op3_secrets, op4_byte_bpe, op5_language_id, op6_host_quality, op7_simhash, op8_sharding, op9_line_dedup, op10_pii, op11_source_divergence)
+    found = (op1_learned_partitions, op2_mixing, op3_secrets, op4_byte_bpe, op5_language_id, op6_host_quality, op7_simhash, op8_sharding, op9_line_dedup, op10_pii, op11_source_divergence, op12_prefix_trie, op13_chat_format)
     return {f.__name__: f for f in found}
 
 
@@ -153,6 +164,27 @@ SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DES
 """
 
 
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w IS DISTINCT FROM role AS opened
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), e AS (
+  SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?s>|/?SYS\]|/?INST\]|/?ROLE\]|ANS\]|TURN\]|BODY\])', '\1\\\2\3', 'g'))
+         + CASE WHEN NOT opened THEN 6 WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 9
+           ELSE 19 + length(regexp_replace(role, '([\[<])(\\*)(/?s>|/?SYS\]|/?INST\]|/?ROLE\]|ANS\]|TURN\]|BODY\])', '\1\\\2\3', 'g')) END AS n
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(n))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only these are expressible in SQL; the others are tested against brute force."""
-    return {"op6_host_quality": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op6_host_quality": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_chat_format": OP13_SQL}
