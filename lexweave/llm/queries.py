@@ -164,6 +164,43 @@ SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DES
 """
 
 
+OP12_SQL = r"""
+WITH o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, c - c % 5 AS base, (list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)))).xor(4294967295)) % 9 AS h, n
+  FROM (SELECT c, count(*) AS n FROM o GROUP BY c)
+), plan AS (
+  SELECT a.c, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS taken FROM ids AS a LEFT JOIN ids AS b ON b.c = a.base
+), turns AS (
+  SELECT plan.c, o.i AS d, role, text FROM plan JOIN o ON o.c = plan.base AND o.i <= plan.h
+  UNION ALL SELECT plan.c, o.i - plan.h + plan.taken, role, text FROM plan JOIN o ON o.c = plan.c AND o.i > plan.h
+), p AS (
+  SELECT c, d, octet_length(encode(text)) AS bytes, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ORDER BY d) OVER w) AS k FROM turns WINDOW w AS (PARTITION BY c ORDER BY d)
+  UNION ALL SELECT c, 0, 0, '' FROM plan
+), ends AS (
+  SELECT c, max(d) AS d FROM p GROUP BY c
+), node AS (
+  SELECT d, k, min(p.c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved FROM p GROUP BY d, k
+), fin AS (
+  SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS l FROM p JOIN ends USING (c, d) GROUP BY d, k
+), up AS (
+  SELECT DISTINCT a.d, a.k, b.d AS bd, b.k AS bk FROM p AS a JOIN p AS b ON a.c = b.c AND b.d >= a.d
+), kid AS (
+  SELECT d, k, count(*) AS n FROM up WHERE bd = d + 1 GROUP BY d, k
+), below AS (
+  SELECT up.d, up.k, count(*) FILTER (kid.n IS NULL) AS n_leaves, sum(node.saved)::BIGINT AS saved
+  FROM up JOIN node ON node.d = up.bd AND node.k = up.bk LEFT JOIN kid ON kid.d = up.bd AND kid.k = up.bk GROUP BY up.d, up.k
+), parent AS (
+  SELECT up.bd AS d, up.bk AS k, node.conv_id FROM up JOIN node ON node.d = up.d AND node.k = up.k WHERE up.bd = up.d + 1
+)
+SELECT node.conv_id, node.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(kid.n, 0) AS n_children,
+       below.n_leaves, below.saved AS saved_tokens, sha256(coalesce(fin.l, '')) AS ends_sha256
+FROM node JOIN below USING (d, k) LEFT JOIN kid USING (d, k) LEFT JOIN fin USING (d, k) LEFT JOIN parent USING (d, k)
+"""
+
 OP13_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -187,4 +224,4 @@ FROM e GROUP BY conv_id
 
 def oracle_sql() -> dict[str, str]:
     """Only these are expressible in SQL; the others are tested against brute force."""
-    return {"op6_host_quality": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_chat_format": OP13_SQL}
+    return {"op6_host_quality": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_chat_format": OP13_SQL}
