@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded, hash-chosen sample of distinct vectors (`sample` rows) is linked to its near neighbours; that
+A bounded, hash-chosen sample of distinct vectors (`sample` rows, one an id) is linked to its near neighbours; that
 graph is cut into balanced parts by recursive bisection (spectral start, then swaps that lower the cut). A
 small softmax classifier, started at the parts' mean directions, learns from the sample to name the parts of a
 vector's neighbours. It then routes every vector to its most probable part, which makes the index, and every
@@ -149,9 +149,9 @@ def fit(x: np.ndarray, parts: int, k: int = 10, recall: float = 0.93) -> Router:
         order, before = router.ranked(tests[at : at + 512])
         place = np.argsort(order, axis=1)  # rank of each part for each test
         needed.append(np.take_along_axis(before, np.take_along_axis(place, home[near[at : at + 512]], 1), 1).ravel())
-    # few tests: aim higher by one and a half of their standard errors
-    aim = min(1.0, recall + 1.5 * np.sqrt(recall * (1 - recall) / len(tests)))
-    router.reach = float(np.quantile(np.concatenate(needed), aim)) + 1e-9
+    # aim higher by one and a half standard errors of the tests; where they are too few to vouch for that, read all parts
+    aim = recall + 1.5 * np.sqrt(recall * (1 - recall) / len(tests))
+    router.reach = float(np.quantile(np.concatenate(needed), aim)) + 1e-9 if aim < 1 else 2.0
     return router
 
 
@@ -164,17 +164,48 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == sizes[0]["d"]) if sizes else rows
 
 
-def sample_vectors(rows: DataFrame, count: int, sample: int, seed: int = 4) -> np.ndarray:
-    """At most `sample` distinct vectors, chosen by hash."""
-    h = F.xxhash64("v", F.lit(seed))
-    drawn = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < sample / max(count, 1))
-    found = drawn.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(sample)
+def sample_vectors(rows: DataFrame, sample: int, seed: int = 4) -> np.ndarray:
+    """At most `sample` distinct vectors, one an id, both chosen by hash.
+
+    Ids with many near copies weigh as much as others, so that neighbours in the sample are other ids, as in results.
+    """
+    ids = rows.agg(F.approx_count_distinct("vec_id", 0.02)).first()[0]
+    h, share = F.xxhash64("vec_id", F.lit(seed)), min(1.0, 1.1 * sample / max(ids, 1))  # the estimate may be a few hundredths off
+    drawn = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < share)
+    found = drawn.groupBy("h").agg(F.min_by("v", F.xxhash64("v")).alias("v")).groupBy(F.xxhash64("v", F.lit(seed)).alias("at")).agg(F.first("v").alias("v")).orderBy("at").limit(sample)
     out: list[np.ndarray] = []
     for row in found.select("v").toLocalIterator():  # sorted, then one partition; rows become arrays at once
         out.append(np.array(row["v"], float))
     return np.array(out)
 
 
+def recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, queries: int = 200) -> float:
+    """The share of true k nearest ids that `found` (the result of nearest()) has, over at most `queries` of its queries.
+
+    Distances as large as the true k-th count as found. The queries are chosen by hash and meet all rows in blocks.
+    """
+    rows = usable(vectors, id_col, vector)
+    chosen = found.select("query_id").distinct().orderBy(F.xxhash64("query_id")).limit(queries)
+    asks = rows.join(F.broadcast(chosen), rows["vec_id"] == chosen["query_id"]).groupBy("query_id").agg(F.min_by("v", F.xxhash64("v")).alias("v")).orderBy("query_id").collect()
+    if not asks:
+        return 1.0
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asks]), np.array([r["v"] for r in asks])))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, q = shared.value
+        for batch in batches:
+            for some in _near_rows(q, own, np.stack(batch["v"].to_numpy()), batch["vec_id"].to_numpy(), k):
+                best = _best(some, k)
+                yield pd.DataFrame({"query_id": own[best["query"].to_numpy()], "vec_id": best["vec_id"], "score": best["score"]})
+
+    near = rows.mapInPandas(measure, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+    truth = ranked.groupBy("query_id").agg(F.max("score").alias("edge"), F.count(F.lit(1)).alias("true"))
+    hits = found.join(truth, "query_id").filter(F.col("score") <= F.col("edge") * (1 + 1e-9)).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    sums = truth.join(hits, "query_id", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("hits", F.lit(0)), "true"))).first()
+    return (sums[1] or 0) / sums[0]
+
+
 def _few_copies(rows: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     """Places of the `most` smallest ids of each distinct vector: no query needs more of them."""
     order = np.argsort(ids, kind="stable")
@@ -263,7 +294,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embed
     ship(spark)
     rows = usable(vectors, id_col, vector)
     count = rows.count()
-    x = sample_vectors(rows, count, sample)
+    x = sample_vectors(rows, sample)
     router = fit(x, parts, k, recall) if len(x) else _whole()
     shared = spark.sparkContext.broadcast(router)
     shelves = min(router.parts, 1 << max(3, (count // rows_per_shelf).bit_length()))

@@ -1,6 +1,7 @@
 """Cases in which parts of the job were once left out."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lexweave.llm import ann, pii, secretscan
@@ -48,3 +49,23 @@ def test_pii_cues_in_ordinary_wording():
         assert found(text) == [("ssn", "078-05-1120")]
     token = "x" * 300
     assert found(f"see https://user:{token}@host/ and ftp://{token}:p@h") == [("url_user", f"user:{token}"), ("url_user", f"{token}:p")]
+
+
+def test_ann_recall_counts_ids_not_their_copies(spark):
+    """Each of 2,000 ids has ten rows, half exact copies and half moved by 1e-6."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2000, 16))
+    rows = pd.DataFrame([(i, (x[i] + 1e-6 * (c % 2) * rng.standard_normal(16)).tolist()) for i in range(2000) for c in range(10)], columns=["vec_id", "embedding"])
+    v = spark.createDataFrame(rows).repartition(4)
+    got = ann.nearest(v, F.col("vec_id") % 100 == 0).toPandas()
+    d = np.sqrt(((x[:, None, :] - x[None, ::100, :]) ** 2).sum(axis=2))
+    d[np.arange(0, 2000, 100), np.arange(20)] = np.inf
+    hits = sum(len(set(got[got.query_id == 100 * q].vec_id) & set(np.argsort(d[:, q])[:10].tolist())) for q in range(20))
+    assert len(got) == 200 and hits >= 180
+    assert abs(ann.recall(v, spark.createDataFrame(got)) - hits / 200) < 0.02
+
+
+def test_ann_recall_of_wrong_results(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = spark.createDataFrame([(0, r, 40 - r, float(40 - r)) for r in range(1, 11)], "query_id long, rank int, vec_id long, score double")
+    assert ann.recall(v, got) == 0.0 and ann.recall(v, got.limit(0)) == 1.0
