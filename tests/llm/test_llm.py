@@ -43,7 +43,8 @@ def docs(spark, sf):
 
 def views(sf):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return con
 
 

@@ -1,10 +1,12 @@
 """Cases in which parts of the job were once left out."""
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lexweave.llm import ann, pii, secretscan
+from lexweave.llm import ann, linededup, pii, secretscan
 
 
 def test_ann_repeated_rows_do_not_take_places(spark):
@@ -69,3 +71,24 @@ def test_ann_recall_of_wrong_results(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     got = spark.createDataFrame([(0, r, 40 - r, float(40 - r)) for r in range(1, 11)], "query_id long, rank int, vec_id long, score double")
     assert ann.recall(v, got) == 0.0 and ann.recall(v, got.limit(0)) == 1.0
+
+
+def test_line_dedup_is_linear_in_the_lines_of_a_text(spark):
+    """Six equal texts of 200,000 lines; every second line is boilerplate of six sites."""
+    lines = [f"line number {i} of a long text" if i % 2 else f"short {i}" for i in range(200_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines), f"site{i}") for i in range(6)], "doc_id long, text string, source string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert got[0]["text"] == "\n".join(lines) and got[0]["n_removed_lines"] == 0
+    for i in range(1, 6):
+        assert got[i]["text"] == "\n".join(lines[::2]) and (got[i]["n_lines"], got[i]["n_removed_lines"]) == (200_000, 100_000)
+
+
+def test_line_dedup_joins_hot_lines_apart(spark):
+    """One line is a third of all; the first and the last line of a text, neighbours and whole texts go."""
+    hot = "this line is on every site there is"
+    rows = [(i, "\n".join([hot, f"own words of document number {i}", hot, hot, "tail"]), f"s{i % 9}") for i in range(300)] + [(900, hot, "s1"), (901, f"{hot}\n", None)]
+    got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == (f"{hot}\nown words of document number 0\ntail", 2) and got[7] == ("own words of document number 7\ntail", 3)
+    assert got[900] == ("", 1) and got[901] == ("", 1)
