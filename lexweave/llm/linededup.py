@@ -24,7 +24,9 @@ from lexweave.staging import stage
 def _lines(docs: DataFrame, text: str, id_col: str, site: str, min_words: int) -> DataFrame:
     """One row a line of enough words: document key, id, position, line hash, site."""
     long_enough = rf"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{min_words - 1}}}[^\x20\x09-\x0D]"
-    split = docs.select(F.xxhash64(id_col, text).alias("_lw_doc"), F.col(id_col).alias("_lw_id"), F.col(site).alias("_lw_site"), F.posexplode(F.split(text, "\n")).alias("_lw_pos", "_lw_line"))
+    # the key of a document is made before its lines are exploded: after it, each line would hash the whole text again
+    keyed = docs.select(F.xxhash64(id_col, text).alias("_lw_doc"), F.col(id_col).alias("_lw_id"), F.col(site).alias("_lw_site"), F.split(text, "\n").alias("_lw_lines"))
+    split = keyed.select("_lw_doc", "_lw_id", "_lw_site", F.posexplode("_lw_lines").alias("_lw_pos", "_lw_line"))
     return split.filter(F.col("_lw_line").rlike(long_enough)).withColumn("_lw_h", F.xxhash64("_lw_line")).drop("_lw_line")
 
 
