@@ -11,7 +11,7 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 import regex
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexweave.functions.markdown import SPACE, Piece, pieces
-from lexweave.operators.matching import check_size, find
+from lexweave.operators.matching import ROWS_AT_ONCE, check_size, find
 from lexweave.operators.mentions import clusters
 from lexweave.operators.store import effective
 from lexweave.session import ship
@@ -106,9 +106,10 @@ def note_matches(notes: DataFrame, patterns: list[str], id_col: str = "note_id",
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
         for batch in batches:
-            for note, t in zip(batch["note_id"], batch["text"], strict=True):
-                rows = [(note, n, *row) for n, run in enumerate(segments(pieces(t or "", folder))) for row in segment_matches(words, run)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCH.split(", ")])
+            texts = zip(batch["note_id"], batch["text"], strict=True)
+            rows = ((note, n, *row) for note, t in texts for n, run in enumerate(segments(pieces(t or "", folder))) for row in segment_matches(words, run))
+            while some := list(islice(rows, ROWS_AT_ONCE)):
+                yield pd.DataFrame(some, columns=[c.split()[0] for c in MATCH.split(", ")])
 
     return notes.select(F.col(id_col).alias("note_id"), F.col(text).alias("text")).mapInPandas(scan, MATCH)
 

@@ -26,8 +26,8 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
 
 
-def _write(lines: DataFrame, path: str, codec: str) -> None:
-    noise = F.array(F.lit("-- a dump"), F.col("line"), F.lit(""))
+def _write(lines: DataFrame, path: str, codec: str, before: str = "-- a dump") -> None:
+    noise = F.array(F.lit(before), F.col("line"), F.lit(""))
     lines.select(F.explode(noise).alias("value")).write.option("compression", codec).text(path)
 
 
@@ -40,7 +40,7 @@ def dump_files(spark: SparkSession, titles: DataFrame, redirects: DataFrame, cla
         _write(pages.select(_insert("page", F.col("page_id"), F.col("namespace"), _quoted(F.col("title")), F.lit("''"), F.lit("NULL")).alias("line")), dumps.dump_path(root, wiki, DATE, "page"), "gzip")
         _write(pages.orderBy("page_id").select(_insert("page_props", F.col("page_id"), _quoted(F.col("propname")), _quoted(F.col("value")), F.lit("NULL")).alias("line")), dumps.dump_path(root, wiki, DATE, "page_props"), "gzip")
         _write(redirects.filter(own).select(_insert("redirect", F.col("source_page_id"), F.lit(0), _quoted(F.col("target_title"))).alias("line")), dumps.dump_path(root, wiki, DATE, "redirect"), "gzip")
-    _write(claims.select(F.concat("line", F.lit(",")).alias("line")).filter(F.length("line") > 1), dumps.entity_dump_path(root, DATE), "bzip2")
+    _write(claims.select(F.concat("line", F.lit(",")).alias("line")).filter(F.length("line") > 1), dumps.entity_dump_path(root, DATE), "bzip2", "[")
     return root
 
 

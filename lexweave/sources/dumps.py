@@ -120,12 +120,12 @@ CLAIMS = "struct<id:string,claims:struct<P31:array<struct<mainsnak:struct<datava
 
 def entity_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) of a JSON dump, plain or compressed."""
-    return spark.read.text(path).filter(~F.col("value").startswith("--"))
+    return spark.read.text(path)
 
 
 def entity_claims(lines: DataFrame) -> DataFrame:
     """(qid, targets) of a JSON dump in array-of-lines form; only classes and kinds are read."""
-    text = F.regexp_replace(F.trim("value"), ",$", "")
+    text = F.regexp_replace(F.btrim("value", F.lit(" \t\r\n")), ",$", "")
     rows = lines.select(text.alias("j")).filter(~F.col("j").isin("", "[", "]")).select(F.from_json("j", CLAIMS, {"mode": "FAILFAST"}).alias("e"))
     ids = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: x["mainsnak"]["datavalue"]["value"]["id"])
     found = rows.select(F.col("e.id").alias("qid"), F.concat(ids(F.col("e.claims.P31")), ids(F.col("e.claims.P279"))).alias("targets"))

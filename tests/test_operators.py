@@ -8,44 +8,53 @@ from lexweave.operators import matching as M
 from lexweave.operators import policy
 from lexweave.sources import dumps
 
-WOOD = ("杉木林", "木林", "ね")
-MIXED = ("k", "ø", "ゆ", "")
-TEXT = "らゆkxyØøむ"
-
-
-@pytest.mark.parametrize(
-    ("patterns", "text", "kind", "want"),
-    [
-        (WOOD, "杉木林道ね", "overlapping", [(0, 3, 0), (1, 3, 1), (4, 5, 2)]),
-        (WOOD, "杉木林道ね", "longest_per_end", [(0, 3, 0), (4, 5, 2)]),
-        (("ilt", "qu", "q"), "quilt", "nonoverlap", [(0, 1, 2), (2, 5, 0)]),
-        (("uil", "qui", "qu"), "quilt", "leftmost_longest", [(0, 3, 1)]),
-        (("uil", "qu", "qui"), "quilt", "leftmost_first", [(0, 2, 1)]),
-        (MIXED, TEXT, "overlapping", [(0, 0, 3), (1, 1, 3), (1, 2, 2), (2, 2, 3), (2, 3, 0), (3, 3, 3), (4, 4, 3), (5, 5, 3), (6, 6, 3), (6, 7, 1), (7, 7, 3), (8, 8, 3)]),
-        (MIXED, TEXT, "nonoverlap", [(k, k, 3) for k in range(9)]),
-        (MIXED, TEXT, "leftmost_longest", [(0, 0, 3), (1, 2, 2), (2, 3, 0), (4, 4, 3), (5, 5, 3), (6, 7, 1), (8, 8, 3)]),
-        (("q", "qu", ""), "qu", "longest_per_end", [(0, 0, 2), (0, 1, 0), (0, 2, 1)]),
-        ((), "ab", "overlapping", []),
-    ],
-)
-def test_match_kinds(patterns, text, kind, want):
-    assert list(M.find(patterns, text, kind)) == want
-
-
-def test_overlapping_equals_brute_force():
-    rnd = random.Random(3)
-    for _ in range(300):
-        patterns = tuple("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 5)))
-        text = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12)))
-        want = sorted(((s, s + len(p), i) for i, p in enumerate(patterns) for s in range(len(text)) if text.startswith(p, s)), key=lambda h: (h[1], h[0] - h[1], h[2]))
-        assert list(M.overlapping(patterns, text)) == want
-        assert list(M.longest_per_end(patterns, text)) == [h for k, h in enumerate(want) if not k or want[k - 1][1] != h[1]]
-        for kind, order in (("nonoverlap", lambda h: (h[1], h[0], h[2])), ("leftmost_longest", lambda h: (h[0], -h[1], h[2])), ("leftmost_first", lambda h: (h[0], h[2]))):
-            left, taken = want, []
-            while left:
-                taken.append(min(left, key=order))
-                left = [h for h in left if h[0] >= taken[-1][1]]
-            assert list(M.find(patterns, text, kind)) == taken, (patterns, text, kind)
+def occurrences(patterns, text):
+    """Every place of every pattern, the empty one at each boundary; by end, longer ones first, then as registered."""
+    found = [(a, a + len(p), i) for i, p in enumerate(patterns) for a in range(len(text) + 1) if text[a : a + len(p)] == p and a + len(p) <= len(text)]
+    return sorted(found, key=lambda h: (h[1], h[0], h[2]))
+
+
+def chosen(hits, order):
+    """One by one the best hit in `order` that begins where the last one ends or later."""
+    taken = []
+    while left := [h for h in hits if not taken or h[0] >= taken[-1][1]]:
+        taken.append(min(left, key=order))
+    return taken
+
+
+def leftmost(hits, best):
+    """Each place has one hit, the best there; a place within the last hit gives none, nor an empty one right at its end."""
+    taken = []
+    for start in sorted({h[0] for h in hits}):
+        h = min((h for h in hits if h[0] == start), key=best)
+        if not taken or start > taken[-1][1] or (start == taken[-1][1] and h[1] > start):
+            taken.append(h)
+    return taken
+
+
+def wanted(patterns, text, kind):
+    hits = occurrences(patterns, text)
+    if kind == "overlapping":
+        return hits
+    if kind == "longest_per_end":
+        return [h for k, h in enumerate(hits) if not k or hits[k - 1][1] != h[1]]
+    if kind == "nonoverlap":
+        if "" in patterns:  # it ends before any other does, everywhere
+            return [(k, k, patterns.index("")) for k in range(len(text) + 1)]
+        return chosen(hits, lambda h: (h[1], h[0], h[2]))
+    return leftmost(hits, {"leftmost_longest": lambda h: (-h[1], h[2]), "leftmost_first": lambda h: h[2]}[kind])
+
+
+@pytest.mark.parametrize("kind", M.KINDS)
+@pytest.mark.parametrize("alphabet", ["ab", "aé山😀"])
+@pytest.mark.parametrize("shortest", [0, 1])
+def test_match_kinds_equal_brute_force(kind, alphabet, shortest):
+    """Random patterns and texts; with `shortest` 0 the empty pattern is among most sets."""
+    rnd = random.Random(f"{kind}{alphabet}{shortest}")
+    for _ in range(250):
+        patterns = tuple(dict.fromkeys("".join(rnd.choices(alphabet, k=rnd.randint(shortest, 4))) for _ in range(rnd.randint(0, 6))))
+        text = "".join(rnd.choices(alphabet + "x", k=rnd.randint(0, 12)))
+        assert list(M.find(patterns, text, kind)) == wanted(patterns, text, kind), (patterns, text)
 
 
 def test_unknown_kind_is_an_error():
