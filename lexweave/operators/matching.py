@@ -1,7 +1,7 @@
 """Dictionary matching over texts: one automaton scan a worker, match kinds as folds over its hits.
 
-The dictionary (checked against `max_dictionary` characters) is broadcast. Positions are code points. An
-overlapping scan lists all hits by end, longer ones first, then in order of registration.
+A dictionary of MOST_CHARACTERS at most is broadcast; larger ones go the way of operators/sharded.py. Positions are
+code points. An overlapping scan lists all hits by end, longer ones first, then in order of registration.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from functools import lru_cache
 from itertools import islice
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.operators.policy import filter_candidates
+from lexweave.operators.sharded import match_sharded
 from lexweave.operators.surfaces import dense_ids
 from lexweave.session import ship
 from lexweave.staging import stage
@@ -78,32 +80,39 @@ def nonoverlap(patterns: tuple[str, ...], text: str) -> Iterator[Hit]:
             at = h[1]
 
 
-def leftmost(patterns: tuple[str, ...], text: str, first: bool) -> Iterator[Hit]:
+class Leftmost:
     """At the leftmost start the longest pattern, or the one registered first; then on after it.
 
-    The best hit of a start is sure once the scan is past the longest pattern, so few starts are held.
+    Hits come by end. The best one of a start is sure once all hits that begin there have come; settle() gives those
+    before a place, in order. Only starts that aren't settled yet are held; hits may carry more than three fields.
     """
-    widest = max(map(len, patterns), default=0)
-    better = (lambda h: h[2]) if first else (lambda h: (h[0] - h[1], h[2]))
-    best: dict[int, Hit] = {}
-    at, due, any_yet = 0, widest, False
-
-    def settle(upto: int) -> Iterator[Hit]:
-        nonlocal at, any_yet
-        for start in sorted(s for s in best if s < upto):
-            h = best.pop(start)
-            if start < at or (h[0] == h[1] == at and any_yet):  # an empty hit right after a hit is skipped
+
+    def __init__(self, first: bool, at: int = 0, any_yet: bool = False, held: Iterable[tuple] = ()) -> None:
+        self.better = (lambda h: h[2]) if first else (lambda h: (h[0] - h[1], h[2]))
+        self.at, self.any_yet, self.best = at, any_yet, {h[0]: h for h in held}
+
+    def add(self, h: tuple) -> None:
+        if h[0] >= self.at and (h[0] not in self.best or self.better(h) < self.better(self.best[h[0]])):
+            self.best[h[0]] = h
+
+    def settle(self, upto: int) -> Iterator[tuple]:
+        for start in sorted(s for s in self.best if s < upto):
+            h = self.best.pop(start)
+            if start < self.at or (h[0] == h[1] == self.at and self.any_yet):  # an empty hit right after a hit is skipped
                 continue
             yield h
-            at, any_yet = h[1], True
+            self.at, self.any_yet = h[1], True
 
+
+def leftmost(patterns: tuple[str, ...], text: str, first: bool) -> Iterator[Hit]:
+    widest = max(map(len, patterns), default=0)
+    fold, due = Leftmost(first), widest
     for h in overlapping(patterns, text):
         if h[1] >= due:
-            yield from settle(h[1] - widest)
+            yield from fold.settle(h[1] - widest)
             due = h[1] + widest
-        if h[0] >= at and (h[0] not in best or better(h) < better(best[h[0]])):
-            best[h[0]] = h
-    yield from settle(len(text) + 1)
+        fold.add(h)
+    yield from fold.settle(len(text) + 1)
 
 
 def find(patterns: tuple[str, ...], text: str, kind: str) -> Iterable[Hit]:
@@ -114,22 +123,47 @@ def find(patterns: tuple[str, ...], text: str, kind: str) -> Iterable[Hit]:
     return {"overlapping": overlapping, "longest_per_end": longest_per_end, "nonoverlap": nonoverlap}[kind](patterns, text)
 
 
-def check_size(patterns: list[str], most: int = MOST_CHARACTERS) -> None:
+class Units:
+    """Positions of a text in UTF-8 bytes and UTF-16 units, from those in code points."""
+
+    def __init__(self, text: str) -> None:
+        self.same = text.isascii()
+        if not self.same:
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            wide = codes > 0xFFFF
+            sizes = (1 + (codes > 0x7F) + (codes > 0x7FF) + wide, 1 + wide)
+            self.maps = [np.concatenate([[0], np.cumsum(x)]).tolist() for x in sizes]
+
+    def __call__(self, start: int, end: int) -> tuple[int, int, int, int]:
+        """start and end in bytes, then in UTF-16 units."""
+        if self.same:
+            return start, end, start, end
+        return tuple(m[k] for m in self.maps for k in (start, end))
+
+
+def check_size(patterns: list[str], most: int | None = None) -> None:
     """The bound of what is broadcast, in characters."""
-    if sum(map(len, patterns)) > most:
+    if sum(map(len, patterns)) > (MOST_CHARACTERS if most is None else most):
         raise ValueError("the dictionary is too large to broadcast")
 
 
-def collect_patterns(dictionary: DataFrame, most: int = MOST_CHARACTERS) -> list[str]:
+def fits(dictionary: DataFrame, most: int | None = None) -> bool:
+    """Whether (surface_id, pattern) may be broadcast."""
+    return (dictionary.agg(F.sum(F.length("pattern")).alias("n")).first()["n"] or 0) <= (MOST_CHARACTERS if most is None else most)
+
+
+def collect_patterns(dictionary: DataFrame, most: int | None = None) -> list[str]:
     """The patterns of (surface_id, pattern) in order of their dense ids; their size is checked before they are fetched."""
-    size = dictionary.agg(F.sum(F.length("pattern")).alias("n")).first()["n"] or 0
-    if size > most:
+    if not fits(dictionary, most):
         raise ValueError("the dictionary is too large to broadcast")
     return [r["pattern"] for r in dictionary.orderBy("surface_id").select("pattern").collect()]
 
 
-def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: str, kind: str = "overlapping", max_dictionary: int = MOST_CHARACTERS) -> DataFrame:
-    """(note_id, start, end, surface_id, surface) for every match; surface_id is the pattern's position."""
+def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: str, kind: str = "overlapping", max_dictionary: int | None = None, units: bool = False) -> DataFrame:
+    """(note_id, start, end, surface_id, surface) for every match; surface_id is the pattern's position.
+
+    With `units`, also start_byte, end_byte, start_utf16 and end_utf16, from one map a text.
+    """
     check_size(patterns, max_dictionary)
     ship(notes.sparkSession)
     shared = notes.sparkSession.sparkContext.broadcast(tuple(patterns))
@@ -137,12 +171,18 @@ def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: s
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
         for batch in batches:
-            hits = ((n, a, b, i, words[i]) for n, t in zip(batch["note_id"], batch["text"], strict=True) for a, b, i in find(words, t or "", kind))
+            texts = zip(batch["note_id"], batch["text"], strict=True)
+            if units:
+                hits = ((n, a, b, i, words[i], *at(a, b)) for n, t in texts for at in (Units(t or ""),) for a, b, i in find(words, t or "", kind))
+            else:
+                hits = ((n, a, b, i, words[i]) for n, t in texts for a, b, i in find(words, t or "", kind))
             while rows := list(islice(hits, ROWS_AT_ONCE)):
-                yield pd.DataFrame(rows, columns=["note_id", "start", "end", "surface_id", "surface"])
+                yield pd.DataFrame(rows, columns=columns)
 
+    schema = "note_id long, start int, end int, surface_id int, surface string" + (", start_byte long, end_byte long, start_utf16 long, end_utf16 long" if units else "")
+    columns = [c.split()[0] for c in schema.split(", ")]
     rows = notes.select(F.col(id_col).alias("note_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(scan, "note_id long, start int, end int, surface_id int, surface string")
+    return rows.mapInPandas(scan, schema)
 
 
 def count_matches(notes: DataFrame, dictionary: DataFrame, id_col: str, text: str, kind: str = "overlapping") -> DataFrame:
@@ -150,6 +190,9 @@ def count_matches(notes: DataFrame, dictionary: DataFrame, id_col: str, text: st
 
     Matches are counted by note while it is scanned; texts of the patterns are joined to the sums only.
     """
+    if not fits(dictionary):
+        found = match_sharded(notes, dictionary, id_col, text, kind).groupBy("surface_id", "note_id").agg(F.count(F.lit(1)).alias("n"))
+        return _summed(found, dictionary)
     patterns = collect_patterns(dictionary)
     ship(notes.sparkSession)
     shared = notes.sparkSession.sparkContext.broadcast(tuple(patterns))
@@ -162,6 +205,10 @@ def count_matches(notes: DataFrame, dictionary: DataFrame, id_col: str, text: st
                 yield pd.DataFrame(rows, columns=["note_id", "surface_id", "n"])
 
     found = notes.select(F.col(id_col).alias("note_id"), F.col(text).alias("text")).mapInPandas(scan, "note_id long, surface_id long, n long")
+    return _summed(found, dictionary)
+
+
+def _summed(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     sums = found.groupBy("surface_id", "note_id").agg(F.sum("n").alias("n")).groupBy("surface_id").agg(F.sum("n").alias("n"), F.count("note_id").alias("notes"))
     return sums.join(dictionary, "surface_id").select(F.col("pattern").alias("surface"), "n", "notes")
 
@@ -174,7 +221,8 @@ def match_surfaces(notes: DataFrame, lists: DataFrame, report: DataFrame | None,
     """
     kept = filter_candidates(lists, report) if report is not None else lists.filter(F.size("qids") > 0).select("surface_key", "qids")
     kept = stage(dense_ids(kept, "surface_key", "surface_id"), "surfaces")
-    found = match_dictionary(notes, collect_patterns(kept.withColumnRenamed("surface_key", "pattern")), id_col, text, kind)
+    words = kept.select("surface_id", F.col("surface_key").alias("pattern"))
+    found = match_dictionary(notes, collect_patterns(words), id_col, text, kind) if fits(words) else match_sharded(notes, words, id_col, text, kind)
     found = found.join(kept.select("surface_id", "qids"), "surface_id")
     if window is not None:
         found = found.withColumn("surface", F.when(F.col("end") - F.col("start") <= window, F.col("surface")))

@@ -223,9 +223,9 @@ def syntax_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_files(spark: SparkSession, d: str, size: int = 700) -> str:
-    """A folder of (note_id, chunk_no, text): every document in chunks of `size` characters."""
+    """A folder of (note_id, chunk_no, text, last): every document in chunks of `size` characters."""
     n = F.greatest(F.ceil(F.length("text") / size), F.lit(1))
-    cut = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("chunk_no"))
+    cut = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("chunk_no")).withColumn("last", F.col("chunk_no") == F.greatest(F.ceil(F.length("text") / size), F.lit(1)) - 1)
     path = shared_path(spark, "chunks")
-    cut.select("note_id", "chunk_no", F.substr("text", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("text")).write.parquet(path)
+    cut.select("note_id", "chunk_no", F.substr("text", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("text"), "last").write.parquet(path)
     return path

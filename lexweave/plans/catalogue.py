@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import graph, matching, mentions, notes, policy, store, surfaces
+from lexweave.operators import graph, matching, mentions, notes, policy, sharded, store, surfaces
 from lexweave.plans import adapters as A
 from lexweave.plans import dump_queries, store_queries  # noqa: F401 - they register themselves
 from lexweave.plans.registry import oracle_sql, queries, query  # noqa: F401
@@ -105,6 +105,16 @@ def dict_matches_overlapping(spark, d):
     return _matches(spark, d, "overlapping")
 
 
+@query(f"WITH {A.MATCHES_SQL} SELECT * FROM matches")
+def dict_matches_sharded(spark, d):
+    return sharded.match_sharded(table(spark, d, "documents"), A.dictionary(spark, d), "doc_id", "text")
+
+
+@query(A.greedy_sql('start, "end" DESC, surface_id'))
+def dict_matches_sharded_leftmost_longest(spark, d):
+    return sharded.match_sharded(table(spark, d, "documents"), A.dictionary(spark, d), "doc_id", "text", "leftmost_longest")
+
+
 @query(f"WITH {A.MATCHES_SQL} SELECT surface, count(*) AS n, count(DISTINCT note_id) AS notes FROM matches GROUP BY surface")
 def dict_match_counts(spark, d):
     return matching.count_matches(table(spark, d, "documents"), A.dictionary(spark, d), "doc_id", "text")
@@ -282,7 +292,29 @@ def note_syntax_pieces(spark, d):
 @query(f"WITH {A.MATCHES_SQL} SELECT note_id, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", surface_id, surface FROM matches")
 def chunked_scan(spark, d):
     """Documents that arrive as a stream of chunks, matched across the chunks."""
-    return chunks.scan_files(A.chunk_files(spark, d), A.dictionary_words(spark, d), shared_path(spark, "chunk-matches"))
+    return _chunked(spark, d, "overlapping")
+
+
+def _chunked(spark, d, kind):
+    found = chunks.scan_files(A.chunk_files(spark, d), A.dictionary_words(spark, d), shared_path(spark, "chunk-matches"), kind)
+    return found.select("note_id", "start", "end", "surface_id", "surface")
+
+
+@query(A.greedy_sql('start, "end" DESC, surface_id').replace("SELECT note_id, start, \"end\", surface_id, surface FROM step", "SELECT note_id, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", surface_id, surface FROM step"))
+def chunked_leftmost_longest(spark, d):
+    """A match kind that carries state from chunk to chunk."""
+    return _chunked(spark, d, "leftmost_longest")
+
+
+@query("WITH mixed AS (SELECT doc_id, '😀 北京é ' || replace(text, 'e ', 'é 😀北 ') AS text FROM documents), " + A.MATCHES_SQL.replace("FROM documents", "FROM mixed") + """, prefixes AS (
+  SELECT m.*, substring(text, 1, start) AS a, substring(text, 1, "end") AS b FROM matches AS m JOIN mixed ON doc_id = note_id
+) SELECT note_id, start, "end", surface_id, surface, strlen(a)::BIGINT AS start_byte, strlen(b)::BIGINT AS end_byte,
+         (length(a) + length(regexp_replace(a, '[^😀]', '', 'g')))::BIGINT AS start_utf16, (length(b) + length(regexp_replace(b, '[^😀]', '', 'g')))::BIGINT AS end_utf16 FROM prefixes""")
+def match_positions(spark, d):
+    """Matches of documents with emoji and Han in code points, bytes and UTF-16 units."""
+    mixed = table(spark, d, "documents").select("doc_id", F.concat(F.lit("😀 北京é "), F.replace("text", F.lit("e "), F.lit("é 😀北 "))).alias("text"))
+    return matching.match_dictionary(mixed, A.dictionary_words(spark, d), "doc_id", "text", units=True)
+
 
 
 def _note_groups(spark, d):

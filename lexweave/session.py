@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import pickle
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 from tempfile import mkdtemp
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -35,6 +39,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def send_value(spark: SparkSession, value: object) -> str:
+    """Send a bounded value to all executors as a file of the context; its name, for sent_value().
+
+    For code that can't use broadcast variables, as stateful processors of streams can't.
+    """
+    body = pickle.dumps(value)
+    name = f"lexweave-{hashlib.sha256(body).hexdigest()}"
+    sc = spark.sparkContext
+    if (sc.applicationId + name) not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId + name)
+        path = Path(mkdtemp(prefix="lexweave-")) / name
+        path.write_bytes(body)
+        sc.addFile(str(path))
+    return name
+
+
+@lru_cache(maxsize=4)
+def sent_value(name: str) -> object:
+    return pickle.loads(Path(SparkFiles.get(name)).read_bytes())
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a context, so that Python workers can import it."""
     sc = spark.sparkContext

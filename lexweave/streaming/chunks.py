@@ -1,8 +1,16 @@
 """Dictionary matches over texts that arrive in chunks.
 
-The state of a text is the tail that a match may still begin in (one character less than the longest pattern),
-the number of characters read, and chunks that came before their turn. A match across chunks is reported once,
-when its last character arrives. Chunks are numbered from 0 within a text; a repeated one is ignored.
+The state of a text is the tail that a match may still begin in (one character less than the longest pattern), how
+much was read in code points, bytes and UTF-16 units, what a match kind carries on (where it may begin again, and
+for leftmost kinds the best hit of each start that isn't sure yet), and chunks that came before their turn, one
+entry each. A match across chunks is reported once, as soon as it is sure. Chunks are numbered from 0 within a
+text; a repeated one is ignored.
+
+A text ends with the chunk marked `last`, or when no chunk of it has come for `timeout`: hits that were still open
+are reported and its state is deleted, early chunks included. A chunk that comes later opens a new text of that
+id: chunk 0 begins it, any other waits for its turn until the timeout. Without a timeout only the mark ends a text.
+
+The state is kept by transformWithState, which needs the RocksDB state store.
 """
 
 from __future__ import annotations
@@ -12,48 +20,151 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from lexweave.operators.matching import KINDS, Leftmost, Units, check_size, find
+from lexweave.session import send_value, sent_value, ship
+
+HIT = "start long, end long, surface_id int, start_byte long, end_byte long, start_utf16 long, end_utf16 long"
+MATCH = "note_id long, start long, end long, surface_id int, surface string, start_byte long, end_byte long, start_utf16 long, end_utf16 long"
+PROGRESS = f"tail string, total long, total_byte long, total_utf16 long, due long, begin long, any_yet boolean, open array<struct<{HIT.replace(' long', ':long').replace(' int', ':int')}>>, ends_at long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ChunkScan(StatefulProcessor):
+    """The scan of one text, by match kind."""
+
+    def __init__(self, words: str, kind: str, timeout_ms: int | None) -> None:
+        self.name, self.kind, self.timeout_ms = words, kind, timeout_ms
+
+    @property
+    def words(self) -> tuple[str, ...]:
+        return sent_value(self.name)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", PROGRESS)
+        self.early = handle.getMapState("early", "chunk_no long", "text string, last boolean")
+
+    def _fold(self, kept: list[tuple], text: str, due: int, was: int) -> list[tuple]:
+        """Hits that are sure after `text`, whose first `was` characters are the tail; `kept` is progress, changed in place."""
+        words = self.words
+        tail, total, total_byte, total_utf16, begin, any_yet, held = kept
+        units, base = Units(text), total - was
+        before_byte, before_utf16 = (total_byte - units(0, was)[1], total_utf16 - units(0, was)[3])
 
-from lexweave.operators.matching import check_size, find
-from lexweave.session import ship
+        def placed(h: tuple) -> tuple:
+            a, b, c, d = units(h[0], h[1])
+            return base + h[0], base + h[1], h[2], before_byte + a, before_byte + b, before_utf16 + c, before_utf16 + d
 
-MATCH = "note_id long, start long, end long, surface_id int, surface string"
-STATE = "tail string, total long, next_no long, early_no array<long>, early_text array<string>"
+        scan = "overlapping" if self.kind != "longest_per_end" else self.kind
+        fresh = [placed(h) for h in find(words, text, scan) if h[1] > was or due == 0]
+        widest = max(map(len, words), default=0)
+        ends = units(0, len(text))
+        total, total_byte, total_utf16 = base + len(text), before_byte + ends[1], before_utf16 + ends[3]
+        keep = min(max(widest - 1, 0), len(text))
+        sure = []
+        if self.kind.startswith("leftmost"):
+            fold = Leftmost(self.kind == "leftmost_first", begin, any_yet, held)
+            for h in fresh:
+                fold.add(h)
+            sure = list(fold.settle(total - widest + 1))
+            begin, any_yet, held = fold.at, fold.any_yet, [h for s, h in fold.best.items() if s >= fold.at]
+        elif self.kind == "nonoverlap" and "" in words:
+            sure = [h for h in fresh if h[2] == words.index("")]
+        elif self.kind == "nonoverlap":
+            for h in fresh:
+                if h[0] >= begin:
+                    sure.append(h)
+                    begin = h[1]
+        else:
+            sure = fresh
+        kept[:] = [text[len(text) - keep :], total, total_byte, total_utf16, begin, any_yet, held]
+        return sure
 
+    def _open(self, kept: list) -> list[tuple]:
+        """What is left when a text ends."""
+        return list(Leftmost(self.kind == "leftmost_first", kept[4], kept[5], kept[6]).settle(kept[1] + 1))
 
-def chunk_matches(chunks: DataFrame, patterns: list[str]) -> DataFrame:
-    """Matches of a stream of (note_id, chunk_no, text), by position in the whole text, in append mode."""
+    def _clear(self, ends_at: int | None) -> None:
+        if ends_at is not None:
+            self.handle.deleteTimer(ends_at)
+        self.progress.clear()
+        self.early.clear()
+
+    def _rows(self, note: int, hits: list[tuple]) -> pd.DataFrame:
+        words = self.words
+        return pd.DataFrame([(note, h[0], h[1], h[2], words[h[2]], *h[3:]) for h in hits], columns=[c.split()[0] for c in MATCH.split(", ")])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.progress.get() if self.progress.exists() else None
+        kept, due, ends_at = ["", 0, 0, 0, 0, False, []], 0, None
+        if state is not None:
+            tail, total, total_byte, total_utf16, due, begin, any_yet, held, ends_at = state
+            kept = [tail, total, total_byte, total_utf16, begin, any_yet, [tuple(h) for h in held or []]]
+        came: dict[int, tuple[str, bool]] = {}
+        for batch in rows:
+            for no, text, last in zip(batch["chunk_no"], batch["text"], batch["last"], strict=True):
+                if no >= due:
+                    came.setdefault(int(no), (text or "", bool(last)))
+        hits: list[tuple] = []
+        ended = False
+        while not ended:
+            if self.early.exists() and self.early.containsKey((due,)):
+                text, ended = self.early.getValue((due,))
+                self.early.removeKey((due,))
+                came.pop(due, None)
+            elif due in came:
+                text, ended = came.pop(due)
+            else:
+                break
+            hits += self._fold(kept, kept[0] + text, due, len(kept[0]))
+            due += 1
+        if ended:
+            hits += self._open(kept)
+            self._clear(ends_at)
+        else:
+            for no, chunk in came.items():
+                if no > due and not (self.early.exists() and self.early.containsKey((no,))):
+                    self.early.updateValue((no,), chunk)
+            if self.timeout_ms is not None:
+                if ends_at is not None:
+                    self.handle.deleteTimer(ends_at)
+                ends_at = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+                self.handle.registerTimer(ends_at)
+            tail, total, total_byte, total_utf16, begin, any_yet, held = kept
+            self.progress.update((tail, total, total_byte, total_utf16, due, begin, any_yet, held, ends_at))
+        yield self._rows(key[0], hits)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hits: list[tuple] = []
+        if self.progress.exists():
+            tail, total, total_byte, total_utf16, _, begin, any_yet, held, _ = self.progress.get()
+            hits = self._open([tail, total, total_byte, total_utf16, begin, any_yet, [tuple(h) for h in held or []]])
+        self._clear(None)
+        yield self._rows(key[0], hits)
+
+    def close(self) -> None:
+        pass
+
+
+def chunk_matches(chunks: DataFrame, patterns: list[str], kind: str = "overlapping", timeout_ms: int | None = None) -> DataFrame:
+    """Matches of a stream of (note_id, chunk_no, text, and `last` if there is an end mark), by position in the whole text, in append mode."""
+    if kind not in KINDS:
+        raise ValueError(f"match kind must be one of {KINDS}")
     check_size(patterns)
     ship(chunks.sparkSession)
-    shared = chunks.sparkSession.sparkContext.broadcast(tuple(patterns))
-
-    def scan(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        words = shared.value
-        keep = max(map(len, words), default=1) - 1
-        tail, total, due, early_no, early_text = state.get if state.exists else ("", 0, 0, [], [])
-        early = dict(zip(early_no, early_text, strict=True))
-        for batch in batches:
-            for no, text in zip(batch["chunk_no"], batch["text"], strict=True):
-                if no >= due:
-                    early.setdefault(int(no), text or "")
-        rows = []
-        while due in early:
-            text = tail + early.pop(due)
-            base = total - len(tail)
-            fresh = (h for h in find(words, text, "overlapping") if h[1] > len(tail) or due == 0)
-            rows += [(key[0], base + a, base + b, i, words[i]) for a, b, i in fresh]
-            total, due, tail = base + len(text), due + 1, text[len(text) - min(keep, len(text)) :]
-        state.update((tail, total, due, list(early), list(early.values())))
-        yield pd.DataFrame(rows, columns=["note_id", "start", "end", "surface_id", "surface"])
-
-    rows = chunks.select("note_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
-    return rows.groupBy("note_id").applyInPandasWithState(scan, MATCH, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def scan_files(path: str, patterns: list[str], out: str) -> DataFrame:
-    """Matches of the chunks in a folder of Parquet files (note_id, chunk_no, text), read as a stream until all are done."""
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    words = send_value(chunks.sparkSession, tuple(patterns))
+    last = F.coalesce(F.col("last").cast("boolean"), F.lit(False)) if "last" in chunks.columns else F.lit(False)
+    rows = chunks.select("note_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text", last.alias("last"))
+    return rows.groupBy("note_id").transformWithStateInPandas(ChunkScan(words, kind, timeout_ms), MATCH, "Append", "ProcessingTime" if timeout_ms is not None else "None")
+
+
+def scan_files(path: str, patterns: list[str], out: str, kind: str = "overlapping") -> DataFrame:
+    """Matches of the chunks in a folder of Parquet files (note_id, chunk_no, text, last), read as a stream until all are done."""
     spark = SparkSession.active()
-    stream = spark.readStream.schema("note_id long, chunk_no long, text string").parquet(path)
-    sink = chunk_matches(stream, patterns).writeStream.format("parquet").option("path", f"{out}/matches").option("checkpointLocation", f"{out}/progress")
+    stream = spark.readStream.schema("note_id long, chunk_no long, text string, last boolean").parquet(path)
+    sink = chunk_matches(stream, patterns, kind).writeStream.format("parquet").option("path", f"{out}/matches").option("checkpointLocation", f"{out}/progress")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(MATCH).parquet(f"{out}/matches")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.markdown import entity_path, percent_decoded, pieces, shown_name
 from lexweave.operators import notes as N
-from lexweave.streaming import chunks, sync
+from lexweave.streaming import sync
 
 
 def kinds(text):
@@ -107,18 +107,6 @@ def test_rewriting_drops_links_that_nothing_wants():
     assert N.rewritten("abcd", want) == "[[wiki/Q1|ab]]cd"
 
 
-def test_chunks(spark, tmp_path):
-    source = tmp_path / "in"
-    parts = [[(1, 0, "全世"), (2, 1, "b")], [(1, 1, "界中に"), (2, 0, "a"), (2, 1, "b")], [(2, 2, "ab")]]
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, "note_id long, chunk_no long, text string").coalesce(1).write.mode("append").json(str(source / f"d{k}"))
-    stream = spark.readStream.schema("note_id long, chunk_no long, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(source))
-    run = chunks.chunk_matches(stream, ["全世界", "世界", "に", "ab"]).writeStream.format("memory").queryName("chunk_matches").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("chunk_matches").collect()}
-    assert got == {(1, 0, 3, 0, "全世界"), (1, 1, 3, 1, "世界"), (1, 4, 5, 2, "に"), (2, 0, 2, 3, "ab"), (2, 2, 4, 3, "ab")}
-
-
 def test_sync_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Ask me")], "note_id long, text string").coalesce(1).write.json(str(tmp_path / "in"))
     candidates = spark.createDataFrame(CANDIDATES, "surface_id int, eids array<string>")
