@@ -130,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
         return None
     per_lang = max(1, min(docs_per_lang, most_docs // len(langs)))
     draw = F.pmod(F.xxhash64("id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(F.broadcast(counts), "lang").filter(draw < per_lang / F.col("count")).select("text", "lang")
+    drawn = usable.join(counts, "lang").filter(draw < per_lang / F.col("count")).select("text", "lang")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
