@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import graph, matching, mentions, notes, policy, sharded, store, surfaces
+from lexweave.operators import graph, matching, mentions, notes, passes, policy, sharded, store, surfaces
 from lexweave.plans import adapters as A
 from lexweave.plans import dump_queries, store_queries  # noqa: F401 - they register themselves
 from lexweave.plans.registry import oracle_sql, queries, query  # noqa: F401
@@ -316,7 +316,6 @@ def match_positions(spark, d):
     return matching.match_dictionary(mixed, A.dictionary_words(spark, d), "doc_id", "text", units=True)
 
 
-
 def _note_groups(spark, d):
     rows, candidates = A.part_notes(spark, d)
     return rows, notes.mention_groups(notes.with_candidates(notes.note_matches(rows, A.NOTE_WORDS), candidates))
@@ -343,6 +342,16 @@ def note_rewriting(spark, d):
     return notes.render_notes(rows, wanted)
 
 
+@query(f"""WITH {A.NOTES_SQL} SELECT note_id, CASE note_id % 3 WHEN 0 THEN '[[wiki/Q5|Ask]] ' || name || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '[[wiki/Q5|Ask]]'
+WHEN 1 THEN '[[wiki/Q5|Ask]] ' || name ELSE name END AS text, note_id % 3 <> 2 AS changed, (CASE note_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END)::INT AS passes FROM notes""")
+def settled_notes(spark, d):
+    """Repeated passes: an old link that gives way to `---` makes a section of its own, so that a third pass has something to do."""
+    old = F.concat(F.lit("Ask "), "p_name", F.lit("\n\n[[wiki/Q7|---]]\n\nAsk"))
+    text = F.when(F.col("p_partkey") % 3 == 0, old).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Ask "), "p_name")).otherwise(F.col("p_name"))
+    made = table(spark, d, "part").select(F.col("p_partkey").alias("note_id"), text.alias("text"))
+    return passes.settle(made, A.NOTE_WORDS, A.part_notes(spark, d)[1]).texts
+
+
 def _document_groups(spark, d):
     rows, candidates = A.document_notes(spark, d)
     return rows, notes.mention_groups(notes.with_candidates(notes.note_matches(rows, A.dictionary_words(spark, d)), candidates))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.operators import statistics, store
+from lexweave.operators import snapshots, statistics, store
 from lexweave.plans.registry import query
 from lexweave.session import table
+from lexweave.staging import shared_path
 
 SCAN = 2
 ALL = "SELECT * REPLACE (coalesce(seen_scan, -1) AS seen_scan)"
@@ -143,3 +144,50 @@ SELECT coalesce(a.note_id, b.note_id, c.note_id) AS note_id, coalesce(a.n, 0) AS
 def sync_counts(spark, d):
     conflicts, matches = _decisions(spark, d)
     return statistics.sync_counts(_mentions(spark, d), conflicts, matches.join(conflicts.select("conflict_id", "note_id"), "conflict_id"))
+
+
+def _committed(spark, d):
+    """A store of suppliers and line items in which every third order's notes are synced again, in one commit."""
+    ids = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), ids.alias("id"), F.concat(F.lit("Q"), "l_suppkey").alias("eid"), F.concat(F.lit("Q"), F.col("l_suppkey") % 7 + 1).alias("other"), (F.col("l_returnflag") == "R").alias("suspect"), (F.col("l_linestatus") == "F").alias("resolved"))
+    shape = lambda name, **have: [have.get(c.split()[0], F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in store.TABLES[name].split(", ")]
+    n = F.col("note_id")
+    notes = table(spark, d, "orders").select(F.col("o_orderkey").alias("note_id")).select(*shape("notes", note_id=n, path=F.concat(F.lit("n/"), n), status=F.lit("modified")))
+    mentions = line.select(*shape("mentions", note_id=n, eid=F.col("eid"), suspect=F.col("suspect"), resolved=F.col("resolved")))
+    matches = line.filter("id % 4 = 0").select(*shape("conflict_matches", note_id=n, conflict_id=F.col("id"), resolved_eid=F.when(F.col("resolved"), F.col("other"))))
+    known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Q"), "s_suppkey").alias("eid"))
+    entities = known.join(store.reference_counts(known, mentions, matches), "eid").select(*shape("entities", entity_id=F.col("entity_id"), eid=F.col("eid"), ref_count=F.col("ref_count")))
+    first = snapshots.create(spark, shared_path(spark, "store"), {"notes": notes, "entities": entities, "mentions": mentions, "conflict_matches": matches}, parts=8)
+    again = line.filter("note_id % 3 = 0")
+    return snapshots.replace_notes(
+        first, notes.filter("note_id % 3 = 0"), again.filter("id % 2 = 0").select(*shape("mentions", note_id=n, eid=F.col("other"), suspect=F.lit(False), resolved=F.lit(False))),
+        spark.createDataFrame([], store.TABLES["conflicts"]), again.filter("id % 5 = 0").select(*shape("conflict_matches", note_id=n, conflict_id=F.col("id"), resolved_eid=F.col("eid"))), 9,
+    )
+
+
+COMMITTED_SQL = """line AS (
+  SELECT l_orderkey AS note_id, l_orderkey * 10 + l_linenumber AS id, 'Q' || l_suppkey AS eid, 'Q' || (l_suppkey % 7 + 1) AS other, l_returnflag = 'R' AS suspect, l_linestatus = 'F' AS resolved FROM lineitem
+), mentions AS (
+  SELECT note_id, eid, NOT suspect OR resolved AS effective FROM line WHERE note_id % 3 <> 0 UNION ALL SELECT note_id, other, true FROM line WHERE note_id % 3 = 0 AND id % 2 = 0
+), matches AS (
+  SELECT note_id, CASE WHEN resolved THEN other END AS eid FROM line WHERE note_id % 3 <> 0 AND id % 4 = 0 UNION ALL SELECT note_id, eid FROM line WHERE note_id % 3 = 0 AND id % 5 = 0
+), refs AS (
+  SELECT eid, count(*) AS n FROM (SELECT eid FROM mentions WHERE effective UNION ALL SELECT eid FROM matches WHERE eid IS NOT NULL) GROUP BY eid
+)"""
+
+
+@query(f"WITH {COMMITTED_SQL} SELECT 'Q' || s_suppkey AS eid, coalesce(n, 0)::BIGINT AS ref_count FROM supplier LEFT JOIN refs ON refs.eid = 'Q' || s_suppkey")
+def committed_ref_counts(spark, d):
+    """Counts that a commit has changed by differences, against a full recompute."""
+    return _committed(spark, d).table("entities").select("eid", "ref_count")
+
+
+@query(f"""WITH {COMMITTED_SQL}, kinds AS (
+  SELECT 'mentions' AS kind, note_id, eid FROM mentions UNION ALL SELECT 'conflict_matches', note_id, eid FROM matches
+  UNION ALL SELECT 'notes', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'synced' ELSE 'modified' END FROM orders
+) SELECT kind, coalesce(eid, '') AS eid, count(*) AS n, sum(note_id)::BIGINT AS note_ids FROM kinds GROUP BY kind, coalesce(eid, '')""")
+def committed_tables(spark, d):
+    """What the tables of a committed version hold."""
+    at = _committed(spark, d)
+    rows = [at.table(name).select(F.lit(name).alias("kind"), "note_id", F.coalesce(shown, F.lit("")).alias("eid")) for name, shown in (("mentions", F.col("eid")), ("conflict_matches", F.col("resolved_eid")), ("notes", F.col("status")))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("kind", "eid").agg(F.count(F.lit(1)).alias("n"), F.sum("note_id").alias("note_ids"))
