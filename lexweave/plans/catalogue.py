@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexweave.functions import tables
 from lexweave.functions import text as T
 from lexweave.operators import graph, matching, mentions, notes, passes, policy, sharded, store, surfaces
 from lexweave.plans import adapters as A
@@ -261,10 +262,20 @@ def json_claims(spark, d):
 
 @query("SELECT p_partkey AS page_id, 0::INT AS namespace, p_name || '''s' AS title FROM part WHERE p_partkey % 5 <> 0")
 def dump_tuples(spark, d):
+    return dumps.pages(dumps.insert_rows(_page_lines(spark, d), "page"))
+
+
+def _page_lines(spark, d):
     p = F.col("p_partkey")
     row = F.concat(F.lit("("), p.cast("string"), F.lit(","), F.when(p % 5 == 0, "4").otherwise("0"), F.lit(",'"), F.col("p_name"), F.lit("\\'s',NULL)"))
-    lines = table(spark, d, "part").select(F.concat(F.lit("INSERT INTO `page` VALUES "), row, F.lit(";")).alias("value"))
-    return dumps.pages(dumps.insert_rows(lines, "page"))
+    return table(spark, d, "part").select(F.concat(F.lit("INSERT INTO `page` VALUES "), row, F.lit(";")).alias("value"))
+
+
+@query(oracle_sql()["dump_tuples"])
+def sql_dump_rows(spark, d):
+    """The same by a table function in SQL text."""
+    tables.register(spark)
+    return spark.sql("SELECT p.* FROM {lines}, LATERAL dump_rows(value, 'page_id BIGINT, namespace INT, title STRING') AS p WHERE value LIKE 'INSERT INTO `page` %' AND namespace = 0", lines=_page_lines(spark, d))
 
 
 @query(f"""WITH {A.NOTES_SQL}, p AS (SELECT note_id, unnest([
@@ -276,6 +287,13 @@ def note_pieces(spark, d):
     return notes.note_pieces(A.part_notes(spark, d)[0])
 
 
+@query(oracle_sql()["note_pieces"])
+def sql_note_pieces(spark, d):
+    """The same by a table function in SQL text."""
+    tables.register(spark)
+    return spark.sql("SELECT n.note_id, p.* FROM {notes} AS n, LATERAL markdown_pieces(n.text, 'wiki') AS p", notes=A.part_notes(spark, d)[0])
+
+
 _SYNTAX = ", ".join(f"({i}, '{s}', '{a}', '{b}', '{c}')" for i, (s, a, b, c) in enumerate(A.SYNTAX_NOTES)).replace("\n", "' || chr(10) || '")
 
 
