@@ -15,19 +15,30 @@ from lexweave.staging import stage
 
 
 def preprocess(spark: SparkSession, root: str, wikis: list[str], date: str, out: str, limit: int | None = None) -> None:
-    """Dumps to the three TSV tables, with a manifest of their counts."""
-    pages, redirects = dumps.wiki_tables(spark, root, wikis, date, limit)
-    sources = stage(surfaces.surface_sources(pages, redirects), "sources")
-    lists = stage(surfaces.surface_qids(sources), "lists")
+    """Dumps to the three TSV tables, with a manifest of their counts.
+
+    Dumps and claims are read once: what the manifest says of them is observed while they are staged.
+    """
+    watched = statistics.Watch()
+    by_wiki = lambda rows, wiki: watched(rows, f"pages of {wiki}", "page_id", with_qid=F.count("qid"))
+    pages, redirects = dumps.wiki_tables(spark, root, wikis, date, limit, by_wiki)
+    pages = stage(pages, "pages")
+    each = {f"{name} {w}": F.count_if((F.col("wiki") == w) & some) for w in wikis for name, some in (("redirects", F.col("source") == "redirect"), ("sources", F.lit(True)))}
+    sources = stage(watched(surfaces.surface_sources(pages, redirects), "surface sources", None, **each), "sources")
+    lists = stage(watched(surfaces.surface_qids(sources), "surfaces", None), "lists")
     names = lists.select(F.explode("qids").alias("name")).select(qid_number(F.col("name")).alias("qid")).distinct()
-    edges = stage(surfaces.type_edges(dumps.entity_claims(dumps.entity_lines(spark, dumps.entity_dump_path(root, date))), names), "edges")
+    claims = dumps.entity_claims(dumps.entity_lines(spark, dumps.entity_dump_path(root, date)))
+    claims = watched(claims, "entities", qid_number(F.col("qid")))
+    edges = stage(surfaces.type_edges(claims, names), "edges")
 
     def build(folder: str) -> None:
         tsv.write_lines(tsv.source_lines(sources), f"{folder}/surface_sources", tsv.SOURCES)
         tsv.write_lines(tsv.qid_lines(lists), f"{folder}/surface_qids", tsv.QIDS)
         tsv.write_lines(tsv.edge_lines(edges), f"{folder}/entity_type_edges", tsv.EDGES)
-        counts = {r["wiki"]: r.asDict() for r in statistics.preprocess_summary(pages, sources).collect()}  # one row a wiki
-        publish.write_manifest(spark, folder, {"stage": "preprocess", "date": date, "wikis": counts, "entities": statistics.scan_statistics(edges, names).first().asDict(), "surfaces": lists.count()})
+        phases = watched.phases()
+        made = phases["surface sources"]
+        counts = {w: {"wiki": w, "pages": phases[f"pages of {w}"]["rows"], "with_qid": phases[f"pages of {w}"]["with_qid"], **{name: made.pop(f"{name} {w}") for name in ("redirects", "sources")}} for w in wikis}
+        publish.write_manifest(spark, folder, {"stage": "preprocess", "date": date, "wikis": counts, "entities": statistics.scan_statistics(edges, names).first().asDict(), "surfaces": phases["surfaces"]["rows"], "phases": phases})
 
     publish.publish(spark, out, build)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,25 @@ def _n(condition) -> F.Column:
     return F.count_if(condition).cast("bigint")
 
 
+class Watch:
+    """Counts that are taken while rows are written, by phase: rows, the greatest id, and what else is asked for.
+
+    A watched table should be written once, without a limit behind it; its numbers are there as soon as that has ended.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def __call__(self, rows: DataFrame, phase: str, last_id: str | Column | None, **more: Column) -> DataFrame:
+        self.seen[phase] = Observation()
+        found = {"rows": F.count(F.lit(1))} | ({} if last_id is None else {"last_id": F.max(last_id)}) | more
+        return rows.observe(self.seen[phase], *[c.alias(name) for name, c in found.items()])
+
+    def phases(self) -> dict[str, dict]:
+        """By phase its numbers, in the order in which they were watched."""
+        return {phase: dict(found.get) for phase, found in self.seen.items()}
+
+
 def preprocess_summary(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """(wiki, pages, with_qid, redirects, sources) a wiki."""
     seen = pages.groupBy("wiki").agg(F.count(F.lit(1)).alias("pages"), F.count("qid").alias("with_qid"))

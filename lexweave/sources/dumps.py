@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -104,13 +104,14 @@ def redirects(rows: DataFrame) -> DataFrame:
     return rows.filter((F.size(f) >= 3) & (f[1] == "0")).select(f[0].cast("bigint").alias("source_page_id"), f[1].cast("int").alias("namespace"), f[2].alias("target_title"))
 
 
-def wiki_tables(spark: SparkSession, root: str, wikis: list[str], date: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pages with their QIDs, and redirects, of all `wikis`; a missing dump is an error."""
+def wiki_tables(spark: SparkSession, root: str, wikis: list[str], date: str, limit: int | None = None, watch: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages with their QIDs, and redirects, of all `wikis`; a missing dump is an error. `watch` may attach observations to a wiki's pages."""
     found = []
     for wiki in wikis:
         read = lambda component: read_dump(spark, dump_path(root, wiki, check_date(date), component), component, limit)  # noqa: B023, E731
         named = pages(read("page")).withColumn("wiki", F.lit(wiki))
-        found.append((attach_qids(named, page_props(read("page_props"))), redirects(read("redirect")).withColumn("wiki", F.lit(wiki))))
+        named = attach_qids(named, page_props(read("page_props")))
+        found.append((watch(named, wiki) if watch else named, redirects(read("redirect")).withColumn("wiki", F.lit(wiki))))
     joined = [reduce(DataFrame.unionByName, side) for side in zip(*found, strict=True)]
     return joined[0], joined[1]
 

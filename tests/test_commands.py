@@ -35,6 +35,7 @@ def test_from_dumps_to_matches(spark, tmp_path):
     manifest = publish.read_manifest(spark, out)
     assert manifest["surfaces"] == 3 and manifest["wikis"]["enwiki"] == {"wiki": "enwiki", "pages": 3, "with_qid": 2, "redirects": 1, "sources": 3}
     assert manifest["entities"]["disambiguations"] == 1 and manifest["entities"]["candidate_hits"] == 2
+    assert manifest["phases"] == {"pages of enwiki": {"rows": 3, "last_id": 4, "with_qid": 2}, "surface sources": {"rows": 3}, "surfaces": {"rows": 3}, "entities": {"rows": 2, "last_id": 71}}
     main(["postprocess", "--tables", out, "--out", str(tmp_path / "post")], spark)
     assert {r["qid"]: r["report"] for r in spark.read.parquet(str(tmp_path / "post/entities")).collect()} == {70: True, 71: False}
     main(["match", "--tables", str(tmp_path / "post"), "--notes", str(notes), "--out", str(tmp_path / "matches")], spark)
