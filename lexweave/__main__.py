@@ -1,4 +1,4 @@
-"""Stages as commands: download-plan, preprocess, postprocess and match."""
+"""Stages as commands: download-plan, preprocess, postprocess, match and sync."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import qid_number, split_csv
-from lexweave.operators import matching, policy, statistics, surfaces
+from lexweave.operators import matching, policy, statistics, surfaces, syncing
 from lexweave.session import get_spark
 from lexweave.sources import dumps, publish, tsv, vault
 from lexweave.staging import stage
@@ -67,6 +67,12 @@ def match(spark: SparkSession, tables: str, notes: str, out: str, entity_dir: st
     publish.publish(spark, out, lambda folder: found.join(numbered.select("note_id", "path"), "note_id").write.parquet(folder))
 
 
+def sync(spark: SparkSession, tables: str, notes: str, store: str, out: str, entity_dir: str = "wiki", lang: str = "zh", policy_enabled: bool = True) -> None:
+    """Note files to rewritten notes and entity notes under `out`, and a new version of the store."""
+    report = spark.read.parquet(f"{tables}/entities").select("qid", "report") if policy_enabled else None
+    publish.publish(spark, out, lambda folder: syncing.sync_folder(spark, spark.read.parquet(f"{tables}/surfaces"), report, notes, store, folder, entity_dir, lang))
+
+
 def parser() -> argparse.ArgumentParser:
     own = argparse.ArgumentParser(prog="lexweave")
     stages = own.add_subparsers(dest="stage", required=True)
@@ -87,6 +93,12 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--entity-dir", default="wiki")
     sub.add_argument("--no-policy", action="store_true")
     sub.add_argument("--window", type=int, default=4096)
+    sub = stages.add_parser("sync")
+    for option in ("--tables", "--notes", "--store", "--out"):
+        sub.add_argument(option, required=True)
+    sub.add_argument("--entity-dir", default="wiki")
+    sub.add_argument("--lang", default="zh")
+    sub.add_argument("--no-policy", action="store_true")
     return own
 
 
@@ -99,6 +111,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         preprocess(spark, a.dumps, a.wikis, a.date, a.out, a.limit)
     elif a.stage == "postprocess":
         postprocess(spark, a.tables, a.out)
+    elif a.stage == "sync":
+        sync(spark, a.tables, a.notes, a.store, a.out, a.entity_dir, a.lang, not a.no_policy)
     else:
         match(spark, a.tables, a.notes, a.out, a.entity_dir, not a.no_policy, a.window)
 

@@ -26,7 +26,7 @@ class Settled:
     sizes: list[int]
 
 
-def _decided(groups: DataFrame, stored: DataFrame | None) -> DataFrame:
+def decided(groups: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Matches of conflicts, with decisions of `stored` (see inherit_decisions) where a link has made none."""
     matches = N.conflict_matches_of(N.conflicts_of(groups))
     return matches if stored is None else inherit_decisions(matches, stored)
@@ -41,7 +41,7 @@ def settle(notes: DataFrame, patterns: list[str], candidates: DataFrame, entitie
     texts, groups, sizes = [], [], []
     for k in range(1, more + 2):
         found = stage(N.mention_groups(N.with_candidates(N.note_matches(live, patterns, folder=folder), candidates, entities)), "pass-groups")
-        wanted = N.replacements(N.mentions_of(found), _decided(found, stored), folder)
+        wanted = N.replacements(N.mentions_of(found), decided(found, stored), folder)
         now = stage(N.render_notes(live, wanted, folder=folder).withColumn("changed", F.coalesce("changed", F.lit(False))), "pass-texts")
         ends = F.lit(True) if k == more + 1 else ~F.col("changed")
         done = now.filter(ends)

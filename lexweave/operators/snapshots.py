@@ -72,6 +72,11 @@ def create(spark: SparkSession, root: str, tables: dict[str, DataFrame] | None =
     return _commit(spark, root, 1, parts, empty.folders | folders)
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    path, fs = _fs(spark, f"{root}/versions")
+    return fs.exists(path)
+
+
 def latest(spark: SparkSession, root: str) -> Snapshot:
     """The newest version that is complete."""
     folder, fs = _fs(spark, f"{root}/versions")
@@ -116,12 +121,13 @@ def references(mentions: DataFrame, conflict_matches: DataFrame) -> DataFrame:
     return own.unionByName(won).groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
 
 
-def replace_notes(base: Snapshot, notes: DataFrame, mentions: DataFrame, conflicts: DataFrame, conflict_matches: DataFrame, now: int) -> Snapshot:
+def replace_notes(base: Snapshot, notes: DataFrame, mentions: DataFrame, conflicts: DataFrame, conflict_matches: DataFrame, now: int, observed: DataFrame | None = None, new_entities: DataFrame | None = None) -> Snapshot:
     """Commit new mentions, conflicts and matches of `notes` (note_id) together with what hangs on them.
 
     The notes become synced, and the counts of the entities that gain or lose references change by the difference;
     entities that nothing refers to any more stay with a count of 0. A mention's entity_id follows its eid. Rows of
-    notes that aren't among `notes` are an error.
+    notes that aren't among `notes` are an error. `observed` replaces or adds whole rows of notes, and `new_entities` (eids
+    that the version doesn't have) come in with the same commit.
     """
     new = {"mentions": mentions, "conflicts": conflicts, "conflict_matches": conflict_matches}
     keys = notes.select("note_id").distinct()
@@ -135,15 +141,20 @@ def replace_notes(base: Snapshot, notes: DataFrame, mentions: DataFrame, conflic
     after = references(mentions, conflict_matches)
     moved = before.unionByName(after).groupBy("eid").agg(F.sum("n").alias("moved")).filter("moved <> 0")
 
-    entity_parts = _touched(base, moved, "eid")
-    entities = base.table("entities", entity_parts).join(moved, "eid", "left")
+    none = base.spark.createDataFrame([], TABLES["entities"])
+    new_entities = none if new_entities is None else new_entities.select(*none.columns)
+    entity_parts = _touched(base, moved.select("eid").unionByName(new_entities.select("eid")), "eid")
+    entities = base.table("entities", entity_parts).unionByName(new_entities).join(moved, "eid", "left")
     moves = F.coalesce("moved", F.lit(0))
     entities = entities.withColumns({"ref_count": F.coalesce("ref_count", F.lit(0)) + moves, "updated_at": F.when(moves != 0, F.lit(now)).otherwise(F.col("updated_at"))}).drop("moved")
 
-    named = mentions.drop("entity_id").join(base.table("entities").select("eid", "entity_id"), "eid", "left")
+    named = mentions.drop("entity_id").join(base.table("entities").unionByName(new_entities).select("eid", "entity_id"), "eid", "left")
     kept = {name: rows.join(keys, "note_id", "left_anti") for name, rows in old.items()}
     rows = {name: kept[name].unionByName(named if name == "mentions" else new[name]) for name in new}
-    hit = keys.withColumn("hit", F.lit(True))
-    seen = base.table("notes", parts).join(hit, "note_id", "left")
+    hit, note_parts, stored = keys.withColumn("hit", F.lit(True)), parts, base.table("notes", parts)
+    if observed is not None:
+        note_parts = sorted({*parts, *_touched(base, observed, "note_id")})
+        stored = base.table("notes", note_parts).join(observed.select("note_id"), "note_id", "left_anti").unionByName(observed.select(*stored.columns))
+    seen = stored.join(hit, "note_id", "left")
     seen = seen.withColumns({"status": F.when(F.col("hit"), "synced").otherwise(F.col("status")), "updated_at": F.when(F.col("hit"), F.lit(now)).otherwise(F.col("updated_at"))}).drop("hit")
-    return commit(base, {name: (r, parts) for name, r in rows.items()} | {"notes": (seen, parts), "entities": (entities, entity_parts)})
+    return commit(base, {name: (r, parts) for name, r in rows.items()} | {"notes": (seen, note_parts), "entities": (entities, entity_parts)})

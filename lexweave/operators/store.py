@@ -50,6 +50,11 @@ def with_entity_ids(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.join(entities.select("eid", "entity_id"), "eid", "left")
 
 
+def entities_by_id(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entities of `ids` (entity_id), each once; an id that the store doesn't know gives none."""
+    return entities.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
 def stored_resolutions(conflicts: DataFrame, matches: DataFrame) -> DataFrame:
     """Decided matches of conflicts, with the columns that inherit_decisions() compares."""
     won = matches.filter(F.col("resolved_eid").isNotNull())

@@ -191,3 +191,9 @@ def committed_tables(spark, d):
     at = _committed(spark, d)
     rows = [at.table(name).select(F.lit(name).alias("kind"), "note_id", F.coalesce(shown, F.lit("")).alias("eid")) for name, shown in (("mentions", F.col("eid")), ("conflict_matches", F.col("resolved_eid")), ("notes", F.col("status")))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("kind", "eid").agg(F.count(F.lit(1)).alias("n"), F.sum("note_id").alias("note_ids"))
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT entity_id, eid, ref_count FROM entities WHERE entity_id IN (SELECT l_suppkey FROM lineitem WHERE l_partkey % 50 = 0 UNION ALL SELECT 0)")
+def entities_by_id(spark, d):
+    ids = table(spark, d, "lineitem").filter("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("entity_id"))
+    return store.entities_by_id(_entities(spark, d), ids.unionByName(spark.range(1).select(F.col("id").alias("entity_id")))).select("entity_id", "eid", "ref_count")
