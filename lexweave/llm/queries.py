@@ -63,8 +63,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    speaker = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), speaker.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     conversations = table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)
     return chat.digests(stage(chat.format_chats(conversations), "formatted"))
 
