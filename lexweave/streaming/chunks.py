@@ -10,7 +10,8 @@ A text ends with the chunk marked `last`, or when no chunk of it has come for `t
 are reported and its state is deleted, early chunks included. A chunk that comes later opens a new text of that
 id: chunk 0 begins it, any other waits for its turn until the timeout. Without a timeout only the mark ends a text.
 
-The state is kept by transformWithState, which needs the RocksDB state store.
+The state is kept by transformWithState, which needs the RocksDB state store. With a timeout a query runs until it is
+stopped: Spark goes on with batches for the timers, also under the trigger availableNow.
 """
 
 from __future__ import annotations
