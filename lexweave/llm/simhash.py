@@ -4,8 +4,8 @@ Fingerprints are made batch-wise in Arrow tasks. Documents with the same fingerp
 only distinct fingerprints are joined: the trie of their 64 bits is joined with itself by a walk over pairs of
 nodes that starts at the pair of the root with itself. Differing bits accumulate on the way down, and a pair
 whose sum exceeds the budget is pruned, as is one with an empty node. While a pair holds more than
-`most_leaves` fingerprints, Spark opens it from a table of prefix counts (the root by as many bits at once as
-even fingerprints need, later pairs by four), so only node pairs are handled, not their rows. Then each
+`most_leaves` fingerprints, Spark opens it from a table of prefix counts (the root always, by four bits or as
+many more as even fingerprints need, later pairs by four), so only node pairs are handled, not their rows. Then each
 remaining pair of subtrees meets in a task of its own, which walks on in the same way bit by bit. Every link
 is found in exactly one place. Links between distinct fingerprints then form components.
 
@@ -125,10 +125,10 @@ def _prefix(bits: int) -> Column:
 def node_pairs(fps: DataFrame, budget: int, most_leaves: int) -> list[tuple[int, DataFrame]]:
     """(depth, pairs) of the walk's last node pairs: a <= b, the nodes' prefixes of `depth` bits."""
     spark, whole = fps.sparkSession, fps.count()
-    depth, step = 0, max(0, min(20, (2 * whole // most_leaves).bit_length()))
+    if not whole:
+        return []
+    depth, step = 0, max(STEP, min(20, (2 * whole // most_leaves).bit_length()))
     open_ = spark.range(1).select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("differ"))
-    if not step:
-        return [(0, open_.select("a", "b"))] if whole else []
     out = []
     while True:
         child = depth + step
@@ -155,11 +155,10 @@ def node_pairs(fps: DataFrame, budget: int, most_leaves: int) -> list[tuple[int,
 def links_within(fps: DataFrame, budget: int = 2, most_leaves: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints `fp` (signed long, no repeats) that differ in at most `budget` bits.
 
-    `most_leaves` bounds what a task holds; unset it follows the number of fingerprints, from 30,000 to 1,000,000.
+    Nodes of up to `most_leaves` fingerprints (a million unless given) together are walked by one task.
     """
     ship(fps.sparkSession)
-    if most_leaves is None:
-        most_leaves = max(30_000, min(1_000_000, fps.count() // 64))
+    most_leaves = most_leaves or 1_000_000
     met = []
     for depth, pairs in node_pairs(fps, budget, most_leaves):
         one, two = F.struct(F.col("a").alias("prefix"), F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side")), F.struct(F.col("b").alias("prefix"), F.lit(2).alias("side"))
