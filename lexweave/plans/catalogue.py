@@ -8,7 +8,7 @@ from lexweave.functions import tables
 from lexweave.functions import text as T
 from lexweave.operators import graph, matching, mentions, notes, passes, policy, sharded, store, surfaces
 from lexweave.plans import adapters as A
-from lexweave.plans import dump_queries, store_queries  # noqa: F401 - they register themselves
+from lexweave.plans import dump_queries, interval_queries, store_queries  # noqa: F401 - they register themselves
 from lexweave.plans.registry import oracle_sql, queries, query  # noqa: F401
 from lexweave.session import table
 from lexweave.sources import dumps
