@@ -82,3 +82,10 @@ def test_text_functions(spark):
     row = spark.createDataFrame([("_Foo_Bar　", "a😀北", "a\\q\\\\n\\", "Q4294967296", "Q7")], "t string, u string, e string, big string, q string")
     got = row.select(T.surface_key(F.col("t")), T.utf16_length(F.col("u")), T.unescape_tsv(F.col("e")), T.qid_number(F.col("big")), T.qid_number(F.col("q"))).first()
     assert tuple(got) == ("Foo Bar", 4, "a\\q\\n\\", None, 7)
+
+
+def test_tied_matches_are_in_one_cluster(spark):
+    """Rows that share note, start, end and surface differ in candidates only; each cluster holds all of them."""
+    rows = [(1, 0, 5, 1, 1)] + [(1, 10, 13, 4, n) for n in (1, 2, 1, 2)] + [(1, 12, 15, 2, 1), (1, 15, 17, 2, 2), (1, 15, 17, 2, 1)]
+    got = mentions.clusters(spark.createDataFrame(rows, "note_id long, start int, end int, surface_id int, n_qids int")).collect()
+    assert sorted((r["start"], r["cluster_no"]) for r in got) == [(0, 1), (10, 2), (10, 2), (10, 2), (10, 2), (12, 2), (15, 3), (15, 3)]
