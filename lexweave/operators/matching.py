@@ -28,8 +28,20 @@ Hit = tuple[int, int, int]
 MOST_CHARACTERS, ROWS_AT_ONCE = 50_000_000, 50_000
 
 
-@lru_cache(maxsize=4)
+_LAST: list[tuple] = [((), None)]
+
+
 def _automaton(patterns: tuple[str, ...]):
+    """The automaton, and the numbers of the empty pattern; that of the tuple asked for last comes without hashing all of it."""
+    last, made = _LAST[0]
+    if last is not patterns or made is None:
+        made = _built(patterns)
+        _LAST[0] = (patterns, made)
+    return made
+
+
+@lru_cache(maxsize=4)
+def _built(patterns: tuple[str, ...]):
     by_text: dict[str, list[int]] = {}
     for i, p in enumerate(patterns):
         by_text.setdefault(p, []).append(i)

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import groupby, islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +30,16 @@ from lexweave.session import ship
 
 HASH_VERSION = "mention-conflict-v1"  # fixed value: part of stored hashes
 CONTEXT_WEIGHT = 30
+MOST_LISTED = 1_000_000  # surfaces and candidates that are broadcast
 HAN = regex.compile(r"\p{Script=Han}")
 SPACED = regex.compile(f"[{SPACE}]")
+BLANKS = re.compile(f"[{SPACE}]+")
+FEW = 8  # places of a text whose contexts are read one by one
 SCRIPTS = regex.compile(r"[\p{Script=Han}\p{Script=Latin}]")
 WORD_EDGE = regex.compile(r"\b", regex.WORD)
 PIECE = "array<struct<syntax:string,text:string,start:int,end:int,eid:string,path:string>>"
+PIECES = pa.list_(pa.struct([("syntax", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("eid", pa.string()), ("path", pa.string())]))
+SHORT, MOST_SHORT = 200, 1024  # characters, and number, of the texts whose matches a worker keeps for those that come again
 MATCH = "note_id long, segment_no int, start int, end int, source_start int, source_end int, surface_id int, surface string, suspect boolean, link_eid string, link_path string, left_context string, right_context string"
 
 
@@ -39,9 +47,11 @@ def note_pieces(notes: DataFrame, id_col: str = "note_id", text: str = "text", f
     """(note_id, piece_no, syntax, text, start, end, eid, path), one row a piece; a null note has none."""
     ship(notes.sparkSession)
 
-    @F.pandas_udf(PIECE)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [p._asdict() for p in pieces(t or "", folder)])
+    @F.arrow_udf(PIECE)
+    def cut(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()  # a text that comes again in a batch is cut once
+        each = [[p._asdict() for p in pieces(t, folder)] for t in coded.dictionary.to_pylist()]
+        return pa.array(each, PIECES).take(coded.indices)
 
     return notes.select(F.col(id_col).alias("note_id"), F.posexplode(cut(text)).alias("piece_no", "p")).select("note_id", "piece_no", "p.*")
 
@@ -75,6 +85,41 @@ def context(outward: Iterable[str]) -> str:
     return "".join(out) + (" " if gap and room > 0 else "")
 
 
+class Contexts:
+    """context() rightwards from many places of one text: sums of weights tell where each ends."""
+
+    def __init__(self, text: str) -> None:
+        codes, place = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
+        weights = np.array([weight(chr(c)) for c in codes], np.int64)[place]
+        self.size, self.shown = len(text), np.nonzero(weights)[0]
+        self.gap = np.diff(self.shown, prepend=-1) > 1  # white space before a character that shows
+        self.before = np.concatenate([[0], np.cumsum(weights[self.shown] + self.gap)])
+        self.squeezed = BLANKS.sub(" ", text)
+        self.at = np.arange(len(self.shown)) + np.cumsum(self.gap)  # places in `squeezed`
+
+    def from_places(self, places: list[int]) -> list[str]:
+        n, where = len(self.shown), np.array(places, np.int64)
+        if not n:
+            return [" " if p < self.size else "" for p in places]
+        first = np.searchsorted(self.shown, where)
+        some = np.minimum(first, n - 1)
+        blank = self.shown[some] > where
+        spent = self.before[some] + self.gap[some] - blank
+        stop = np.searchsorted(self.before[:n], spent + CONTEXT_WEIGHT)
+        open_end = (stop == n) & (self.shown[-1] < self.size - 1) & (self.before[n] - spent < CONTEXT_WEIGHT)
+        ranges = zip(places, first.tolist(), (self.at[some] - blank).tolist(), (self.at[np.maximum(stop, 1) - 1] + 1).tolist(), open_end.tolist(), strict=True)
+        return [(self.squeezed[a:b] + " " * more) if k < n else " " if p < self.size else "" for p, k, a, b, more in ranges]
+
+
+def _contexts(text: str, starts: list[int], ends: list[int]) -> tuple[dict[int, str], dict[int, str]]:
+    """context() to the left of each of `starts` and to the right of each of `ends`."""
+    n = len(text)
+    if len(starts) < FEW:
+        return {a: context(text[j] for j in range(a - 1, -1, -1))[::-1] for a in starts}, {b: context(text[j] for j in range(b, n)) for b in ends}
+    left = Contexts(text[::-1]).from_places([n - a for a in starts])
+    return {a: c[::-1] for a, c in zip(starts, left, strict=True)}, dict(zip(ends, Contexts(text).from_places(ends), strict=True))
+
+
 def segment_matches(words: tuple[str, ...], run: list[Piece]) -> Iterator[tuple]:
     """(start, end, source range, surface id and text, suspect, link, contexts) of each match in a segment."""
     text, starts, total = "".join(p.text for p in run), [], 0
@@ -82,18 +127,16 @@ def segment_matches(words: tuple[str, ...], run: list[Piece]) -> Iterator[tuple]
         starts.append(total)
         total += len(p.text)
     hits = [h for h in find(words, text, "overlapping") if h[0] < h[1]]
-    edges = {0, total} | {m.start() for m in WORD_EDGE.finditer(text)} if hits else set()
-    left, right = {}, {}
+    if not hits:
+        return
+    edges = {0, total} | {m.start() for m in WORD_EDGE.finditer(text)}
+    left, right = _contexts(text, list({h[0] for h in hits}), list({h[1] for h in hits}))
     for a, b, i in hits:
         k, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
         first, final = run[k], run[last]
         source = (first.start if first.syntax == "link" else first.start + a - starts[k], final.end if final.syntax == "link" else final.start + b - starts[last])
         link = first if first.syntax == "link" and k == last else None
-        if a not in left:
-            left[a] = context(text[j] for j in range(a - 1, -1, -1))[::-1]
-        if b not in right:
-            right[b] = context(text[j] for j in range(b, total))
-        suspect = bool(SCRIPTS.search(text, a, b)) and not (a in edges and b in edges)
+        suspect = not (a in edges and b in edges) and bool(SCRIPTS.search(text, a, b))
         yield (a, b, *source, i, words[i], suspect, link and link.eid, link and link.path, left[a], right[b])
 
 
@@ -104,10 +147,21 @@ def note_matches(notes: DataFrame, patterns: list[str], id_col: str = "note_id",
     shared = notes.sparkSession.sparkContext.broadcast(tuple(patterns))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value
+        words, known = shared.value, {}
+
+        def found(text: str) -> Iterable[tuple]:
+            rows = ((n, *row) for n, run in enumerate(segments(pieces(text, folder))) for row in segment_matches(words, run))
+            if len(text) > SHORT:
+                return rows
+            if text not in known:
+                if len(known) >= MOST_SHORT:
+                    known.clear()
+                known[text] = list(rows)
+            return known[text]
+
         for batch in batches:
             texts = zip(batch["note_id"], batch["text"], strict=True)
-            rows = ((note, n, *row) for note, t in texts for n, run in enumerate(segments(pieces(t or "", folder))) for row in segment_matches(words, run))
+            rows = ((note, *row) for note, t in texts for row in found(t or ""))
             while some := list(islice(rows, ROWS_AT_ONCE)):
                 yield pd.DataFrame(some, columns=[c.split()[0] for c in MATCH.split(", ")])
 
@@ -117,9 +171,12 @@ def note_matches(notes: DataFrame, patterns: list[str], id_col: str = "note_id",
 def with_candidates(matches: DataFrame, candidates: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """`matches` with eids (of candidates: surface_id, eids) and resolved_eid, where an old link names one of them.
 
-    `entities` (eid, view_path) names the entities of links that have no EID in their file name.
+    `entities` (eid, view_path) names the entities of links that have no EID in their file name. Matches are never the
+    side that is broadcast: the planner takes them for no larger than the notes' files.
     """
-    rows = matches.join(candidates.filter(F.size("eids") > 0).select("surface_id", "eids"), "surface_id")
+    listed = candidates.filter(F.size("eids") > 0).select("surface_id", "eids")
+    n = listed.agg(F.sum(F.size("eids") + 1)).first()[0] or 0
+    rows = matches.join(F.broadcast(listed) if n <= MOST_LISTED else listed.hint("merge"), "surface_id")
     if entities is not None:
         known = entities.select(F.col("view_path").alias("link_path"), F.col("eid").alias("path_eid")).dropDuplicates(["link_path"])
         rows = rows.join(known, "link_path", "left").withColumn("link_eid", F.coalesce("link_eid", "path_eid")).drop("path_eid")

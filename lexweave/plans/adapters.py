@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.operators import matching, surfaces
-from lexweave.session import table
+from lexweave.session import spread, table
 from lexweave.staging import shared_path
 
 
@@ -173,7 +173,8 @@ NOTE_WORDS = ["Ask", "Tor", "Velm Tor"]
 def part_notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Notes with an old link, and the candidates of NOTE_WORDS."""
     old = F.concat(F.lit("[[wiki/Q"), (F.col("p_partkey") % 5 + 1).cast("string"), F.lit("|Velm Tor]] met "))
-    notes = table(spark, d, "part").select(F.col("p_partkey").alias("note_id"), F.concat(old, "p_name", F.lit(" and Ask *x*\n")).alias("text"))
+    part = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    notes = part.select(F.col("p_partkey").alias("note_id"), F.concat(old, "p_name", F.lit(" and Ask *x*\n")).alias("text"))
     return notes, spark.createDataFrame([(0, ["Q5"]), (1, ["Q4"]), (2, ["Q2", "Q3"])], "surface_id int, eids array<string>")
 
 
@@ -218,7 +219,7 @@ SYNTAX_NOTES = [
 def syntax_notes(spark: SparkSession, d: str) -> DataFrame:
     """(note_id, text): a note for each part and rule; its id is 100 times the part's and the rule's number."""
     cases = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a + b + c).alias("text")) for i, (_, a, b, c) in enumerate(SYNTAX_NOTES)])).alias("c")
-    made = table(spark, d, "part").select("p_partkey", "p_name", cases)
+    made = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", "p_name", cases)
     return made.select((F.col("p_partkey") * 100 + F.col("c.i")).alias("note_id"), F.replace("c.text", F.lit("NAME"), F.col("p_name")).alias("text"))
 
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions.markdown import entity_path, percent_decoded, pieces, shown_name
 from lexweave.operators import notes as N
+from lexweave.plans import adapters
 from lexweave.streaming import sync
 
 
@@ -119,3 +121,55 @@ def test_sync_stream(spark, tmp_path):
     sync.sync_batch(spark.createDataFrame([(1, "nothing"), (2, "Ask")], "note_id long, text string"), WORDS, candidates, str(tmp_path / "out"), 1)
     assert [r["note_id"] for r in sync.current(spark, str(tmp_path / "out"), "mentions").collect()] == [2]
     assert {(r["note_id"], r["text"]) for r in sync.current(spark, str(tmp_path / "out"), "notes").collect()} == {(1, "nothing"), (2, "[[wiki/Q5|Ask]]")}
+
+
+def test_matches_are_not_broadcast(spark, sf, monkeypatch):
+    """They grow with the notes, whatever the planner thinks of their size; candidates may be broadcast while they are few."""
+    rows, candidates = adapters.part_notes(spark, sf)
+    found = N.note_matches(rows, adapters.NOTE_WORDS)
+
+    def plan():
+        joined = N.with_candidates(found, candidates)
+        return joined.count(), joined._jdf.queryExecution().optimizedPlan().toString(), joined._jdf.queryExecution().executedPlan().toString()
+
+    n, _, planned = plan()
+    assert "BuildRight" in planned and "BuildLeft" not in planned
+    monkeypatch.setattr(N, "MOST_LISTED", 0)
+    again, hinted, planned = plan()
+    assert again == n > 0 and "strategy=merge" in hinted and "BroadcastHashJoin" not in planned
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contexts_of_many_places_equal_those_read_one_by_one(seed):
+    rnd = random.Random(seed)
+    for _ in range(60):
+        text = "".join(rnd.choices("ab山é😀 \n\u3000\u2029", weights=[9, 9, 4, 2, 1, rnd.choice([1, 9]), 2, 1, 1], k=rnd.randint(0, 150)))
+        places = list(range(len(text) + 1))
+        assert N.Contexts(text).from_places(places) == [N.context(text[p:]) for p in places]
+    left, right = N._contexts("x" * 9 + " \n" + "y" * 50, list(range(40)), list(range(40)))
+    assert left[30] == "x" * 9 + " " + "y" * 19 and right[0] == "x" * 9 + " " + "y" * 20
+
+
+def test_contexts_of_a_long_text_take_few_steps(monkeypatch):
+    """Many matches in one segment: no context is read character by character."""
+    def never(outward):
+        raise AssertionError
+
+    monkeypatch.setattr(N, "context", never)
+    (run,) = N.segments(pieces("abc " * 1000))
+    assert len(list(N.segment_matches(("abc",), run))) == 1000
+
+
+def test_texts_that_come_again_are_cut_once(spark):
+    """The pieces of 3,000 notes of two texts and nulls; the second text is longer than those whose matches are kept."""
+    texts = ["a `b` c", None, "x [[wiki/Q1|y]] " * 40]
+    rows = spark.createDataFrame([(i, texts[i % 3]) for i in range(3000)], "note_id long, text string").coalesce(1)
+    got = N.note_pieces(rows).groupBy("piece_no", "syntax", "text", "start", "end", "eid", "path").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {tuple(r) for r in got} == {(k, *p, 1000) for t in (texts[0], texts[2]) for k, p in enumerate(pieces(t))}
+    per = N.note_matches(rows, ["b", "c", "y"]).groupBy("note_id").count().collect()
+    assert {(r["note_id"] % 3, r["count"]) for r in per} == {(0, 1), (2, 40)} and len(per) == 2000
+
+
+def test_small_tables_are_dealt_over_all_cores(spark, sf):
+    for rows in (adapters.syntax_notes(spark, sf), adapters.part_notes(spark, sf)[0]):
+        assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
