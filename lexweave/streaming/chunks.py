@@ -10,6 +10,9 @@ A text ends with the chunk marked `last`, or when no chunk of it has come for `t
 are reported and its state is deleted, early chunks included. A chunk that comes later opens a new text of that
 id: chunk 0 begins it, any other waits for its turn until the timeout. Without a timeout only the mark ends a text.
 
+Texts are dealt into BUCKETS buckets, so that a call, its frames and its questions to the state serve many texts. The
+state of a text, and its early chunks, are entries of their own in the bucket's maps.
+
 The state is kept by transformWithState, which needs the RocksDB state store. With a timeout a query runs until it is
 stopped: Spark goes on with batches for the timers, also under the trigger availableNow.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lexweave.operators.matching import KINDS, Leftmost, Units, check_size, find
+from lexweave.operators.matching import KINDS, ROWS_AT_ONCE, Leftmost, Units, check_size, find
 from lexweave.session import send_value, sent_value, ship
 
 HIT = "start long, end long, surface_id int, start_byte long, end_byte long, start_utf16 long, end_utf16 long"
@@ -31,9 +34,11 @@ MATCH = "note_id long, start long, end long, surface_id int, surface string, sta
 PROGRESS = f"tail string, total long, total_byte long, total_utf16 long, due long, begin long, any_yet boolean, open array<struct<{HIT.replace(' long', ':long').replace(' int', ':int')}>>, ends_at long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+BUCKETS = 1 << 11  # a batch's chunks of one bucket are handled together, each text with a state of its own
+
 
 class ChunkScan(StatefulProcessor):
-    """The scan of one text, by match kind."""
+    """The scan of the texts of a bucket, by match kind."""
 
     def __init__(self, words: str, kind: str, timeout_ms: int | None) -> None:
         self.name, self.kind, self.timeout_ms = words, kind, timeout_ms
@@ -44,8 +49,9 @@ class ChunkScan(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", PROGRESS)
-        self.early = handle.getMapState("early", "chunk_no long", "text string, last boolean")
+        self.widest = None  # the words' file is not there yet when Spark asks for the states' schemas
+        self.progress = handle.getMapState("progress", "note string", PROGRESS)
+        self.early = handle.getMapState("early", "note string, chunk_no long", "text string, last boolean")
 
     def _fold(self, kept: list[tuple], text: str, due: int, was: int) -> list[tuple]:
         """Hits that are sure after `text`, whose first `was` characters are the tail; `kept` is progress, changed in place."""
@@ -60,7 +66,9 @@ class ChunkScan(StatefulProcessor):
 
         scan = "overlapping" if self.kind != "longest_per_end" else self.kind
         fresh = [placed(h) for h in find(words, text, scan) if h[1] > was or due == 0]
-        widest = max(map(len, words), default=0)
+        if self.widest is None:
+            self.widest = max(map(len, words), default=0)
+        widest = self.widest
         ends = units(0, len(text))
         total, total_byte, total_utf16 = base + len(text), before_byte + ends[1], before_utf16 + ends[3]
         keep = min(max(widest - 1, 0), len(text))
@@ -87,63 +95,81 @@ class ChunkScan(StatefulProcessor):
         """What is left when a text ends."""
         return list(Leftmost(self.kind == "leftmost_first", kept[4], kept[5], kept[6]).settle(kept[1] + 1))
 
-    def _clear(self, ends_at: int | None) -> None:
-        if ends_at is not None:
-            self.handle.deleteTimer(ends_at)
-        self.progress.clear()
-        self.early.clear()
-
-    def _rows(self, note: int, hits: list[tuple]) -> pd.DataFrame:
+    def _rows(self, hits: list[tuple]) -> pd.DataFrame:
         words = self.words
-        return pd.DataFrame([(note, h[0], h[1], h[2], words[h[2]], *h[3:]) for h in hits], columns=[c.split()[0] for c in MATCH.split(", ")])
+        rows = pd.DataFrame([(int(note) if note else None, h[0], h[1], h[2], words[h[2]], *h[3:]) for note, h in hits], columns=[c.split()[0] for c in MATCH.split(", ")])
+        return rows.astype({"note_id": "Int64"})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.progress.get() if self.progress.exists() else None
-        kept, due, ends_at = ["", 0, 0, 0, 0, False, []], 0, None
+        came: dict[str, dict[int, tuple[str, bool]]] = {}
+        for batch in rows:
+            for note, no, text, last in zip(batch["note"], batch["chunk_no"], batch["text"], batch["last"], strict=True):
+                came.setdefault(note, {}).setdefault(int(no), (text or "", bool(last)))
+        known, ends_at = self.progress.exists(), None
+        if self.timeout_ms is not None:
+            ends_at = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+        hits: list[tuple] = []
+        left: set[int] = set()
+        for note in list(came):
+            state = self.progress.getValue((note,)) if known and self.progress.containsKey((note,)) else None
+            hits += [(note, h) for h in self._text(note, state, came.pop(note), ends_at)]
+            if state is not None:
+                left.add(state[-1])
+            if len(hits) >= ROWS_AT_ONCE:
+                yield self._rows(hits)
+                hits = []
+        if self.timeout_ms is not None:
+            due = {p[-1] for p in self.progress.values()}
+            if ends_at in due:
+                self.handle.registerTimer(ends_at)
+            for at in left - due - {None}:
+                self.handle.deleteTimer(at)
+        yield self._rows(hits)
+
+    def _text(self, note: str, state: tuple | None, came: dict[int, tuple[str, bool]], ends_at: int | None) -> list[tuple]:
+        """What is sure of one text with its new chunks; its state is kept or deleted."""
+        kept, due = ["", 0, 0, 0, 0, False, []], 0
         if state is not None:
-            tail, total, total_byte, total_utf16, due, begin, any_yet, held, ends_at = state
+            tail, total, total_byte, total_utf16, due, begin, any_yet, held, _ = state
             kept = [tail, total, total_byte, total_utf16, begin, any_yet, [tuple(h) for h in held or []]]
-        came: dict[int, tuple[str, bool]] = {}
-        for batch in rows:
-            for no, text, last in zip(batch["chunk_no"], batch["text"], batch["last"], strict=True):
-                if no >= due:
-                    came.setdefault(int(no), (text or "", bool(last)))
+        waits = state is not None and self.early.exists()  # chunks wait only for texts with a state
         hits: list[tuple] = []
         ended = False
         while not ended:
-            if self.early.exists() and self.early.containsKey((due,)):
-                text, ended = self.early.getValue((due,))
-                self.early.removeKey((due,))
-                came.pop(due, None)
+            if waits and self.early.containsKey((note, due)):
+                text, ended = self.early.getValue((note, due))
+                self.early.removeKey((note, due))
             elif due in came:
-                text, ended = came.pop(due)
+                text, ended = came[due]
             else:
                 break
             hits += self._fold(kept, kept[0] + text, due, len(kept[0]))
             due += 1
         if ended:
             hits += self._open(kept)
-            self._clear(ends_at)
-        else:
-            for no, chunk in came.items():
-                if no > due and not (self.early.exists() and self.early.containsKey((no,))):
-                    self.early.updateValue((no,), chunk)
-            if self.timeout_ms is not None:
-                if ends_at is not None:
-                    self.handle.deleteTimer(ends_at)
-                ends_at = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
-                self.handle.registerTimer(ends_at)
-            tail, total, total_byte, total_utf16, begin, any_yet, held = kept
-            self.progress.update((tail, total, total_byte, total_utf16, due, begin, any_yet, held, ends_at))
-        yield self._rows(key[0], hits)
+            if state is not None:
+                self._clear(note)
+            return hits
+        for no, chunk in came.items():
+            if no > due and not (waits and self.early.containsKey((note, no))):
+                self.early.updateValue((note, no), chunk)
+        tail, total, total_byte, total_utf16, begin, any_yet, held = kept
+        self.progress.updateValue((note,), (tail, total, total_byte, total_utf16, due, begin, any_yet, held, ends_at))
+        return hits
+
+    def _clear(self, note: str) -> None:
+        self.progress.removeKey((note,))
+        for k in [tuple(k) for k in self.early.keys()] if self.early.exists() else []:
+            if k[0] == note:
+                self.early.removeKey(k)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        hits: list[tuple] = []
-        if self.progress.exists():
-            tail, total, total_byte, total_utf16, _, begin, any_yet, held, _ = self.progress.get()
-            hits = self._open([tail, total, total_byte, total_utf16, begin, any_yet, [tuple(h) for h in held or []]])
-        self._clear(None)
-        yield self._rows(key[0], hits)
+        until, hits = expiredTimerInfo.getExpiryTimeInMs(), []
+        ended = [(n[0], tuple(p)) for n, p in self.progress.iterator() if p[-1] is not None and p[-1] <= until] if self.progress.exists() else []
+        for note, (tail, total, total_byte, total_utf16, _, begin, any_yet, held, _) in ended:
+            hits += [(note, h) for h in self._open([tail, total, total_byte, total_utf16, begin, any_yet, [tuple(h) for h in held or []]])]
+            self._clear(note)
+        yield self._rows(hits)
 
     def close(self) -> None:
         pass
@@ -158,8 +184,10 @@ def chunk_matches(chunks: DataFrame, patterns: list[str], kind: str = "overlappi
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     words = send_value(chunks.sparkSession, tuple(patterns))
     last = F.coalesce(F.col("last").cast("boolean"), F.lit(False)) if "last" in chunks.columns else F.lit(False)
-    rows = chunks.select("note_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text", last.alias("last"))
-    return rows.groupBy("note_id").transformWithStateInPandas(ChunkScan(words, kind, timeout_ms), MATCH, "Append", "ProcessingTime" if timeout_ms is not None else "None")
+    note = F.coalesce(F.col("note_id").cast("string"), F.lit("")).alias("note")
+    bucket = F.pmod(F.xxhash64("note_id"), F.lit(BUCKETS)).alias("bucket")
+    rows = chunks.select(bucket, note, F.col("chunk_no").cast("bigint").alias("chunk_no"), "text", last.alias("last"))
+    return rows.groupBy("bucket").transformWithStateInPandas(ChunkScan(words, kind, timeout_ms), MATCH, "Append", "ProcessingTime" if timeout_ms is not None else "None")
 
 
 def scan_files(path: str, patterns: list[str], out: str, kind: str = "overlapping") -> DataFrame:

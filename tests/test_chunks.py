@@ -88,3 +88,15 @@ def test_state_ends_with_the_mark_or_the_timeout(spark, tmp_path):
 def test_unknown_kind_is_an_error(spark):
     with pytest.raises(ValueError):
         chunks.chunk_matches(spark.createDataFrame([], SCHEMA), ["a"], "other")
+
+
+def test_many_texts_share_a_call(spark, tmp_path, monkeypatch):
+    """Calls by bucket, not by text; null, large and negative ids are texts of their own."""
+    monkeypatch.setattr(chunks, "BUCKETS", 2)
+    ids = [None, 2**62 + 1, -3, *range(50)]
+    put(spark, tmp_path, "a", [(n, 0, "xa", False) for n in ids])
+    put(spark, tmp_path, "b", [(n, 1, "b", n != 7) for n in ids])
+    progress = run(spark, tmp_path, ["ab"])
+    got = spark.read.schema(chunks.MATCH).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["note_id"] is None, r["note_id"] or 0, r["start"]) for r in got) == sorted((n is None, n or 0, 1) for n in ids)
+    assert progress["stateOperators"][0]["numRowsTotal"] == 1  # text 7 goes on
