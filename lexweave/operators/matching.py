@@ -144,14 +144,21 @@ class Units:
             codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             wide = codes > 0xFFFF
             sizes = (1 + (codes > 0x7F) + (codes > 0x7FF) + wide, 1 + wide)
-            self.maps = [np.concatenate([[0], np.cumsum(x)]).tolist() for x in sizes]
+            self.sums = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+            self.maps = None
 
     def __call__(self, start: int, end: int) -> tuple[int, int, int, int]:
         """start and end in bytes, then in UTF-16 units."""
         if self.same:
             return start, end, start, end
+        if self.maps is None:
+            self.maps = [m.tolist() for m in self.sums]
         return tuple(m[k] for m in self.maps for k in (start, end))
 
+    def many(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The same for many positions."""
+        return [starts, ends, starts, ends] if self.same else [m[k] for m in self.sums for k in (starts, ends)]
+
 
 def check_size(patterns: list[str], most: int | None = None) -> None:
     """The bound of what is broadcast, in characters."""
@@ -182,14 +189,18 @@ def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: s
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
+        surfaces = np.array(words, object)
         for batch in batches:
-            texts = zip(batch["note_id"], batch["text"], strict=True)
-            if units:
-                hits = ((n, a, b, i, words[i], *at(a, b)) for n, t in texts for at in (Units(t or ""),) for a, b, i in find(words, t or "", kind))
-            else:
-                hits = ((n, a, b, i, words[i]) for n, t in texts for a, b, i in find(words, t or "", kind))
+            ids, texts = batch["note_id"].to_numpy(), batch["text"].tolist()
+            hits = ((k, *h) for k, t in enumerate(texts) for h in find(words, t or "", kind))
             while rows := list(islice(hits, ROWS_AT_ONCE)):
-                yield pd.DataFrame(rows, columns=columns)
+                k, start, end, i = np.array(rows, np.int64).T
+                found = [ids[k], start, end, i, surfaces[i]]
+                if units:
+                    cuts = np.nonzero(np.diff(k, prepend=-1))[0].tolist()  # hits come text by text
+                    parts = [Units(texts[k[a]] or "").many(start[a:b], end[a:b]) for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True)]
+                    found += [np.concatenate(c) for c in zip(*parts, strict=True)]
+                yield pd.DataFrame(dict(zip(columns, found, strict=True)))
 
     schema = "note_id long, start int, end int, surface_id int, surface string" + (", start_byte long, end_byte long, start_utf16 long, end_utf16 long" if units else "")
     columns = [c.split()[0] for c in schema.split(", ")]

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ GRAM, AROUND = 8, 32
 BUCKETS, BITMAP_BITS, HOT_SHARE = 1 << 16, 1 << 24, 1000
 CODES_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 50_000
 HIT = ["note_id", "start", "end", "surface_id", "surface"]
+PLACE = ["note_id", "digest", "gram", "at", "left", "around"]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -97,27 +99,39 @@ def _bitmap(anchors: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(notes: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(note_id, digest, gram, at, left, around): every place whose gram may be a pattern's, with its surroundings."""
+def _reach(anchors: DataFrame) -> dict[int, tuple[int, int]]:
+    """By size of gram, how far patterns reach before and behind it, AROUND at most; GRAM sizes at most."""
+    rest = F.length("pattern") - F.col("offset") - F.col("size")
+    found = anchors.groupBy("size").agg(F.max("offset").alias("ahead"), F.max(rest).alias("behind")).collect()
+    return {r["size"]: (min(r["ahead"], AROUND), min(r["behind"], AROUND)) for r in sorted(found, key=lambda r: r["size"])}
+
+
+def _places(notes: DataFrame, bitmap: np.ndarray, reach: dict[int, tuple[int, int]]) -> DataFrame:
+    """(note_id, digest, gram, at, left, around): every place whose gram may be a pattern's, with what patterns may reach around it."""
     shared = notes.sparkSession.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, columns = shared.value, ["note_id", "digest", "gram", "at", "left", "around"]
-        rows: list[tuple] = []
+        bits, frames, n = shared.value, [], 0
         for batch in batches:
             for note, digest, text in zip(batch["note_id"], batch["digest"], batch["text"], strict=True):
-                for size in sizes:
+                for size, (ahead, behind) in reach.items():
                     for base, hashes in _windows(text or "", size):
                         bit = (hashes % np.uint64(BITMAP_BITS)).astype(np.int64)
-                        for k in np.nonzero(bits[bit >> 3] >> (bit & 7) & 1)[0]:
-                            at = base + int(k)
-                            left = min(at, AROUND)
-                            rows.append((note, digest, int(hashes[k].astype(np.int64)), at, left, text[at - left : at + size + AROUND]))
-                        if len(rows) >= ROWS_AT_ONCE:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
+                        found = np.nonzero(bits[bit >> 3] >> (bit & 7) & 1)[0]
+                        for some in np.split(found, range(ROWS_AT_ONCE, len(found), ROWS_AT_ONCE)) if len(found) else []:
+                            at = some + base
+                            left = np.minimum(at, ahead)
+                            around = [text[a : b + size + behind] for a, b in zip((at - left).tolist(), at.tolist(), strict=True)]
+                            frames.append((np.full(len(at), note), np.full(len(at), digest), hashes[some].astype(np.int64), at, left, np.array(around, object)))
+                            n += len(at)
+                            if n >= ROWS_AT_ONCE:
+                                yield joined(frames)
+                                frames, n = [], 0
+        if frames:
+            yield joined(frames)
+
+    def joined(frames: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate(parts) for c, parts in zip(PLACE, zip(*frames, strict=True), strict=True)})
 
     return notes.withColumn("digest", F.xxhash64("text")).mapInPandas(scan, "note_id long, digest long, gram long, at int, left int, around string")
 
@@ -141,8 +155,7 @@ def overlapping(notes: DataFrame, dictionary: DataFrame) -> DataFrame:
         raise ValueError("an empty pattern can't be sharded")
     counts = _gram_counts(notes) if (facts[1] or 0) > GRAM else np.zeros(BUCKETS, np.int64)
     anchors = stage(_anchored(patterns, counts), "anchors")
-    sizes = sorted(r["size"] for r in anchors.select("size").distinct().collect())  # GRAM at most
-    places = stage(_places(notes, _bitmap(anchors), sizes), "gram-places")
+    places = stage(_places(notes, _bitmap(anchors), _reach(anchors)), "gram-places")
 
     n = F.length("pattern")
     near = _by_gram(places, anchors).withColumn("start", F.col("at") - F.col("offset")).filter("start >= 0")
@@ -163,18 +176,18 @@ ORDERS: dict[str, list[Column | str]] = {"nonoverlap": ["end", "start", "surface
 
 def _greedy(hits: DataFrame, kind: str) -> DataFrame:
     """Of each note's hits in the order of `kind` the first, then the first that begins at its end or later, and so on."""
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         note, end = None, 0
         for batch in batches:
             taken = []
-            for k, (n, a, b) in enumerate(zip(batch["note_id"], batch["start"], batch["end"], strict=True)):
+            for k, (n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 if note is None or n != note or a >= end:
                     note, end = n, b
                     taken.append(k)
-            yield batch.iloc[taken]
+            yield batch.take(pa.array(taken, pa.int64()))
 
     order = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in ORDERS[kind]]
-    return hits.repartition("note_id").sortWithinPartitions("note_id", *order).mapInPandas(fold, "note_id long, start int, end int, surface_id int, surface string")
+    return hits.select(*HIT).repartition("note_id").sortWithinPartitions("note_id", *order).mapInArrow(fold, "note_id long, start int, end int, surface_id int, surface string")
 
 
 def match_sharded(notes: DataFrame, dictionary: DataFrame, id_col: str, text: str, kind: str = "overlapping") -> DataFrame:

@@ -66,3 +66,14 @@ def test_empty_tables_and_patterns(spark):
         sharded.match_sharded(notes, spark.createDataFrame([(0, "")], none.schema), "doc", "body").collect()
     with pytest.raises(ValueError):
         sharded.match_sharded(notes, spark.createDataFrame([(0, "a")], none.schema), "doc", "body", "other")
+
+
+def test_places_carry_what_patterns_reach_only(spark):
+    """A pattern no longer than its gram needs nothing around it; of longer ones the reach by size decides."""
+    words = spark.createDataFrame([(0, "abcd"), (1, "abcdefghij"), (2, "wxyzwxyz" + "q" * 60)], "surface_id long, pattern string")
+    anchors = sharded._anchored(words, sharded.np.zeros(sharded.BUCKETS, sharded.np.int64))
+    reach = sharded._reach(anchors)
+    assert reach == {4: (0, 0), 8: (0, sharded.AROUND)}
+    notes = spark.createDataFrame([(1, "--abcd--" + "x" * 100)], "note_id long, text string")
+    (place,) = sharded._places(notes, sharded._bitmap(anchors), reach).collect()
+    assert (place["at"], place["left"], place["around"]) == (2, 0, "abcd")
