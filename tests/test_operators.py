@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import matching as M
-from lexweave.operators import policy
+from lexweave.operators import mentions, policy
 from lexweave.sources import dumps
 
 def occurrences(patterns, text):
