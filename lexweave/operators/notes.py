@@ -2,6 +2,8 @@
 
 Scanning a note yields one row a match with everything that depends on the text around it; candidates, clusters,
 decisions and counts are joins, windows and groupings over those small rows, so no note travels with its matches.
+Where candidates are few enough to be sent to all workers, note_groups() yields the clusters themselves, since a
+cluster lies within one segment of one note: then no match is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
+from json.encoder import encode_basestring
 
 import numpy as np
 import pandas as pd
@@ -40,6 +43,10 @@ WORD_EDGE = regex.compile(r"\b", regex.WORD)
 PIECE = "array<struct<syntax:string,text:string,start:int,end:int,eid:string,path:string>>"
 PIECES = pa.list_(pa.struct([("syntax", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("eid", pa.string()), ("path", pa.string())]))
 SHORT, MOST_SHORT = 200, 1024  # characters, and number, of the texts whose matches a worker keeps for those that come again
+HIT = [("start", pa.int32()), ("end", pa.int32()), ("surface_id", pa.int32()), ("surface", pa.string()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("eids", pa.list_(pa.string())), ("suspect", pa.bool_()), ("resolved_eid", pa.string())]
+GROUP = "note_id long, segment_no int, cluster_no int, hits array<struct<start:int,end:int,surface_id:int,surface:string,source_start:int,source_end:int,eids:array<string>,suspect:boolean,resolved_eid:string>>, source_start int, source_end int, left_context string, right_context string, text string, kind string, hash string"
+GROUP_HITS, GROUP_CHARACTERS = 200_000, 4_000_000  # hits, and characters, whose clusters are made together
+KINDS = ("mention", "conflict")
 MATCH = "note_id long, segment_no int, start int, end int, source_start int, source_end int, surface_id int, surface string, suspect boolean, link_eid string, link_path string, left_context string, right_context string"
 
 
@@ -85,12 +92,24 @@ def context(outward: Iterable[str]) -> str:
     return "".join(out) + (" " if gap and room > 0 else "")
 
 
+_WEIGHTS = np.full(0x110000, 255, np.uint8)
+
+
+def _weights(codes: np.ndarray) -> np.ndarray:
+    """weight() of many characters, from a table that fills as they come."""
+    found = _WEIGHTS[codes]
+    if (new := found == 255).any():
+        for c in np.unique(codes[new]).tolist():
+            _WEIGHTS[c] = weight(chr(c))
+        found = _WEIGHTS[codes]
+    return found.astype(np.int64)
+
+
 class Contexts:
     """context() rightwards from many places of one text: sums of weights tell where each ends."""
 
     def __init__(self, text: str) -> None:
-        codes, place = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
-        weights = np.array([weight(chr(c)) for c in codes], np.int64)[place]
+        weights = _weights(np.frombuffer(text.encode("utf-32-le"), np.uint32))
         self.size, self.shown = len(text), np.nonzero(weights)[0]
         self.gap = np.diff(self.shown, prepend=-1) > 1  # white space before a character that shows
         self.before = np.concatenate([[0], np.cumsum(weights[self.shown] + self.gap)])
@@ -230,13 +249,194 @@ def mention_groups(rows: DataFrame) -> DataFrame:
     return out.filter(F.size("hits") > 0)
 
 
+class _Listed:
+    """The patterns with their candidates, as a worker reads them: by surface id."""
+
+    def __init__(self, words: tuple[str, ...], eids: dict[int, list[str]]) -> None:
+        self.words, self.eids = words, [eids.get(i, ()) for i in range(len(words))]
+        self.texts, self.lists = pa.array(words, pa.string()), pa.array(self.eids, pa.list_(pa.string()))
+        self.count = np.array([len(e) for e in self.eids], np.int64)
+        self.scripted = np.array([bool(SCRIPTS.search(w)) for w in words], bool)
+        self.coded: dict[int, str] = {}
+
+    def json(self, i: int) -> str:
+        """The pattern as conflict_hash() writes it."""
+        if i not in self.coded:
+            self.coded[i] = json.dumps({"text": self.words[i], "surfaceId": i, "eids": list(self.eids[i])}, ensure_ascii=False, separators=(",", ":"))
+        return self.coded[i]
+
+
+_LISTED: list[tuple] = [(None, None)]
+
+
+def _listed(value: tuple) -> _Listed:
+    """That of the broadcast value asked for last is kept."""
+    if _LISTED[0][0] is not value:
+        _LISTED[0] = (value, _Listed(*value))
+    return _LISTED[0][1]
+
+
+_SURE = np.zeros(257, np.uint8)  # 1 for letters of Latin-1 that never part from each other, 2 for white space, which always parts from them
+_SURE[[c for c in range(256) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA)]] = 1
+_SURE[[0x20, 0x0A]] = 2
+
+
+def word_edges(text: str, places: np.ndarray) -> np.ndarray:
+    """Those of `places` that are the text's ends or boundaries of words."""
+    kinds = _SURE[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 256)]
+    inner = (places > 0) & (places < len(text))
+    before, behind = kinds[np.where(inner, places - 1, 0)], kinds[np.where(inner, places, 0)]
+    edge = ~inner | (before + behind == 3)
+    for k in np.nonzero(inner & ((before == 0) | (behind == 0) | (before + behind == 4)))[0].tolist():
+        edge[k] = WORD_EDGE.match(text, int(places[k])) is not None
+    return places[edge]
+
+
+def _cut(listed: _Listed, text: str, folder: str) -> list[tuple]:
+    """(segment_no, text, hits, edges, pieces' places and sources, pieces) of each segment with hits of patterns that have candidates."""
+    out = []
+    for n, run in enumerate(segments(pieces(text, folder))):
+        shown = "".join(p.text for p in run)
+        hits = np.fromiter(chain.from_iterable(find(listed.words, shown, "overlapping")), np.int64).reshape(-1, 3)
+        hits = hits[(hits[:, 0] < hits[:, 1]) & (listed.count[hits[:, 2]] > 0)]
+        if not len(hits):
+            continue
+        edges = word_edges(shown, np.unique(hits[:, :2]))
+        sizes = np.cumsum([0, *(len(p.text) for p in run)])[:-1]
+        places = np.stack([sizes, *np.array([(p.start, p.end, p.syntax == "link") for p in run], np.int64).T])
+        out.append((n, shown, hits, edges, places, run))
+    return out
+
+
+class _Chunk:
+    """Segments of some notes, laid one behind the other, whose clusters are made together."""
+
+    def __init__(self) -> None:
+        self.segments, self.bases, self.size, self.hits = [], [], 0, 0
+
+    def add(self, note: int, cut: list[tuple]) -> None:
+        for segment in cut:
+            self.segments.append((note, *segment))
+            self.bases.append(self.size)
+            self.size += len(segment[1]) + 1
+            self.hits += len(segment[2])
+
+    def groups(self, listed: _Listed, kinds: tuple[str, ...], contexts: bool) -> pa.RecordBatch:
+        notes, numbers, texts, hits, edges, places, runs = zip(*self.segments, strict=True)
+        base = np.array(self.bases, np.int64)
+        seg = np.repeat(np.arange(len(base)), [len(h) for h in hits])
+        a, b, i = np.concatenate(hits).T
+        a, b = a + base[seg], b + base[seg]
+        order = np.lexsort((i, b, a))
+        a, b, i, seg = a[order], b[order], i[order], seg[order]
+        edge = np.zeros(self.size, bool)
+        edge[np.concatenate([e + at for e, at in zip(edges, base.tolist(), strict=True)])] = True
+        suspect = ~(edge[a] & edge[b]) & listed.scripted[i]
+
+        # where a hit comes from: its place in a text, or the whole of a link
+        pieces_of = [p for run in runs for p in run]
+        at, begin, stop, link = np.concatenate(places, axis=1)
+        at = at + np.repeat(base, [p.shape[1] for p in places])
+        link = link.astype(bool)
+        k, last = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b - 1, "right") - 1
+        source_start = np.where(link[k], begin[k], begin[k] + a - at[k])
+        source_end = np.where(link[last], stop[last], begin[last] + b - at[last])
+        resolved = np.full(len(a), None, object)
+        for n in np.nonzero(link[k] & (k == last))[0].tolist():
+            eid = pieces_of[k[n]].eid
+            if eid is not None and eid in listed.eids[i[n]]:
+                resolved[n] = eid
+        known = resolved != None  # noqa: E711 - by element
+
+        # a cluster begins where all ends before are reached; segments lie apart
+        fresh = np.concatenate([[True], a[1:] >= np.maximum.accumulate(b)[:-1]])
+        first, group = np.nonzero(fresh)[0], np.cumsum(fresh) - 1
+        own = seg[first]
+        cluster_no = np.arange(len(first)) - np.searchsorted(own, own) + 1
+        sure = (np.diff(first, append=len(a)) == 1) & (listed.count[i[first]] == 1)
+        kept = sure[group] | known | ~suspect
+        wanted = (np.add.reduceat(kept.astype(np.int64), first) > 0) & (sure if "conflict" not in kinds else ~sure if "mention" not in kinds else True)
+        shown = np.nonzero(kept & wanted[group])[0]
+        out = np.nonzero(wanted)[0]
+        n_shown = np.bincount(group[shown], minlength=len(first))[out]
+        reach = np.maximum.reduceat(b, first)
+        ends = [np.minimum.reduceat(source_start, first)[out], np.maximum.reduceat(source_end, first)[out]]
+        own, cluster_no, sure = own[out], cluster_no[out], sure[out]
+        left_at, right_at = (a[first[out]] - base[own]).tolist(), (reach[out] - base[own]).tolist()
+        whole = [texts[s][x:y] for s, x, y in zip(own.tolist(), left_at, right_at, strict=True)]
+
+        offsets = np.concatenate([[0], np.cumsum(n_shown)])
+        left, right, hashes = [None] * len(out), [None] * len(out), [None] * len(out)
+        if contexts:
+            ids = i[shown].tolist()
+            open_ones = np.nonzero(~sure)[0]
+            for some in np.split(open_ones, np.nonzero(np.diff(own[open_ones]))[0] + 1) if len(open_ones) else ():
+                some = some.tolist()
+                before, behind = _contexts(texts[own[some[0]]], [left_at[g] for g in some], [right_at[g] for g in some])
+                for g in some:
+                    x, y = left[g], right[g] = before[left_at[g]], behind[right_at[g]]
+                    matches = ",".join([listed.json(n) for n in ids[offsets[g] : offsets[g + 1]]])
+                    body = f'{{"version":"{HASH_VERSION}","leftContext":{encode_basestring(x)},"text":{encode_basestring(whole[g])},"rightContext":{encode_basestring(y)},"matches":[{matches}]}}'
+                    hashes[g] = hashlib.sha256(body.encode()).hexdigest()
+
+        surface, local = pa.array(i[shown]), base[seg[shown]]
+        fields = [a[shown] - local, b[shown] - local, i[shown], listed.texts.take(surface), source_start[shown], source_end[shown], listed.lists.take(surface), suspect[shown], resolved[shown]]
+        fields = [f if isinstance(f, pa.Array) else pa.array(f, kind) for f, (_, kind) in zip(fields, HIT, strict=True)]
+        listing = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=[pa.field(*h) for h in HIT]))
+        columns = [
+            pa.array(np.array(notes, np.int64)[own]), pa.array(np.array(numbers)[own], pa.int32()), pa.array(cluster_no, pa.int32()), listing, *(pa.array(e, pa.int32()) for e in ends),
+            pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(whole, pa.string()), pa.array(np.where(sure, "mention", "conflict"), pa.string()), pa.array(hashes, pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in GROUP.split(", ")])
+
+
+def note_groups(notes: DataFrame, patterns: list[str], candidates: DataFrame, entities: DataFrame | None = None, id_col: str = "note_id", text: str = "text", folder: str = "wiki", kinds: tuple[str, ...] = KINDS, contexts: bool = True) -> DataFrame:
+    """The groups of mention_groups() over all matches with candidates, of the given kinds.
+
+    Up to MOST_LISTED candidates go to all workers, and each note's clusters are made where it is scanned, with the hash of
+    each conflict. Contexts are those of conflicts; without `contexts` they and hashes are null. More candidates, repeated
+    surfaces and `entities` take the way over joined and grouped matches.
+    """
+    listed = candidates.filter(F.size("eids") > 0).select("surface_id", "eids")
+    size = listed.agg(F.sum(F.size("eids") + 1).alias("n"), F.count("surface_id").alias("rows"), F.count_distinct("surface_id").alias("ids")).first()
+    if entities is not None or (size["n"] or 0) > MOST_LISTED or size["ids"] < size["rows"]:
+        matches = note_matches(notes, patterns, id_col, text, folder)
+        return mention_groups(with_candidates(matches, candidates, entities)).filter(F.col("kind").isin(*kinds))
+    check_size(patterns)
+    ship(notes.sparkSession)
+    shared = notes.sparkSession.sparkContext.broadcast((tuple(patterns), {r["surface_id"]: list(r["eids"]) for r in listed.collect()}))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, known, chunk = _listed(shared.value), {}, _Chunk()
+        for batch in batches:
+            for note, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if t and len(t) <= SHORT:
+                    if t not in known:
+                        if len(known) >= MOST_SHORT:
+                            known.clear()
+                        known[t] = _cut(listed, t, folder)
+                    cut = known[t]
+                else:
+                    cut = _cut(listed, t or "", folder)
+                chunk.add(note, cut)
+                if chunk.hits >= GROUP_HITS or chunk.size >= GROUP_CHARACTERS:
+                    yield chunk.groups(listed, kinds, contexts)
+                    chunk = _Chunk()
+        if chunk.hits:
+            yield chunk.groups(listed, kinds, contexts)
+
+    return notes.select(F.col(id_col).cast("bigint").alias("note_id"), F.col(text).alias("text")).mapInArrow(scan, GROUP)
+
+
 def mentions_of(groups: DataFrame) -> DataFrame:
-    h = F.col("hits")[0]
-    eid = h["eids"][0]
+    h = F.get("hits", 0)  # a filter on it may come before the one that leaves out empty lists
+    eid = F.get(h["eids"], 0)
     return groups.filter("kind = 'mention'").select("note_id", "segment_no", "cluster_no", "text", eid.alias("eid"), h["surface_id"].alias("surface_id"), "source_start", "source_end", h["suspect"].alias("suspect"), F.coalesce(h["resolved_eid"] == eid, F.lit(False)).alias("resolved"))
 
 
 def conflicts_of(groups: DataFrame) -> DataFrame:
+    if "hash" in groups.columns:  # those of note_groups()
+        return groups.filter("kind = 'conflict'").drop("kind")
     parts = [F.col("hits")[c] for c in ("surface", "surface_id", "eids")]
     ship(groups.sparkSession)
     return groups.filter("kind = 'conflict'").withColumn("hash", conflict_hash("left_context", "text", "right_context", *parts)).drop("kind")
@@ -258,6 +458,19 @@ def replacements(mentions: DataFrame, matches: DataFrame, folder: str = "wiki")
     return rows.groupBy("note_id").agg(F.array_sort(F.collect_list("r")).alias("wanted"))
 
 
+def linked(groups: DataFrame, folder: str = "wiki") -> DataFrame:
+    """replacements() of groups whose conflicts have no decisions but those of old links; the groups are read once."""
+    h = F.get("hits", 0)
+    eid = F.get(h["eids"], 0)
+    sure = (F.col("kind") == "mention") & effective(h["suspect"], F.coalesce(h["resolved_eid"] == eid, F.lit(False)))
+    target = lambda e: F.concat(F.lit(f"{folder}/" if folder else ""), e).alias("target")
+    one = lambda tier, start, end, text, e: F.struct(F.lit(tier).alias("tier"), "segment_no", "cluster_no", start.alias("start"), end.alias("end"), text.alias("text"), e.alias("eid"), target(e))
+    mention = F.array(one(0, F.col("source_start"), F.col("source_end"), F.col("text"), eid))
+    won = F.transform(F.filter("hits", lambda m: m["resolved_eid"].isNotNull()), lambda m: one(1, m["source_start"], m["source_end"], m["surface"], m["resolved_eid"]))
+    rows = groups.select("note_id", F.explode(F.when(sure, mention).when(F.col("kind") == "conflict", won)).alias("r"))
+    return rows.groupBy("note_id").agg(F.array_sort(F.collect_list("r")).alias("wanted"))
+
+
 def disjoint(wanted: Iterable[dict]) -> list[dict]:
     """Those that overlap none taken before, by source position."""
     starts: list[int] = []

@@ -40,7 +40,7 @@ def settle(notes: DataFrame, patterns: list[str], candidates: DataFrame, entitie
     live = stage(notes.select("note_id", "text"), "pass-notes")
     texts, groups, sizes = [], [], []
     for k in range(1, more + 2):
-        found = stage(N.mention_groups(N.with_candidates(N.note_matches(live, patterns, folder=folder), candidates, entities)), "pass-groups")
+        found = stage(N.note_groups(live, patterns, candidates, entities, folder=folder), "pass-groups")
         wanted = N.replacements(N.mentions_of(found), decided(found, stored), folder)
         now = stage(N.render_notes(live, wanted, folder=folder).withColumn("changed", F.coalesce("changed", F.lit(False))), "pass-texts")
         ends = F.lit(True) if k == more + 1 else ~F.col("changed")

@@ -190,7 +190,8 @@ def document_notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every document as a Markdown note with front matter and an old link in a quote, and the candidates of `dictionary`."""
     lead = F.regexp_extract(F.lower("text"), "[a-zà-ÿ]{4,}", 0)
     head = F.format_string("---\nlang: %s\n---\n> kept as it is\n\n[[wiki/Q%d|%s]] in **short**:\n\n", F.coalesce("lang", F.lit("")), F.col("doc_id") % 50 + 1, lead)
-    notes = table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), F.concat(head, "text", F.lit("\n\n***\n`code` of "), lead).alias("text"))
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
+    notes = documents.select(F.col("doc_id").alias("note_id"), F.concat(head, "text", F.lit("\n\n***\n`code` of "), lead).alias("text"))
     eid = lambda n: F.concat(F.lit("Q"), (n % 50 + 1).cast("string"))
     other = F.when(F.col("surface_id") % 4 == 0, F.array(eid(F.col("surface_id") + 7))).otherwise(F.array().cast("array<string>"))
     return notes, dictionary(spark, d).select(F.col("surface_id").cast("int").alias("surface_id"), F.concat(F.array(eid(F.col("surface_id"))), other).alias("eids"))

@@ -12,7 +12,7 @@ from lexweave.plans import dump_queries, interval_queries, store_queries  # noqa
 from lexweave.plans.registry import oracle_sql, queries, query  # noqa: F401
 from lexweave.session import table
 from lexweave.sources import dumps
-from lexweave.staging import shared_path, stage
+from lexweave.staging import shared_path
 from lexweave.streaming import chunks
 
 FLAGSHIP = "dict_match_counts"
@@ -336,7 +336,7 @@ def match_positions(spark, d):
 
 def _note_groups(spark, d):
     rows, candidates = A.part_notes(spark, d)
-    return rows, notes.mention_groups(notes.with_candidates(notes.note_matches(rows, A.NOTE_WORDS), candidates))
+    return rows, notes.note_groups(rows, A.NOTE_WORDS, candidates)
 
 
 @query(f"""WITH {A.NOTES_SQL} SELECT note_id, 0::INT AS segment_no, 2::INT AS cluster_no, 'Ask' AS text, 'Q5' AS eid, 0::INT AS surface_id,
@@ -370,26 +370,24 @@ def settled_notes(spark, d):
     return passes.settle(made, A.NOTE_WORDS, A.part_notes(spark, d)[1]).texts
 
 
-def _document_groups(spark, d):
+def _document_groups(spark, d, *kinds, contexts=True):
     rows, candidates = A.document_notes(spark, d)
-    return rows, notes.mention_groups(notes.with_candidates(notes.note_matches(rows, A.dictionary_words(spark, d)), candidates))
+    return rows, notes.note_groups(rows, A.dictionary_words(spark, d), candidates, kinds=kinds, contexts=contexts)
 
 
 # Over whole documents as notes; Markdown is beyond SQL, so tests hold these against brute force.
 @query()
 def document_mentions(spark, d):
-    return notes.mentions_of(_document_groups(spark, d)[1])
+    return notes.mentions_of(_document_groups(spark, d, "mention")[1])
 
 
 @query()
 def document_conflicts(spark, d):
-    found = notes.conflicts_of(_document_groups(spark, d)[1])
+    found = notes.conflicts_of(_document_groups(spark, d, "conflict")[1])
     return found.select("note_id", "segment_no", "cluster_no", "text", "source_start", "source_end", "left_context", "right_context", "hash", F.array_join("hits.surface", "|").alias("surfaces"))
 
 
 @query()
 def document_rewriting(spark, d):
-    """The groups are staged: mentions and conflicts both read them."""
-    rows, groups = _document_groups(spark, d)
-    groups = stage(groups, "note-groups")
-    return notes.render_notes(rows, notes.replacements(notes.mentions_of(groups), notes.conflict_matches_of(notes.conflicts_of(groups))))
+    rows, groups = _document_groups(spark, d, *notes.KINDS, contexts=False)
+    return notes.render_notes(rows, notes.linked(groups))

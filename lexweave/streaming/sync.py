@@ -13,7 +13,7 @@ from lexweave.staging import released, stage
 def sync_batch(notes: DataFrame, patterns: list[str], candidates: DataFrame, out: str, batch: int, folder: str = "wiki") -> None:
     """Write mentions, conflict matches and rewritten notes of one batch; a batch that is run again replaces itself."""
     with released():
-        groups = stage(N.mention_groups(N.with_candidates(N.note_matches(notes, patterns, folder=folder), candidates)), "mention-groups")
+        groups = stage(N.note_groups(notes, patterns, candidates, folder=folder), "mention-groups")
         mentions, matches = N.mentions_of(groups), N.conflict_matches_of(N.conflicts_of(groups))
         texts = N.render_notes(notes, N.replacements(mentions, matches, folder), folder=folder)
         for name, rows in (("mentions", mentions), ("conflict_matches", matches), ("notes", texts)):

@@ -110,3 +110,38 @@ def test_rewriting_over_documents(spark, sf, case):
     assert links > len(texts)
     again = N.rewritten(next(t for t in texts.values() if t), [])
     assert not LINK.search(again)
+
+
+def test_word_edges_equal_all_boundaries():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    parts = ["a", "é", "ª", "µ", "×", "ÿ", " ", "\n", "́", "‍", "'", ".", ",", "1", "_", "北", "京", "😀", "🇦", " ", "\xa0", "\r", "Я", "ß"]
+    for n in range(400):
+        text = "".join(rng.choices(parts, k=n % 40 + 1))
+        want = {0, len(text)} | {m.start() for m in N.WORD_EDGE.finditer(text)}
+        assert set(N.word_edges(text, np.arange(len(text) + 1)).tolist()) == want
+
+
+def test_groups_made_while_scanning_equal_those_of_joined_matches(spark, sf, monkeypatch):
+    """The same rows, with hashes, whether candidates go to the workers or are joined; the first way shuffles no match."""
+    rows, candidates = adapters.document_notes(spark, sf)
+    extra = spark.createDataFrame([(9001, None), (9002, ""), (9003, "北京 tor velm torr x́tor [[wiki/Q1|tor]]\n***\ntor")], "note_id long, text string")
+    rows = rows.filter("note_id % 20 = 0").unionByName(extra)
+    words = [*adapters.dictionary_words(spark, sf), "tor", "velm tor", "tor", "北京", "", "never"]
+    n = len(words)
+    more = spark.createDataFrame([(n - 6, ["Q1"]), (n - 5, ["Q2", "Q1"]), (n - 4, ["Q3"]), (n - 3, ["Q4"]), (n - 2, ["Q5"]), (n - 1, []), (n + 7, ["Q9"])], "surface_id int, eids array<string>")
+    candidates = candidates.unionByName(more)
+    fast = N.note_groups(rows, words, candidates)
+    assert "Exchange" not in fast._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    monkeypatch.setattr(N, "MOST_LISTED", 0)
+    slow = N.note_groups(rows, words, candidates)
+    assert "hash" in fast.columns and "hash" not in slow.columns
+    for of in (N.mentions_of, N.conflicts_of):
+        columns = of(slow).columns
+        got, want = ([repr(r) for r in of(g).select(columns).collect()] for g in (fast, slow))
+        assert sorted(got) == sorted(want) and len(want) > 50
+    wanted = N.replacements(N.mentions_of(slow), N.conflict_matches_of(N.conflicts_of(slow)))
+    assert sorted(map(repr, N.linked(fast).collect())) == sorted(map(repr, wanted.collect()))
