@@ -9,18 +9,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.operators.policy import filter_candidates
 from lexweave.operators.sharded import match_sharded
 from lexweave.operators.surfaces import dense_ids
-from lexweave.session import ship
+from lexweave.session import beside, ship
 from lexweave.staging import stage
 
 KINDS = ("overlapping", "longest_per_end", "nonoverlap", "leftmost_longest", "leftmost_first")
@@ -178,6 +179,22 @@ def collect_patterns(dictionary: DataFrame, most: int | None = None) -> list[str
     return [r["pattern"] for r in dictionary.orderBy("surface_id").select("pattern").collect()]
 
 
+def hit_arrays(patterns: tuple[str, ...], texts: list[str | None], kind: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """(number of the text, start, end, surface id) of the hits in `texts` as arrays of some ROWS_AT_ONCE rows."""
+    parts, numbers, held = [], [], 0
+    for k, t in enumerate(texts):
+        flat = chain.from_iterable(find(patterns, t or "", kind))
+        while len(some := np.fromiter(islice(flat, 3 * ROWS_AT_ONCE), np.int64)):
+            parts.append(some)
+            numbers.append(k)
+            held += len(some) // 3
+            if held >= ROWS_AT_ONCE:
+                yield (np.repeat(numbers, [len(p) // 3 for p in parts]), *np.concatenate(parts).reshape(-1, 3).T)
+                parts, numbers, held = [], [], 0
+    if parts:
+        yield (np.repeat(numbers, [len(p) // 3 for p in parts]), *np.concatenate(parts).reshape(-1, 3).T)
+
+
 def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: str, kind: str = "overlapping", max_dictionary: int | None = None, units: bool = False) -> DataFrame:
     """(note_id, start, end, surface_id, surface) for every match; surface_id is the pattern's position.
 
@@ -187,25 +204,24 @@ def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: s
     ship(notes.sparkSession)
     shared = notes.sparkSession.sparkContext.broadcast(tuple(patterns))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        surfaces = np.array(words, object)
+        surfaces = pa.array(words, pa.string())
         for batch in batches:
-            ids, texts = batch["note_id"].to_numpy(), batch["text"].tolist()
-            hits = ((k, *h) for k, t in enumerate(texts) for h in find(words, t or "", kind))
-            while rows := list(islice(hits, ROWS_AT_ONCE)):
-                k, start, end, i = np.array(rows, np.int64).T
-                found = [ids[k], start, end, i, surfaces[i]]
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for k, start, end, i in hit_arrays(words, texts, kind):
+                found = [ids.take(pa.array(k)), start, end, i, surfaces.take(pa.array(i))]
                 if units:
                     cuts = np.nonzero(np.diff(k, prepend=-1))[0].tolist()  # hits come text by text
                     parts = [Units(texts[k[a]] or "").many(start[a:b], end[a:b]) for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True)]
                     found += [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pd.DataFrame(dict(zip(columns, found, strict=True)))
+                kinds = [pa.int64(), *[pa.int32()] * 3, pa.string(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([f if isinstance(f, pa.Array) else pa.array(f).cast(t) for f, t in zip(found, kinds)], columns)
 
     schema = "note_id long, start int, end int, surface_id int, surface string" + (", start_byte long, end_byte long, start_utf16 long, end_utf16 long" if units else "")
     columns = [c.split()[0] for c in schema.split(", ")]
-    rows = notes.select(F.col(id_col).alias("note_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(scan, schema)
+    rows = notes.select(F.col(id_col).cast("bigint").alias("note_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(scan, schema)
 
 
 def count_matches(notes: DataFrame, dictionary: DataFrame, id_col: str, text: str, kind: str = "overlapping") -> DataFrame:
@@ -246,7 +262,8 @@ def match_surfaces(notes: DataFrame, lists: DataFrame, report: DataFrame | None,
     kept = stage(dense_ids(kept, "surface_key", "surface_id"), "surfaces")
     words = kept.select("surface_id", F.col("surface_key").alias("pattern"))
     found = match_dictionary(notes, collect_patterns(words), id_col, text, kind) if fits(words) else match_sharded(notes, words, id_col, text, kind)
-    found = found.join(kept.select("surface_id", "qids"), "surface_id")
+    # matches are never the side that is sent to all
+    found = found.join(beside(kept.select("surface_id", "qids"), kept.count(), 1_000_000), "surface_id")
     if window is not None:
         found = found.withColumn("surface", F.when(F.col("end") - F.col("start") <= window, F.col("surface")))
     return found.select("note_id", "start", "end", "surface_id", "surface", "qids")

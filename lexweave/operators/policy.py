@@ -38,5 +38,5 @@ def should_report(flags: Column, colors: Column) -> Column:
 
 def filter_candidates(surfaces: DataFrame, policy: DataFrame) -> DataFrame:
     """(surface_key, qids): candidate lists without unreported entities, and without surfaces left empty."""
-    one = surfaces.select("surface_key", F.explode("qids").alias("qid")).join(policy.filter("report"), "qid", "left_semi")
+    one = surfaces.select("surface_key", F.explode("qids").alias("qid")).join(policy.filter("report").hint("merge"), "qid", "left_semi")
     return one.groupBy("surface_key").agg(F.array_sort(F.collect_list("qid")).alias("qids"))

@@ -14,14 +14,14 @@ from lexweave.staging import stage
 def attach_qids(pages: DataFrame, props: DataFrame) -> DataFrame:
     """Article pages with the QID of their last wikibase_item row; null without one."""
     items = props.filter(F.col("propname") == "wikibase_item").groupBy("page_id").agg(F.max_by("value", "seq").alias("qid"))
-    return pages.filter(F.col("namespace") == 0).select("wiki", "page_id", "title").join(items, "page_id", "left")
+    return pages.filter(F.col("namespace") == 0).select("wiki", "page_id", "title").join(items.hint("merge"), "page_id", "left")
 
 
 def surface_sources(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """Titles and single-hop redirects with a QID, one row each; duplicate titles resolve to the least page id."""
     titled = pages.filter(F.col("qid").isNotNull()).select("wiki", "title", "qid", F.lit("page_title").alias("source"), "page_id", F.col("page_id").alias("target_page_id"))
     target = pages.groupBy("wiki", F.col("title").alias("target_title")).agg(F.min(F.struct("page_id", "qid")).alias("t"))
-    hops = redirects.filter(F.col("namespace") == 0).join(pages.select("wiki", F.col("page_id").alias("source_page_id"), "title"), ["wiki", "source_page_id"]).join(target, ["wiki", "target_title"])
+    hops = redirects.filter(F.col("namespace") == 0).join(pages.select("wiki", F.col("page_id").alias("source_page_id"), "title").hint("merge"), ["wiki", "source_page_id"]).join(target.hint("merge"), ["wiki", "target_title"])
     redirected = hops.filter(F.col("t.qid").isNotNull()).select("wiki", "title", F.col("t.qid").alias("qid"), F.lit("redirect").alias("source"), F.col("source_page_id").alias("page_id"), F.col("t.page_id").alias("target_page_id"))
     rows = titled.unionByName(redirected).withColumns({"surface_key": surface_key(F.col("title")), "surface_text": surface_text(F.col("title"))})
     rows = rows.filter(F.length("surface_key") > 0).groupBy("wiki", "surface_key", "qid", "source", "page_id").agg(F.min("surface_text").alias("surface_text"), F.min("target_page_id").alias("target_page_id"))
@@ -76,7 +76,7 @@ def type_edges(claims: DataFrame, candidates: DataFrame) -> DataFrame:
     edges = edges.groupBy("qid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets")))).alias("targets"))
     edges = edges.withColumn("flags", F.when(F.array_contains("targets", 4167410), 1).otherwise(0))
     seeds = candidates.select("qid").distinct().withColumn("is_candidate", F.lit(True))
-    merged = edges.join(seeds, "qid", "full").select("qid", F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"), F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"))
+    merged = edges.join(seeds.hint("merge"), "qid", "full").select("qid", F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"), F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"))
     return merged.filter(F.col("is_candidate") | (F.col("flags") != 0) | (F.size("targets") > 0)).drop("is_candidate")
 
 
@@ -96,8 +96,8 @@ def entity_cards(claims: DataFrame, candidates: DataFrame, anchors: DataFrame) -
     steps = edges.select(F.col("qid").alias("source"), F.explode("targets").alias("target"))
     found = graph.cards(graph.anchor_distances(steps, anchors), candidates.select(F.col("qid").alias("node")))
     empty = F.array().cast("array<struct<anchor_id:int,distance:int>>")
-    wanted = edges.join(candidates.select("qid").distinct(), "qid", "left_semi").select("qid", "flags")
-    return wanted.join(found.withColumnRenamed("node", "qid"), "qid", "left").select("qid", "flags", F.coalesce("colors", empty).alias("colors"))
+    wanted = edges.join(candidates.select("qid").distinct().hint("merge"), "qid", "left_semi").select("qid", "flags")
+    return wanted.join(found.withColumnRenamed("node", "qid").hint("merge"), "qid", "left").select("qid", "flags", F.coalesce("colors", empty).alias("colors"))
 
 
 def entity_reports(claims: DataFrame, candidates: DataFrame, anchors: DataFrame) -> DataFrame:

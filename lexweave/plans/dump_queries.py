@@ -9,9 +9,9 @@ from lexweave.functions import text as T
 from lexweave.operators import graph, matching, policy, statistics, surfaces
 from lexweave.plans import adapters as A
 from lexweave.plans.registry import query
-from lexweave.session import table
+from lexweave.session import spread, table
 from lexweave.sources import dumps, tsv, vault
-from lexweave.staging import shared_path
+from lexweave.staging import shared_path, stage
 
 DATE = "20240101"
 
@@ -50,7 +50,7 @@ def part_claims(spark: SparkSession, d: str) -> DataFrame:
     anchor = F.get(F.array(*[F.lit(q) for q in policy.ANCHOR_QIDS]), (k % 27).cast("int"))
     one = lambda n: F.array(F.struct(F.struct(F.struct(F.struct(F.concat(F.lit("Q"), n.cast("string")).alias("id")).alias("value")).alias("datavalue")).alias("mainsnak")))
     body = F.struct(F.concat(F.lit("Q"), k).alias("id"), F.struct(one(F.when(k % 3 == 0, anchor).otherwise((k * 7) % 97 + 1)).alias("P31"), one(F.floor(k / 2) + 1).alias("P279")).alias("claims"))
-    return table(spark, d, "part").select(F.to_json(body).alias("line"))
+    return spread(table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.to_json(body).alias("line"))
 
 
 def reported(spark: SparkSession, root: str, candidates: DataFrame) -> DataFrame:
@@ -64,11 +64,11 @@ def _listed(lists: DataFrame) -> DataFrame:
 
 
 def _part_dumps(spark: SparkSession, d: str) -> str:
-    part, k = table(spark, d, "part"), F.col("p_partkey")
+    part, k = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey"), F.col("p_partkey")
     wiki, title = F.when(k % 2 == 0, "zh").otherwise("en").alias("wiki"), F.replace("p_name", F.lit(" "), F.lit("_"))
     titles = part.select(wiki, k.alias("page_id"), F.when(k % 11 == 0, 4).otherwise(0).alias("namespace"), title.alias("title"), F.when(k % 7 != 0, "wikibase_item").otherwise("other").alias("propname"), F.concat(F.lit("Q"), k % 97 + 1).alias("value"))
     target = part.select((k - 1).alias("k"), title.alias("target_title"))
-    redirects = part.filter(k % 3 == 0).select(wiki, k.alias("source_page_id"), F.floor(k / 3).alias("k")).join(target, "k").drop("k")
+    redirects = part.filter(k % 3 == 0).select(wiki, k.alias("source_page_id"), F.floor(k / 3).alias("k")).join(target.hint("merge"), "k").drop("k")
     return dump_files(spark, titles, redirects, part_claims(spark, d))
 
 
@@ -124,7 +124,8 @@ def dump_note_matches(spark, d):
     lists = surfaces.surface_qids(surfaces.surface_sources(*dumps.wiki_tables(spark, root, ["zh", "en"], DATE)))
     names = _listed(lists)
     report = reported(spark, root, names).withColumn("qid", F.concat(F.lit("Q"), "qid"))
-    found = matching.match_surfaces(table(spark, d, "documents"), lists, report, "doc_id", "text")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    found = matching.match_surfaces(documents, lists, report, "doc_id", "text")
     return found.select("note_id", "start", "end", "surface", F.array_join("qids", "|").alias("qids"))
 
 
@@ -140,10 +141,10 @@ SELECT (row_number() OVER (ORDER BY e.qid) - 1)::BIGINT AS eid_id, e.qid, (CASE
 FROM entity e LEFT JOIN (SELECT node, string_agg(anchor_id || ':' || distance, ' ' ORDER BY anchor_id, distance) AS colors FROM nearest GROUP BY node) c ON c.node = e.qid""")
 def entity_table(spark, d):
     """Entities with their dense number, flags and cards for all anchors."""
-    claims = dumps.entity_claims(part_claims(spark, d).withColumnRenamed("line", "value"))
+    claims = stage(dumps.entity_claims(part_claims(spark, d).withColumnRenamed("line", "value")), "claims")
     found = surfaces.entity_cards(claims, claims.select(T.qid_number(F.col("qid")).alias("qid")), policy.anchors(spark))
     shown = F.array_join(F.transform("colors", lambda c: F.concat_ws(":", c["anchor_id"].cast("string"), c["distance"].cast("string"))), " ")
-    return surfaces.dense_ids(found.select("qid", "flags", shown.alias("colors")), "qid", "eid_id")
+    return surfaces.dense_ids(stage(found.select("qid", "flags", shown.alias("colors")), "cards"), "qid", "eid_id")
 
 
 @query(f"WITH {A.SOURCES_SQL} SELECT surface_key, array_to_string(qids, '|') AS qids, len(qids)::INT AS qid_count FROM lists")

@@ -12,6 +12,7 @@ from tempfile import mkdtemp
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -45,6 +46,14 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
 
 
+def beside(rows: DataFrame, n: int, most: int = 50_000) -> DataFrame:
+    """`rows`, of which there are `n`, as a side of a join: sent to all if they are few, else sorted and merged.
+
+    The planner goes by the size of files, and Parquet holds millions of small rows in what it would send.
+    """
+    return F.broadcast(rows) if n <= most else rows.hint("merge")
+
+
 def send_value(spark: SparkSession, value: object) -> str:
     """Send a bounded value to all executors as a file of the context; its name, for sent_value().
 

@@ -127,7 +127,9 @@ def entity_lines(spark: SparkSession, path: str) -> DataFrame:
 def entity_claims(lines: DataFrame) -> DataFrame:
     """(qid, targets) of a JSON dump in array-of-lines form; only classes and kinds are read."""
     text = F.regexp_replace(F.btrim("value", F.lit(" \t\r\n")), ",$", "")
-    rows = lines.select(text.alias("j")).filter(~F.col("j").isin("", "[", "]")).select(F.from_json("j", CLAIMS, {"mode": "FAILFAST"}).alias("e"))
+    # a generator, and a variable for the text, so that each line is parsed once however often its fields are read
+    parsed = F.transform(F.array(text), lambda j: F.when(~j.isin("", "[", "]"), F.from_json(j, CLAIMS, {"mode": "FAILFAST"})))
+    rows = lines.select(F.explode(parsed).alias("e")).filter(F.col("e").isNotNull())
     ids = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: x["mainsnak"]["datavalue"]["value"]["id"])
     found = rows.select(F.col("e.id").alias("qid"), F.concat(ids(F.col("e.claims.P31")), ids(F.col("e.claims.P279"))).alias("targets"))
     return found.filter(qid_number(F.col("qid")).isNotNull())
