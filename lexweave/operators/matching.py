@@ -6,7 +6,6 @@ code points. An overlapping scan lists all hits by end, longer ones first, then
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -27,6 +26,7 @@ from lexweave.staging import stage
 KINDS = ("overlapping", "longest_per_end", "nonoverlap", "leftmost_longest", "leftmost_first")
 Hit = tuple[int, int, int]
 MOST_CHARACTERS, ROWS_AT_ONCE = 50_000_000, 50_000
+MOST_REPEATED = 1_000_000  # repeated ids of notes that all workers know
 
 
 _LAST: list[tuple] = [((), None)]
@@ -227,28 +227,69 @@ def match_dictionary(notes: DataFrame, patterns: list[str], id_col: str, text: s
 def count_matches(notes: DataFrame, dictionary: DataFrame, id_col: str, text: str, kind: str = "overlapping") -> DataFrame:
     """(surface, n, notes) of each pattern of `dictionary` (surface_id, pattern) that occurs: matches, and notes that hold one.
 
-    Matches are counted by note while it is scanned; texts of the patterns are joined to the sums only.
+    Matches are counted while notes are scanned: those of ids that come once are summed on the spot, those of repeated ids
+    go on as a row an id and pattern. Texts of the patterns are joined to the sums only.
     """
     if not fits(dictionary):
         found = match_sharded(notes, dictionary, id_col, text, kind).groupBy("surface_id", "note_id").agg(F.count(F.lit(1)).alias("n"))
         return _summed(found, dictionary)
     patterns = collect_patterns(dictionary)
     ship(notes.sparkSession)
-    shared = notes.sparkSession.sparkContext.broadcast(tuple(patterns))
+    rows = notes.select(F.col(id_col).cast("bigint").alias("note_id"), F.col(text).alias("text"))
+    again = rows.groupBy("note_id").count().filter((F.col("count") > 1) & F.col("note_id").isNotNull()).select("note_id")
+    n_again = again.count()
+    few = n_again <= MOST_REPEATED
+    ids = np.array(sorted(r["note_id"] for r in again.collect()) if few else [], np.int64)
+    shared = notes.sparkSession.sparkContext.broadcast((tuple(patterns), ids))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = shared.value
         for batch in batches:
-            counts = ((note, i, n) for note, t in zip(batch["note_id"], batch["text"], strict=True) for i, n in Counter(h[2] for h in find(words, t or "", kind)).items())
-            while rows := list(islice(counts, ROWS_AT_ONCE)):
-                yield pd.DataFrame(rows, columns=["note_id", "surface_id", "n"])
-
-    found = notes.select(F.col(id_col).alias("note_id"), F.col(text).alias("text")).mapInPandas(scan, "note_id long, surface_id long, n long")
-    return _summed(found, dictionary)
+            named = np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_valid())
+            apart = np.isin(named[0], ids) & named[1] if few else named[1]
+            n, holds = np.zeros((2, len(words)), np.int64)
+            last, own = -1, None
+            for k, _, _, i in hit_arrays(words, batch.column(1).to_pylist(), kind):
+                # notes that come once are summed here; a note's hits may come in several parts
+                once = ~apart[k]
+                n += np.bincount(i[once], minlength=len(words))
+                seen = np.unique(k * len(words) + i)
+                note, word = seen // len(words), seen % len(words)
+                fresh = np.ones(len(seen), bool)
+                if last >= 0:
+                    fresh[note == last] = ~np.isin(word[note == last], own)
+                holds += np.bincount(word[fresh & ~apart[note] & named[1][note]], minlength=len(words))
+                own = np.union1d(own, word[note == note[-1]]) if last == note[-1] else word[note == note[-1]]
+                last = note[-1]
+                if not once.all():
+                    pairs, counts = np.unique((k * len(words) + i)[~once], return_counts=True)
+                    yield _counts(named[0][pairs // len(words)], pairs % len(words), counts, np.zeros(len(pairs), np.int64))
+            some = np.nonzero(n)[0]
+            yield _counts(None, some, n[some], holds[some])
+
+    found = rows.mapInArrow(scan, "note_id long, surface_id long, n long, notes long")
+    sums = found.filter("note_id IS NULL").groupBy("surface_id").agg(F.sum("n").alias("n"), F.sum("notes").alias("notes"))
+    if n_again:
+        pairs = found.filter("note_id IS NOT NULL")
+        # the pairs of a task stay as few however many there are
+        parts = max(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // 10_000)
+        pairs = pairs.repartition(parts, "surface_id", "note_id").groupBy("surface_id", "note_id").agg(F.sum("n").alias("n"))
+        pairs = pairs.groupBy("surface_id").agg(F.sum("n").alias("n"), F.count("note_id").alias("notes"))
+        sums = sums.unionByName(pairs).groupBy("surface_id").agg(F.sum("n").alias("n"), F.sum("notes").alias("notes"))
+    return _named(sums, dictionary)
+
+
+def _counts(notes: np.ndarray | None, surfaces: np.ndarray, n: np.ndarray, holds: np.ndarray) -> pa.RecordBatch:
+    ids = pa.nulls(len(surfaces), pa.int64()) if notes is None else pa.array(notes, pa.int64())
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (surfaces, n, holds))], ["note_id", "surface_id", "n", "notes"])
 
 
 def _summed(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     sums = found.groupBy("surface_id", "note_id").agg(F.sum("n").alias("n")).groupBy("surface_id").agg(F.sum("n").alias("n"), F.count("note_id").alias("notes"))
+    return _named(sums, dictionary)
+
+
+def _named(sums: DataFrame, dictionary: DataFrame) -> DataFrame:
     return sums.join(dictionary, "surface_id").select(F.col("pattern").alias("surface"), "n", "notes")
 
 

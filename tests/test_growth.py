@@ -44,3 +44,25 @@ def test_hits_of_a_long_text_come_in_parts(spark, monkeypatch):
     assert max(len(k) for k, *_ in found) <= 6 and len(found) > 3
     got = [row for part in found for row in zip(*(c.tolist() for c in part))]
     assert got == [(k, *h) for k, t in enumerate(texts) for h in matching.find(("ab", "b"), t or "", "overlapping")]
+
+
+def test_counts_hold_one_row_a_pattern_and_batch(spark, monkeypatch):
+    """Notes whose ids come once are summed in the scan; repeated ids, and null ones, count as before."""
+    from collections import Counter
+
+    rows = [(k, "ab b " * (k % 5)) for k in range(40)] + [(3, "ab"), (3, "xx"), (None, "ab ab"), (41, None), (42, "")]
+    notes = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    words = spark.createDataFrame([(0, "ab"), (1, "b"), (2, "zz")], "surface_id int, pattern string")
+    n, held = Counter(), {}
+    for k, t in rows:
+        for *_, i in matching.overlapping(("ab", "b", "zz"), t or ""):
+            n[i] += 1
+            held.setdefault(i, set()).add(k)
+    want = sorted((w, n[i], len(held[i] - {None})) for i, w in enumerate(("ab", "b")))
+    for most, at_once in ((1000, 50_000), (0, 50_000), (1000, 3), (0, 3)):
+        monkeypatch.setattr(matching, "MOST_REPEATED", most)
+        monkeypatch.setattr(matching, "ROWS_AT_ONCE", at_once)
+        got = matching.count_matches(notes, words, "id", "text")
+        assert sorted(tuple(r) for r in got.collect()) == want
+    once = matching.count_matches(notes.filter("id > 3"), words, "id", "text")
+    assert "note_id" not in plan_of(once).split("MapInArrow")[0].replace("isnull(note_id", "")
