@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexweave.operators import intervals
 from lexweave.plans.registry import query
 from lexweave.session import table
+from lexweave.staging import stage
 
 
 def _spans(spark, d):
@@ -26,7 +27,7 @@ SPANS_SQL = """spans AS (
 @query(f"""WITH {SPANS_SQL} SELECT a.id, count(*) AS n_overlaps, min(b.id) AS least, max(b.id) AS greatest
 FROM spans a JOIN spans b ON a.key = b.key AND a.id <> b.id AND a.first_day < b.last_day AND b.first_day < a.last_day GROUP BY a.id""")
 def interval_overlaps(spark, d):
-    spans = _spans(spark, d)
+    spans = stage(_spans(spark, d), "spans")  # both sides of both joins read them
     pairs = intervals.overlaps(spans, spans).filter("left_id <> right_id")
     return pairs.groupBy(F.col("left_id").alias("id")).agg(F.count(F.lit(1)).alias("n_overlaps"), F.min("right_id").alias("least"), F.max("right_id").alias("greatest"))
 
