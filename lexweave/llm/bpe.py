@@ -137,7 +137,8 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_match = Tokenizer.from_str(model), Tokenizer.from_str(model)
+        self.tokenizer = Tokenizer.from_str(model)
+        self.by_match = Tokenizer(self.tokenizer.model)  # both read one model, which a worker holds once
         split, bytelevel = self.tokenizer.pre_tokenizer
         self.by_match.pre_tokenizer = bytelevel
         self.matches = regex.compile(json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall

@@ -20,6 +20,7 @@ belong to components but never name one. Repeated rows share a class. An empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from pyspark.sql.types import ArrayType, LongType
 from lexweave.llm.components import connected_components
 from lexweave.llm.hotjoin import join_hot
 from lexweave.llm.simhash import LOWER, SEED, WORD, keep_named, links_within, majority
+from lexweave.llm.textmap import slices
 from lexweave.session import ship
 from lexweave.staging import stage
 
@@ -90,7 +92,7 @@ def finer_hashes(found: np.ndarray) -> np.ndarray:
 def _sketches(shingle: int):
     @F.pandas_udf("key long, n int, fp long, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in chain.from_iterable(map(slices, batches)):
             sets = [shingle_set(t, shingle) for t in texts]
             yield pd.DataFrame({"key": np.array([set_key(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int32), "fp": np.array([majority(s) for s in sets], np.uint64).view(np.int64), "bands": [band_hashes(s) for s in sets]})
 
@@ -102,14 +104,21 @@ def _finer(items: pd.Series) -> pd.Series:
     return items.map(lambda found: finer_hashes(np.asarray(found, np.int64).view(np.uint64)))
 
 
-def _sets(shingle: int):
-    @F.pandas_udf("key long, items array<long>")
-    def items(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            sets = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame({"key": np.array([set_key(s) for s in sets], np.int64), "items": [s.view(np.int64) for s in sets]})
+def _sets(sources: DataFrame, shingle: int) -> DataFrame:
+    """(key, items) of those rows of `sources` (key, text) whose text has the set of that key.
+
+    Rows are compared where the sets are made: a filter on the columns of a function moves below them, and the
+    function then runs twice, in two Python workers a task.
+    """
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for texts in slices(batch["text"]):
+                made = [(key, found.view(np.int64)) for key, found in zip(batch["key"][texts.index], (shingle_set(t, shingle) for t in texts), strict=True) if set_key(found) == key]
+                if made:
+                    yield pd.DataFrame({"key": [key for key, _ in made], "items": pd.Series([found for _, found in made], dtype=object)})
 
-    return items
+    return sources.select("key", "text").mapInPandas(items, "key long, items array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -151,7 +160,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sources = texts.select("doc_id", "text", held).join(wanted.hint("merge"), (F.col("held") == F.col("want_held")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
     # repeated rows of the one that stands for its class are read once
     sources = sources.groupBy("key").agg(F.first("text").alias("text"))
-    sets = stage(sources.select(F.col("key").alias("of"), _sets(shingle)("text").alias("s")).filter("of = s.key").select("s.*"), "shingle-sets")
+    sets = stage(_sets(sources, shingle), "shingle-sets")
     star = bands.filter((F.col("key") > F.col("least.key")) & _size_fits(F.col("n"), F.col("least.n"), similarity)).select(F.col("least.key").alias("u"), F.col("key").alias("v")).unionByName(close).distinct()
     links = stage(_alike(star, sets, similarity), "links")
     roots = stage(connected_components(links), "roots")

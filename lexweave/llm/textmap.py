@@ -13,6 +13,13 @@ from lexweave.session import ship
 CHARS_A_SLICE = 2_000_000
 
 
+def slices(texts: pd.Series) -> Iterator[pd.Series]:
+    """A batch in stretches of bounded text, however long its texts are."""
+    sizes = texts.str.len().fillna(0).cumsum() // CHARS_A_SLICE
+    for _, part in texts.groupby(sizes, sort=False):
+        yield part
+
+
 def map_texts(docs: DataFrame, id_col: str, text: str, run: Callable[[pd.Series], pd.DataFrame], schema: str, also: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, the columns `also` and those of `schema`, which `run` makes from a batch of texts (None for null)."""
     ship(docs.sparkSession)
@@ -20,10 +27,7 @@ def map_texts(docs: DataFrame, id_col: str, text: str, run: Callable[[pd.Series]
     @F.pandas_udf(schema)
     def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # results leave in slices of bounded text, however long the texts of a batch are
-            sizes = batch.str.len().fillna(0).cumsum() // CHARS_A_SLICE
-            for _, part in batch.groupby(sizes, sort=False):
-                yield run(part)
+            yield from map(run, slices(batch))
 
     extra = [c.alias(name) for name, c in (also or {}).items()]
     return docs.select(F.col(id_col).alias("doc_id"), *extra, mapped(F.col(text)).alias("_lw_r")).select("doc_id", *(also or {}), "_lw_r.*")
