@@ -1,32 +1,41 @@
 """Dictionary matching for dictionaries of any size: patterns are sharded by a rare gram and joined to texts.
 
 A pattern of GRAM code points at most is its own gram; a longer one is known by that gram of its own which is
-rarest in the texts. Rareness comes from counts of all grams of all texts in BUCKETS hash buckets. Texts are
-scanned once more against a bitmap of the patterns' grams, and only places that pass are sent on, each with its
-surroundings. A join by gram then proposes patterns, and comparing them with the surroundings decides;
-patterns that reach beyond are compared with the text itself in a second join. The driver sees the counts and the
-bitmap only, whose sizes are fixed. Grams that hold more than one in HOT_SHARE of the places are dealt over
-several shards.
-
-Match kinds other than overlapping are folds over the sorted hits of a text, which hold one hit at a time.
+rarest in the texts. Rareness comes from counts of all grams of all texts in BUCKETS hash buckets. The driver sees
+the counts and a bitmap of the patterns' grams only, whose sizes are fixed.
+
+Texts are dealt into groups of some GROUP_CODES code points. Each group tells which grams of the bitmap it holds, a
+join by gram gives it the patterns that may occur there, and an automaton of these alone scans its texts, so that
+neither places nor matches are shuffled.
+
+Groups whose patterns have more than GROUP_PATTERNS characters are matched place by place: every place that passes the
+bitmap is sent on with its surroundings, a join by gram proposes patterns, and comparing them with the surroundings
+decides; patterns that reach beyond are compared with the text itself in a second join. Grams that hold more than
+one in HOT_SHARE of these places are dealt over several shards. Match kinds are then folds over the sorted hits of a
+text, which hold one hit at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain, islice
+from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.session import ship
+from lexweave.session import beside, ship
 from lexweave.staging import stage
 
 GRAM, AROUND = 8, 32
 BUCKETS, BITMAP_BITS, HOT_SHARE = 1 << 16, 1 << 24, 1000
-CODES_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 50_000
+CODES_AT_ONCE, ROWS_AT_ONCE = 1 << 16, 50_000
+GROUP_CODES, GROUP_PATTERNS = 1 << 22, 1 << 20
 HIT = ["note_id", "start", "end", "surface_id", "surface"]
 PLACE = ["note_id", "digest", "gram", "at", "left", "around"]
 
@@ -35,14 +44,28 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
+FACTOR = 0x9E3779B97F4A7C15
+
+
 def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all windows of `size` code points; of texts shorter than that there are none."""
-    out = np.full(max(0, len(codes) - size + 1), size, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)] + np.uint64(1)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+    (out,) = (hashes for _, hashes in sized_hashes(codes, [size]))
+    return out
+
+
+def sized_hashes(codes: np.ndarray, sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes of all windows of that size) for each of `sizes`, the smaller ones first; a window grows code by code."""
+    wanted, n, codes = set(sizes), len(codes), codes + np.uint64(1)
+    sums = np.zeros(n, np.uint64)
+    for size in range(1, max(wanted, default=0) + 1):
+        left = max(0, n - size + 1)
+        sums = sums[:left] * np.uint64(FACTOR) + codes[size - 1 : size - 1 + left]
+        if size in wanted:
+            out = sums + np.uint64(size * FACTOR**size % 2**64)
+            out ^= out >> np.uint64(32)
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(29)
+            yield size, out
 
 
 def _windows(text: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,14 +75,26 @@ def _windows(text: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, gram_hashes(codes[at : at + CODES_AT_ONCE + size - 1], size)
 
 
+def _stretches(texts: Iterable[str | None], size: int) -> Iterator[np.ndarray]:
+    """Codes of the texts end to end, some CODES_AT_ONCE at a time: they hold every window of `size`, and some across two texts."""
+    held, n = [], 0
+    for text in texts:
+        for at in range(0, len(text or ""), CODES_AT_ONCE):
+            held.append(text[at : at + CODES_AT_ONCE + size - 1])
+            n += len(held[-1])
+            if n >= CODES_AT_ONCE:
+                yield _codes("".join(held))
+                held, n = [], 0
+    if held:
+        yield _codes("".join(held))
+
+
 def _gram_counts(notes: DataFrame) -> np.ndarray:
-    """How often grams of GRAM code points occur in the texts, by hash bucket."""
+    """How often grams of GRAM code points occur in the texts, by hash bucket; those across two texts count as well."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                for _, hashes in _windows(text or "", GRAM):
-                    found += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        for codes in _stretches((text for batch in batches for text in batch["text"]), GRAM):
+            found += np.bincount((gram_hashes(codes, GRAM) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         full = np.nonzero(found)[0]
         yield pd.DataFrame({"bucket": full, "n": found[full]})
 
@@ -147,15 +182,191 @@ def _by_gram(places: DataFrame, anchors: DataFrame) -> DataFrame:
     return dealt.join(copied.withColumn("shard", F.col("shard").cast("bigint")), ["gram", "shard"])
 
 
-def overlapping(notes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """All hits of (surface_id, pattern) in (note_id, text)."""
+class Patterns(NamedTuple):
+    """A dictionary (surface_id, pattern, gram, size, offset), the bitmap of its grams and how far it reaches around them."""
+
+    anchors: DataFrame
+    bitmap: np.ndarray
+    reach: dict[int, tuple[int, int]]
+    n: int
+    codes: int  # of all texts, more or less
+
+
+def _patterns(notes: DataFrame, dictionary: DataFrame) -> Patterns:
     patterns = stage(dictionary.select(F.col("surface_id").cast("bigint").alias("surface_id"), "pattern"), "patterns")
-    facts = patterns.agg(F.min(F.length("pattern")), F.max(F.length("pattern"))).first()
+    facts = patterns.agg(F.min(F.length("pattern")), F.max(F.length("pattern")), F.count(F.lit(1))).first()
     if facts[0] == 0:
         raise ValueError("an empty pattern can't be sharded")
-    counts = _gram_counts(notes) if (facts[1] or 0) > GRAM else np.zeros(BUCKETS, np.int64)
+    if (facts[1] or 0) > GRAM:
+        counts = _gram_counts(notes)
+        codes = int(counts.sum())
+    else:
+        counts = np.zeros(BUCKETS, np.int64)
+        codes = notes.agg(F.sum(F.length("text"))).first()[0] or 0
     anchors = stage(_anchored(patterns, counts), "anchors")
-    places = stage(_places(notes, _bitmap(anchors), _reach(anchors)), "gram-places")
+    return Patterns(anchors, _bitmap(anchors), _reach(anchors), facts[2], codes)
+
+
+def _group_grams(texts: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(part, gram): grams of the bitmap that the texts of (part, text) hold, a partition a part; the same gram may come again."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, ones, widest = shared.value, 1 << np.arange(8, dtype=np.uint8), max(sizes)
+        found, n, part = [], 0, None
+        for batch in batches:
+            part = batch.column(0)[:1]
+            for codes in _stretches(batch.column(1).to_pylist(), widest):
+                for _, hashes in sized_hashes(codes, sizes):
+                    bit = (hashes & np.uint64(BITMAP_BITS - 1)).view(np.int64)
+                    found.append(np.unique(hashes[bits.take(bit >> 3) & ones.take(bit & 7) != 0]))
+                    n += len(found[-1])
+                if n > 20 * ROWS_AT_ONCE:
+                    found = [np.unique(np.concatenate(found))]
+                    n = len(found[0])
+                    if n > 10 * ROWS_AT_ONCE:
+                        yield told(part, found)
+                        found, n = [], 0
+        if n:
+            yield told(part, found)
+
+    def told(part: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+        grams = np.unique(np.concatenate(found)).view(np.int64)
+        return pa.RecordBatch.from_arrays([part.take(pa.array(np.zeros(len(grams), np.int64))), pa.array(grams)], ["part", "gram"])
+
+    return texts.select("part", "text").mapInArrow(scan, "part int, gram long")
+
+
+class Scan:
+    """Matches of one kind in many texts at once, by patterns in order of their ids, none of them empty."""
+
+    def __init__(self, patterns: tuple[str, ...], kind: str) -> None:
+        numbers: dict[str, list[int]] = {}
+        for i, p in enumerate(patterns):
+            numbers.setdefault(p, []).append(i)
+        self.patterns, self.kind, self.found = patterns, kind, ahocorasick.Automaton()
+        for k, p in enumerate(numbers):
+            self.found.add_word(p, k)
+        if numbers:
+            self.found.make_automaton()
+        self.sizes = np.array([len(p) for p in numbers], np.int64)
+        self.first = np.array([ids[0] for ids in numbers.values()], np.int64)
+        self.times = np.array([len(ids) for ids in numbers.values()], np.int64)
+        self.numbers = np.array([i for ids in numbers.values() for i in ids], np.int64)
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(number of the text, start, end, pattern) of the matches as arrays; texts with very many hits go hit by hit."""
+        from lexweave.operators.matching import hit_arrays  # which imports this module
+
+        parts, n = [], 0
+        for k, text in enumerate(texts if len(self.found) else []):
+            room = ROWS_AT_ONCE * 10
+            flat = np.fromiter(islice(chain.from_iterable(self.found.iter(text or "")), 2 * room), np.int64)
+            if len(flat) == 2 * room:
+                for _, *hits in hit_arrays(self.patterns, [text], self.kind):
+                    yield np.full(len(hits[0]), k), *hits
+                continue
+            parts.append((k, len(text or ""), flat))
+            n += len(flat) // 2
+            if n >= ROWS_AT_ONCE:
+                yield self.chosen(parts)
+                parts, n = [], 0
+        if n:
+            yield self.chosen(parts)
+
+    def chosen(self, parts: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """The matches among all hits (end - 1, pattern) of some texts, which are laid end to end for it."""
+        k, lengths, flat = zip(*parts, strict=True)
+        row = np.repeat(np.arange(len(k)), [len(f) // 2 for f in flat])
+        base = np.cumsum([0, *lengths[:-1]])
+        end, p = np.concatenate(flat).reshape(-1, 2).T
+        end = end + 1 + base[row]
+        start = end - self.sizes[p]
+        wide = self.sizes.max() + 1
+        if self.kind == "overlapping":
+            took = np.repeat(np.arange(len(p)), self.times[p])
+            again = np.arange(len(took)) - np.repeat(np.cumsum(self.times[p]) - self.times[p], self.times[p])
+            ids = self.numbers[(np.cumsum(self.times) - self.times)[p[took]] + again]
+        elif self.kind in ("longest_per_end", "nonoverlap"):
+            took = np.argsort(end * wide - self.sizes[p])
+            if self.kind == "nonoverlap":
+                took = took[_by_ends(start[took].tolist(), end[took].tolist())]
+            else:
+                took = took[np.diff(end[took], prepend=-1) != 0]
+            ids = self.first[p[took]]
+        else:
+            took = np.argsort(start * wide - self.sizes[p] if self.kind == "leftmost_longest" else start * len(self.patterns) + self.first[p])
+            took = took[np.diff(start[took], prepend=-1) != 0]
+            took = took[_by_starts(start[took], end[took])]
+            ids = self.first[p[took]]
+        row = row[took]
+        return np.array(k)[row], start[took] - base[row], end[took] - base[row], ids
+
+
+def _by_starts(start: np.ndarray, end: np.ndarray) -> list[int]:
+    """Of hits with rising starts the first, then the first that begins at its end or later, and so on."""
+    after, k, taken = np.searchsorted(start, end).tolist(), 0, []
+    while k < len(after):
+        taken.append(k)
+        k = after[k]
+    return taken
+
+
+def _by_ends(start: list[int], end: list[int]) -> list[int]:
+    """The same of hits in order of their ends."""
+    at, taken = 0, []
+    for k, a in enumerate(start):
+        if a >= at:
+            at = end[k]
+            taken.append(k)
+    return taken
+
+
+def _scan_groups(rows: DataFrame, kind: str) -> DataFrame:
+    """Matches of `kind` in the texts of (of_note, surface_id, note_id, text), where each partition lists its patterns first, by id."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, ready = [], [], None
+        for batch in batches:
+            known = len(batch) - batch.column(0).true_count
+            ids += batch.column(1)[:known].to_pylist()
+            words += batch.column(3)[:known].to_pylist()
+            if known == len(batch):
+                continue
+            if ready is None:
+                ready = Scan(tuple(words), kind), pa.array(ids, pa.int32()), pa.array(words, pa.string())
+            notes, texts = batch.column(2)[known:], batch.column(3)[known:].to_pylist()
+            for k, start, end, i in ready[0](texts):
+                i = pa.array(i)
+                found = [notes.take(pa.array(k)), *(pa.array(c).cast(pa.int32()) for c in (start, end)), ready[1].take(i), ready[2].take(i)]
+                yield pa.RecordBatch.from_arrays(found, HIT)
+
+    return rows.select("of_note", "surface_id", "note_id", "text").mapInArrow(scan, "note_id long, start int, end int, surface_id int, surface string")
+
+
+def _matches(notes: DataFrame, found: Patterns, kind: str) -> tuple[DataFrame, DataFrame | None]:
+    """Matches of `kind` in the groups that hold their patterns, and all hits of the other groups, if there are any."""
+    spark = notes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.codes // GROUP_CODES))
+    part = F.pmod(F.xxhash64("note_id", "text"), F.lit(parts)).cast("int")
+    texts = notes.filter(F.col("text").isNotNull()).withColumn("part", part)
+    sizes = list(found.reach) or [GRAM]  # without patterns no gram passes
+    grams = stage(_group_grams(texts.repartitionById(parts, "part"), found.bitmap, sizes).distinct(), "group-grams")
+    weights = found.anchors.groupBy("gram").agg(F.sum(F.length("pattern")).alias("n"))
+    full = stage(grams.join(beside(weights, found.n), "gram").groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") > GROUP_PATTERNS).select("part"), "full-groups")
+    rest = None
+    if not full.isEmpty():
+        full = beside(full, parts)
+        rest = _hits_by_places(texts.join(full, "part", "left_semi").select("note_id", "text"), found)
+        texts, grams = (rows.join(full, "part", "left_anti") for rows in (texts, grams))
+    own = grams.join(beside(found.anchors, found.n), "gram").select("part", F.lit(False).alias("of_note"), "surface_id", F.lit(None).cast("bigint").alias("note_id"), F.col("pattern").alias("text"))
+    rows = own.unionByName(texts.select("part", F.lit(True).alias("of_note"), F.lit(None).cast("bigint").alias("surface_id"), "note_id", "text"))
+    return _scan_groups(rows.repartitionById(parts, "part").sortWithinPartitions("of_note", "surface_id"), kind), rest
+
+
+def _hits_by_places(notes: DataFrame, found: Patterns) -> DataFrame:
+    """All hits of the patterns in (note_id, text), by a join of places."""
+    anchors = found.anchors
+    places = stage(_places(notes, found.bitmap, found.reach), "gram-places")
 
     n = F.length("pattern")
     near = _by_gram(places, anchors).withColumn("start", F.col("at") - F.col("offset")).filter("start >= 0")
@@ -166,7 +377,7 @@ def overlapping(notes: DataFrame, dictionary: DataFrame) -> DataFrame:
     hits = stage(hits, "near-hits")
     far = hits.filter(~F.col("whole")).alias("h")
     texts = notes.select(F.col("note_id").alias("own"), F.xxhash64("text").alias("own_digest"), "text")
-    far = far.join(texts, (F.col("h.note_id") == F.col("own")) & (F.col("h.digest") == F.col("own_digest")) & (F.substr("text", F.col("h.start") + 1, F.length("h.surface")) == F.col("h.surface")), "left_semi")
+    far = far.join(texts, F.col("h.note_id").eqNullSafe(F.col("own")) & (F.col("h.digest") == F.col("own_digest")) & (F.substr("text", F.col("h.start") + 1, F.length("h.surface")) == F.col("h.surface")), "left_semi")
     both = hits.filter("whole").unionByName(far)
     return both.select("note_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("surface_id").cast("int").alias("surface_id"), "surface")
 
@@ -177,11 +388,11 @@ ORDERS: dict[str, list[Column | str]] = {"nonoverlap": ["end", "start", "surface
 def _greedy(hits: DataFrame, kind: str) -> DataFrame:
     """Of each note's hits in the order of `kind` the first, then the first that begins at its end or later, and so on."""
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        note, end = None, 0
+        note, end = object(), 0  # no id yet; null is one
         for batch in batches:
             taken = []
             for k, (n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if note is None or n != note or a >= end:
+                if n != note or a >= end:
                     note, end = n, b
                     taken.append(k)
             yield batch.take(pa.array(taken, pa.int64()))
@@ -195,13 +406,29 @@ def match_sharded(notes: DataFrame, dictionary: DataFrame, id_col: str, text: st
 
     Kinds other than overlapping take the rows of one note_id as one text.
     """
+    if kind not in ("overlapping", "longest_per_end", *ORDERS):
+        raise ValueError(f"match kind must be one of overlapping, longest_per_end, {', '.join(ORDERS)}")
     ship(notes.sparkSession)
-    hits = overlapping(notes.select(F.col(id_col).cast("bigint").alias("note_id"), F.col(text).alias("text")), dictionary)
+    texts = notes.select(F.col(id_col).cast("bigint").alias("note_id"), F.col(text).alias("text"))
+    found = _patterns(texts, dictionary)
     if kind == "overlapping":
-        return hits.select(*HIT)
+        done, rest = _matches(texts, found, kind)
+        return done if rest is None else done.unionByName(rest)
+    again = stage(texts.groupBy("note_id").count().filter("count > 1").select(F.col("note_id").alias("own")), "repeated-ids")
+    n_again = again.count()
+    parted = [texts]
+    if n_again:
+        parted = [texts.join(beside(again, n_again), F.col("note_id").eqNullSafe(F.col("own")), how) for how in ("left_anti", "left_semi")]
+    done, *hits = _matches(parted[0], found, kind)
+    if n_again:
+        hits += _matches(parted[1], found, "overlapping")
+    hits = [h for h in hits if h is not None]
+    return done.unionByName(_folded(reduce(DataFrame.unionByName, hits), kind)) if hits else done
+
+
+def _folded(hits: DataFrame, kind: str) -> DataFrame:
+    """Matches of `kind` among all hits."""
     if kind == "longest_per_end":
         longest = Window.partitionBy("note_id", "end").orderBy("start", "surface_id")
         return hits.withColumn("_lw_r", F.row_number().over(longest)).filter("_lw_r = 1").select(*HIT)
-    if kind not in ORDERS:
-        raise ValueError(f"match kind must be one of overlapping, longest_per_end, {', '.join(ORDERS)}")
     return _greedy(hits, kind)
